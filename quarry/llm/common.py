@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,3 +112,24 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the session's checkpoint folder; removed when the session ends."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpointed(spark.range(1))
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def int64_lists(parts: list[np.ndarray]) -> pa.Array:
+    """An Arrow column of lists from one array for each row."""
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding
+from . import ngram_jaccard, quality_rules, sharding
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op3_sharding": sharding.op3_sharding,
 }
