@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard, quality_rules, sharding, substring_dedup
+from . import ngram_jaccard, quality_rules, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op3_sharding": sharding.op3_sharding,
 }
