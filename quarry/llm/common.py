@@ -62,19 +62,49 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; forgets all when it has grown to ``bound`` words."""
-
-    bound = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(9, 14)]] = True
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
+#: Words longer than this many bytes are hashed one by one.
+_LONG_WORD = 256
+
+
+def word_hashes(batch: list[bytes], lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, eight bytes of all words at a time."""
+    sizes = np.array([len(t) + 1 for t in batch], np.int64)
+    joined = b" ".join(batch) + bytes([0x20]) * 9
+    if lower:
+        joined = joined.lower()
+    raw = np.frombuffer(joined, np.uint8)
+    space = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, length = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    out = length.astype(np.uint64) * _ODD[1]
+    own, at, left = np.arange(len(start)), start, length
+    long_words = np.flatnonzero(length > _LONG_WORD)
+    if len(long_words):
+        short = np.flatnonzero(length <= _LONG_WORD)
+        own, at, left = own[short], at[short], left[short]
+    while len(own):
+        part = eight[at] & _KEEP[np.minimum(left, 8)]
+        h = (out[own] ^ part) * np.uint64(0x9FB21C651E98DF25)
+        out[own] = h ^ (h >> np.uint64(35))
+        more = np.flatnonzero(left > 8)
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    for k in long_words.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(joined[start[k] : start[k] + length[k]])
+    out = mixed(out)
+    cuts = np.searchsorted(start, np.cumsum(sizes))
+    return np.split(out, cuts[:-1])
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

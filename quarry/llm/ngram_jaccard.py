@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     LAST_ID,
-    WordHashes,
+    distinct,
     gram_hashes,
     id_or_last,
     int64_lists,
@@ -50,6 +50,7 @@ from .common import (
     small_batches,
     stored,
     texts,
+    word_hashes,
 )
 from .components import components
 
@@ -66,27 +67,29 @@ SPLIT_FROM = 17  # a power of two
 _HEAD = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<i4"), ("i", "<i4"), ("k", "<i1")])
 
 
-def shingles(text: bytes, words: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    w = words.of(text.lower().split())
-    if not len(w):
-        return w
-    if len(w) < SHINGLE:
-        return gram_hashes(w, len(w)) ^ np.uint64(len(w))
-    return np.unique(gram_hashes(w, SHINGLE))
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text with these word hashes."""
+    if len(words) < SHINGLE:
+        return gram_hashes(words, len(words)) ^ np.uint64(len(words)) if len(words) else words
+    return distinct(gram_hashes(words, SHINGLE))
+
+
+def _sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [shingles(w) for w in word_hashes(texts(batch.column("text")), lower=True)]
 
 
 def _places(sets: np.ndarray) -> list[np.ndarray]:
-    shift = np.uint64(64 - int(SKETCH_WIDTH).bit_length() + 1)
-    return [(mixed(sets + np.uint64(r)) >> shift).astype(np.int64) for r in range(SKETCH_ROWS)]
+    """A counter in each row of the sketch: other bits of the hash for each row."""
+    bits = int(SKETCH_WIDTH).bit_length() - 1
+    return [((sets >> np.uint64(64 - (r + 1) * bits)) & np.uint64(SKETCH_WIDTH - 1)).astype(np.int64) for r in range(SKETCH_ROWS)]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) -> (doc, n, key, cid), and at the end this task's part of the sketch."""
-    words, counts = WordHashes(), np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64)
+    counts = np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64)
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("cid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
     for batch in rows_of(batches):
-        sets = [shingles(t, words) for t in texts(batch.column("text"))]
+        sets = _sets_of(batch)
         for r, place in enumerate(_places(np.concatenate(sets))):
             counts[r] += np.bincount(place, minlength=SKETCH_WIDTH)
         n = [len(s) for s in sets]
@@ -126,7 +129,9 @@ def _sketch(keys: DataFrame) -> np.ndarray:
 def frequencies(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Estimated documents of each shingle; 0 where it can't be told from the sketch's noise."""
     load = sketch.sum(axis=1, keepdims=True) / SKETCH_WIDTH
-    over = np.min([sketch[r][p] - load[r] for r, p in enumerate(_places(tokens))], axis=0)
+    over = np.inf
+    for r, place in enumerate(_places(tokens)):
+        over = np.minimum(over, sketch[r][place] - load[r])
     return np.where(over > 5 * np.sqrt(load.max()) + 1, over, 0)
 
 
@@ -157,7 +162,7 @@ def _prefixes(sketch, buckets: int):
     """(doc, text) -> packed prefix postings, one row for a bucket of tokens and a block of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, seen = WordHashes(), sketch.value, set()
+        table, seen = sketch.value, set()
         block: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -175,8 +180,7 @@ def _prefixes(sketch, buckets: int):
 
         held = 0
         for batch in rows_of(batches):
-            for text in texts(batch.column("text")):
-                tokens = shingles(text, words)
+            for tokens in _sets_of(batch):
                 if not len(tokens):
                     continue
                 key = xxhash.xxh3_128_digest(tokens.tobytes())
@@ -215,6 +219,24 @@ def _rows(blobs: list[bytes]) -> np.ndarray:
     return out
 
 
+def _partnered(rows: np.ndarray) -> np.ndarray:
+    """Which postings (sorted by token) have another of their token with a size they can link with.
+
+    Postings of tokens that are dealt to several tasks all stay.
+    """
+    new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
+    group = np.cumsum(new) - 1
+    n, rest = rows["n"].astype(np.int64), (rows["n"] - rows["i"]).astype(np.int64)
+    wide = int(n.max()) * 2 + 2
+    sizes = np.sort(group * wide + n)
+    low = -(-NUM * n // DEN)
+    # rest >= overlap - k + 1, and overlap >= NUM * (n + other) / (NUM + DEN)
+    high = np.minimum(DEN * n // NUM, (rest + MOST_K - 1) * (NUM + DEN) // NUM - n)
+    near = np.searchsorted(sizes, group * wide + np.minimum(high, wide - 1), "right") - np.searchsorted(sizes, group * wide + low)
+    hot = (rows["token"] >> np.uint64(58)).astype(np.int64) > SPLIT_FROM
+    return (near > (high >= n)) | hot
+
+
 def _postings(key: tuple, table: pa.Table) -> pa.Table:
     """A bucket's postings of tokens that several classes have, each with its token's leader."""
     rows = _rows(table.column("rows").to_pylist())
@@ -222,6 +244,9 @@ def _postings(key: tuple, table: pa.Table) -> pa.Table:
     # a class met in several tasks is here several times, on neighbouring rows
     same = (rows["token"][1:] == rows["token"][:-1]) & (rows["cid"][1:] == rows["cid"][:-1])
     rows = rows[np.concatenate([[True], ~same])]
+    rows = rows[_partnered(rows)]
+    if not len(rows):
+        return pa.table({c: pa.array([], kind) for c, kind in _POSTING_ARROW})
     start = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
     count = np.diff(np.append(start, len(rows)))
     hot = (rows["token"][start] >> np.uint64(58)).astype(np.int64) > SPLIT_FROM
@@ -234,6 +259,7 @@ def _postings(key: tuple, table: pa.Table) -> pa.Table:
     })
 
 
+_POSTING_ARROW = [("token", "int64"), ("cid", "int64"), ("n", "int32"), ("i", "int32"), ("k", "int8"), ("lcid", "int64"), ("ln", "int32"), ("li", "int32"), ("lk", "int8")]
 _POSTING = "token long, cid long, n int, i int, k byte, lcid long, ln int, li int, lk byte"
 
 
@@ -260,21 +286,18 @@ class _Sets:
         self.docs, self.keys = docs, keys
 
     def of(self, cids: DataFrame) -> DataFrame:
-        """(cid, tokens) of the classes in ``cids``."""
+        """(cid, tokens) of the classes in ``cids``; a repeated row may bring a class twice."""
         where = self.keys.join(cids, "cid", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"), F.first("cid").alias("cid"))
         rows = self.docs.join(where.select("doc", "cid").distinct(), "doc").select("cid", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = WordHashes()
             for batch in rows_of(batches):
-                cid, sets = batch.column("cid").to_numpy(), []
-                for text in texts(batch.column("text")):
-                    sets.append(shingles(text, words))
+                cid, sets = batch.column("cid").to_numpy(), _sets_of(batch)
                 own = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
                 keep = [k for k, x in enumerate(own) if x == cid[k]]
                 yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), int64_lists([sets[k] for k in keep])], names=["cid", "tokens"])
 
-        return rows.mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"])
+        return rows.mapInArrow(run, "cid long, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

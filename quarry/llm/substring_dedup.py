@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WordHashes, gram_hashes, id_or_last, mixed, partitions, rows_of, small_batches, texts
+from .common import LAST_ID, gram_hashes, id_or_last, mixed, partitions, rows_of, small_batches, texts, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
@@ -112,7 +112,7 @@ def _asks(buckets: int):
     """(doc, version, text) -> blobs of undecided windows by bucket, and spans decided in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block, sent = WordHashes(), Block(), 0
+        block, sent = Block(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, sent
@@ -157,8 +157,8 @@ def _asks(buckets: int):
 
         for batch in rows_of(batches):
             docs, versions = batch.column("doc").to_pylist(), batch.column("version").to_pylist()
-            for d, v, t in zip(docs, versions, texts(batch.column("text"))):
-                block.add(d, v, hashes.of(t.split()))
+            for d, v, words in zip(docs, versions, word_hashes(texts(batch.column("text")))):
+                block.add(d, v, words)
                 if block.size > BLOCK_WINDOWS:
                     yield from flush()
         yield from flush()
