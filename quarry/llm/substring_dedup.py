@@ -40,6 +40,9 @@ WINDOW = 20
 ANCHOR = 8
 #: Windows that a block of documents gathers before it sends them.
 BLOCK_WINDOWS = 4_000_000
+#: A document's answers come in at most one row for each of its repeated anchors; with few
+#: buckets in fewer. Enough buckets make their number follow the documents alone.
+LEAST_BUCKETS = 128
 _ONE = np.uint64(1)
 
 
@@ -215,7 +218,7 @@ def _answers(key: tuple, table: pa.Table) -> pa.Table:
 def repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc, version, spans): starts and numbers of windows that occur earlier, as pairs of 32-bit numbers."""
     small_batches(df.sparkSession)
-    buckets = 2 * partitions(df.sparkSession)
+    buckets = max(LEAST_BUCKETS, 2 * partitions(df.sparkSession))
     asked = _versioned(df, text_col, id_col).mapInArrow(_asks(buckets), "bucket int, asks binary, doc long, version long, spans binary")
     return asked.groupBy("bucket").applyInArrow(_answers, "doc long, version long, spans binary")
 
