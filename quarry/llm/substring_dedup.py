@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, gram_hashes, id_or_last, mixed, partitions, rows_of, small_batches, texts, word_hashes
+from .common import LAST_ID, gram_hashes, id_or_last, mixed, partitions, ranges, rows_of, small_batches, texts, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
 #: Windows that a block of documents gathers before it sends them.
-BLOCK_WINDOWS = 4_000_000
+BLOCK_WINDOWS = 2_500_000
 #: A document's answers come in at most one row for each of its repeated anchors; with few
 #: buckets in fewer. Enough buckets make their number follow the documents alone.
 LEAST_BUCKETS = 128
@@ -133,12 +133,15 @@ def _asks(buckets: int):
             edges = np.flatnonzero(np.diff(bucket[ask], prepend=-1, append=-1))
             for a, b in zip(edges, edges[1:]):
                 own = ask[a:b]
-                doc = (at[own] >> np.uint64(32)).astype(np.int64)
+                edge = np.flatnonzero(np.concatenate([[True], at[own][1:] != at[own][:-1] + _ONE]))
+                begin, count = at[own][edge], np.diff(np.append(edge, len(own)))
+                doc = (begin >> np.uint64(32)).astype(np.int64)
                 new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 head = docs[doc[new]].astype("<i8")
-                runs = np.diff(np.append(new, len(own))).astype("<i4")
-                starts = (at[own] & np.uint64(0xFFFFFFFF)).astype("<i4")
-                blobs.append(b"".join((len(new).to_bytes(4, "little"), len(own).to_bytes(4, "little"), head.tobytes(), runs.tobytes(), starts.tobytes(), window[own].tobytes())))
+                runs = np.diff(np.append(new, len(doc))).astype("<i4")
+                starts = (begin & np.uint64(0xFFFFFFFF)).astype("<i4")
+                sizes = np.array([len(new), len(begin), len(own)], "<i4")
+                blobs.append(b"".join(x.tobytes() for x in (sizes, head, runs, starts, count.astype("<i4"), window[own])))
                 out_bucket.append(int(bucket[own[0]]))
                 rows.append(None)
             begin, count = _spans(at[~first])
@@ -189,11 +192,11 @@ def _answers(key: tuple, table: pa.Table) -> pa.Table:
     schema = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("spans", pa.binary())])
     if not blobs:
         return decided.cast(schema)
-    heads, runs, starts, windows = [], [], [], []
+    heads, runs, starts, counts, windows = [], [], [], [], []
     for b in blobs:
-        docs, m = int.from_bytes(b[:4], "little"), int.from_bytes(b[4:8], "little")
-        at = 8
-        for out, kind, n in ((heads, "<i8", 2 * docs), (runs, "<i4", docs), (starts, "<i4", m), (windows, "<u8", m)):
+        docs, spans, m = np.frombuffer(b, "<i4", 3).tolist()
+        at = 12
+        for out, kind, n in ((heads, "<i8", 2 * docs), (runs, "<i4", docs), (starts, "<i4", spans), (counts, "<i4", spans), (windows, "<u8", m)):
             out.append(np.frombuffer(b, kind, n, at))
             at += out[-1].nbytes
     head = np.concatenate(heads).reshape(-1, 2)
@@ -202,9 +205,10 @@ def _answers(key: tuple, table: pa.Table) -> pa.Table:
     rank = np.empty(len(order), np.uint64)
     rank[order] = (np.cumsum(fresh) - 1).astype(np.uint64)
     docs = head[order][fresh]
-    at = (np.repeat(rank, np.concatenate(runs)) << np.uint64(32)) | np.concatenate(starts).astype(np.uint64)
+    begin = (np.repeat(rank, np.concatenate(runs)) << np.uint64(32)) | np.concatenate(starts).astype(np.uint64)
+    at = ranges(begin.view(np.int64), np.concatenate(counts).astype(np.int64)).view(np.uint64)
     window = np.concatenate(windows)
-    del heads, runs, starts, windows
+    del heads, runs, starts, counts, windows
     by = np.lexsort((at, window))
     window, at = window[by], at[by]
     new = np.concatenate([[True], window[1:] != window[:-1]])
