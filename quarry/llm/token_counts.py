@@ -269,16 +269,10 @@ def _byte_of_sign() -> dict[str, int]:
 
 
 class Counter:
-    """Token counts of texts. Made from the tokenizer's file contents; compiled on first use."""
+    """Token counts of texts, compiled from the contents of a tokenizer's file."""
 
     def __init__(self, content: str):
-        self.content, self.ready = content, False
-
-    def __getstate__(self) -> dict:
-        return {"content": self.content, "ready": False}
-
-    def _compile(self) -> None:
-        spec = json.loads(self.content)
+        spec = json.loads(content)
         model, sign = spec["model"], _byte_of_sign()
         cut = spec["pre_tokenizer"]
         if model["type"] != "BPE" or cut["type"] != "ByteLevel" or cut["add_prefix_space"] or spec["normalizer"]:
@@ -288,11 +282,9 @@ class Counter:
         self.merges = Merges([raw(t) for t in model["vocab"]], [(raw(a), raw(b)) for a, b in pairs])
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.cutter, self.ready = Cutter(), True
+        self.cutter = Cutter()
 
     def counts(self, texts: list[str]) -> list[int]:
-        if not self.ready:
-            self._compile()
         totals = [0] * len(texts)
         pieces: list[tuple[int, str]] = []
         for k, text in enumerate(texts):
@@ -302,7 +294,7 @@ class Counter:
                 pieces += [(k, p) for p in parts]
             else:
                 pieces.append((k, text))
-        count, words = self.merges.count, self.merges.words
+        count = self.merges.count
         at = 0
         while at < len(pieces):
             end, held = at, 0
@@ -328,9 +320,9 @@ class Counter:
         return totals
 
 
-def _count(counter):
+def _count(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter.value
+        own = Counter(content.value)
         for batch in rows_of(batches):
             raw = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
             counts = own.counts([x.decode("utf-8", "replace") for x in raw])
@@ -352,9 +344,9 @@ def token_counts(df: DataFrame, path: str | None = None, text_col: str = "text",
     """(doc_id, n_bytes, n_tokens) for each row; ``path`` is the tokenizer's file, read by the driver."""
     small_batches(df.sparkSession)
     with open(path or tokenizer_path(), encoding="utf-8") as file:
-        counter = df.sparkSession.sparkContext.broadcast(Counter(file.read()))
+        content = df.sparkSession.sparkContext.broadcast(file.read())
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_count(counter), "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(_count(content), "doc_id long, n_bytes long, n_tokens long")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
