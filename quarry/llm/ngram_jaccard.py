@@ -58,12 +58,14 @@ SHINGLE = 5
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
 #: The frequency sketch: rows, and counters in a row.
-SKETCH_ROWS, SKETCH_WIDTH = 2, 1 << 16
+SKETCH_ROWS, SKETCH_WIDTH = 2, 1 << 19
 SKETCH_PARTS = 8
 #: The largest k, and the cost of verifying a shingle against that of a posting.
-MOST_K, VERIFY = 4, 0.25
+MOST_K, VERIFY = 16, 0.25
 #: Postings of one shingle are dealt to several tasks from about this number on.
 SPLIT_FROM = 17  # a power of two
+#: Up to so many classes in candidate pairs, their ids are broadcast; beyond, joined by a shuffle.
+MOST_BROADCAST = 200_000
 _HEAD = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<i4"), ("i", "<i4"), ("k", "<i1")])
 
 
@@ -151,9 +153,10 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int]:
     token = np.sort((level << np.uint64(58)) | (tokens >> np.uint64(6)))
     t = int(required(n))
     most = min(MOST_K, t)
-    cost = np.cumsum(np.exp2((token[: n - t + most] >> np.uint64(58)).astype(np.float64)) - 1)
+    # its own posting, and those of the others that have the token
+    cost = np.cumsum(np.exp2((token[: n - t + most] >> np.uint64(58)).astype(np.float64)))
     ks = np.arange(1, most + 1)
-    scanned = cost[np.minimum(n - t + ks, n) - 1] + 1e-3 * ks
+    scanned = cost[n - t + ks - 1]
     k = int(ks[np.argmin(scanned * (1 + VERIFY * n / ks))])
     return token[: n - t + k], k
 
@@ -231,7 +234,7 @@ def _partnered(rows: np.ndarray) -> np.ndarray:
     sizes = np.sort(group * wide + n)
     low = -(-NUM * n // DEN)
     # rest >= overlap - k + 1, and overlap >= NUM * (n + other) / (NUM + DEN)
-    high = np.minimum(DEN * n // NUM, (rest + MOST_K - 1) * (NUM + DEN) // NUM - n)
+    high = np.minimum(DEN * n // NUM, (rest + rows["k"] - 1) * (NUM + DEN) // NUM - n)
     near = np.searchsorted(sizes, group * wide + np.minimum(high, wide - 1), "right") - np.searchsorted(sizes, group * wide + low)
     hot = (rows["token"] >> np.uint64(58)).astype(np.int64) > SPLIT_FROM
     return (near > (high >= n)) | hot
@@ -279,25 +282,22 @@ def _candidates(pairs: DataFrame) -> DataFrame:
     return counted.where("shared >= k")
 
 
-class _Sets:
-    """The shingle sets of the classes that occur in candidate pairs, stored once."""
+def _sets(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cid, tokens) of the classes in the pairs (a, b); a repeated row may bring a class twice."""
+    cids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    owners = keys.join(cids, "cid", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"), F.first("cid").alias("cid"))
+    owners = stored(owners.select("doc", "cid"))
+    few = owners.count() <= MOST_BROADCAST
+    rows = docs.join(F.broadcast(owners) if few else owners, "doc").select("cid", "text")
 
-    def __init__(self, docs: DataFrame, keys: DataFrame):
-        self.docs, self.keys = docs, keys
-
-    def of(self, cids: DataFrame) -> DataFrame:
-        """(cid, tokens) of the classes in ``cids``; a repeated row may bring a class twice."""
-        where = self.keys.join(cids, "cid", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"), F.first("cid").alias("cid"))
-        rows = self.docs.join(where.select("doc", "cid").distinct(), "doc").select("cid", "text")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in rows_of(batches):
-                cid, sets = batch.column("cid").to_numpy(), _sets_of(batch)
-                own = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
-                keep = [k for k, x in enumerate(own) if x == cid[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), int64_lists([sets[k] for k in keep])], names=["cid", "tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            cid, sets = batch.column("cid").to_numpy(), _sets_of(batch)
+            own = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
+            keep = [k for k, x in enumerate(own) if x == cid[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), int64_lists([sets[k] for k in keep])], names=["cid", "tokens"])
 
-        return rows.mapInArrow(run, "cid long, tokens array<long>")
+    return stored(rows.mapInArrow(run, "cid long, tokens array<long>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -336,9 +336,7 @@ def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     first = _candidates(led.select(c("lcid").alias("a"), c("ln").alias("an"), c("lk").alias("ak"), c("cid").alias("b"), c("n").alias("bn"), c("k").alias("bk")))
     best = first.groupBy("b").agg(F.max(F.struct("shared", "a", "an", "bn")).alias("x")).select("x.a", "b", "x.an", "x.bn")
     best = stored(best)
-    involved = postings.select("cid").distinct()
-    sets = stored(_Sets(docs, keys).of(involved))
-    found = stored(_verified(best, sets))
+    found = stored(_verified(best, _sets(docs, keys, best)))
     labels = components(found)
 
     labelled = postings.select("token", "cid", "n", "i", "k").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
@@ -360,7 +358,8 @@ def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         F.least("a", "b").alias("a"), F.when(c("a") < c("b"), c("an")).otherwise(c("bn")).alias("an"), F.least("ak", "bk").alias("ak"),
         F.greatest("a", "b").alias("b"), F.when(c("a") < c("b"), c("bn")).otherwise(c("an")).alias("bn"), F.least("ak", "bk").alias("bk"),
     )
-    more = stored(_verified(_candidates(flipped), sets))
+    pairs = stored(_candidates(flipped).select("a", "b", "an", "bn"))
+    more = stored(_verified(pairs, _sets(docs, keys, pairs)))
     if not more.isEmpty():
         stars = labels.select(c("node").alias("u"), c("label").alias("v"))
         labels = components(stars.unionByName(more))
