@@ -17,9 +17,9 @@ sketch has a fixed size and counts every shingle of every document; errors in it
 change costs, never results. Prefixes travel as packed blocks by shingle. Each
 shingle's postings are first paired with one leader only, the class with the
 fewest rarer shingles, which a group of near copies shares; links found that way
-form components. Then all pairs of postings in different components are
-generated, so no link between components is missed while pairs inside a
-component are never expanded.
+form components. Then the pairs of postings in different components are generated
+where the shared shingle can be the pair's first common one, so no link between
+components is missed while pairs inside a component are never expanded.
 
 Defined cases: null or blank text has no shingles and is linked with nothing (its
 component is its own id); with fewer than five words the whole sequence is one
@@ -266,9 +266,8 @@ _POSTING_ARROW = [("token", "int64"), ("cid", "int64"), ("n", "int32"), ("i", "i
 _POSTING = "token long, cid long, n int, i int, k byte, lcid long, ln int, li int, lk byte"
 
 
-def _matches(n1, i1, k1, n2, i2, k2):
+def _matches(n1, i1, n2, i2, k):
     """Whether a shared token can be among the first k common ones of a pair that links."""
-    k = F.least(k1, k2)
     overlap = F.ceil((n1 + n2) * F.lit(NUM) / F.lit(NUM + DEN))
     sizes = (F.least(n1, n2) * DEN) >= (F.greatest(n1, n2) * NUM)
     return sizes & (F.least(n1 - i1, n2 - i2) >= overlap - k + 1)
@@ -282,6 +281,18 @@ def _candidates(pairs: DataFrame) -> DataFrame:
     return counted.where("shared >= k")
 
 
+def _sharing(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """The pairs (a, b, an, bn) whose prefixes share as many tokens as the smaller k of the two.
+
+    The pairs have a shared token that can be the first common one of a linked
+    pair; only for them are the prefixes themselves compared.
+    """
+    own = postings.groupBy("cid").agg(F.collect_list("token").alias("x"), F.first("k").alias("k"))
+    side = lambda p: own.select(F.col("cid").alias(p), F.col("x").alias(f"{p}x"), F.col("k").alias(f"{p}k"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("ax", "bx")) >= F.least("ak", "bk")).select("a", "b", "an", "bn")
+
+
 def _sets(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cid, tokens) of the classes in the pairs (a, b); a repeated row may bring a class twice."""
     cids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
@@ -332,7 +343,7 @@ def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     c = F.col
     led = postings.select("cid", "n", "i", "k", "lcid", "ln", "li", "lk").unionByName(_hot_leaders(postings))
-    led = led.where(c("cid") != c("lcid")).where(_matches(c("n"), c("i"), c("k"), c("ln"), c("li"), c("lk")))
+    led = led.where(c("cid") != c("lcid")).where(_matches(c("n"), c("i"), c("ln"), c("li"), F.least("k", "lk")))
     first = _candidates(led.select(c("lcid").alias("a"), c("ln").alias("an"), c("lk").alias("ak"), c("cid").alias("b"), c("n").alias("bn"), c("k").alias("bk")))
     best = first.groupBy("b").agg(F.max(F.struct("shared", "a", "an", "bn")).alias("x")).select("x.a", "b", "x.an", "x.bn")
     best = stored(best)
@@ -351,14 +362,14 @@ def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         as_(rest.withColumn("usual", F.lit(0)), "r")
         .join(as_(open_, "o").join(usual, "token"), "token")
         .where("rlabel <> olabel and (olabel = usual or rcid < ocid)")
-        .where(_matches(c("rn"), c("ri"), c("rk"), c("on"), c("oi"), c("ok")))
+        .where(_matches(c("rn"), c("ri"), c("on"), c("oi"), F.lit(1)))
     )
-    pairs = crossed.select(c("rcid").alias("a"), c("rn").alias("an"), c("rk").alias("ak"), c("ocid").alias("b"), c("on").alias("bn"), c("ok").alias("bk"))
-    flipped = pairs.select(
-        F.least("a", "b").alias("a"), F.when(c("a") < c("b"), c("an")).otherwise(c("bn")).alias("an"), F.least("ak", "bk").alias("ak"),
-        F.greatest("a", "b").alias("b"), F.when(c("a") < c("b"), c("bn")).otherwise(c("an")).alias("bn"), F.least("ak", "bk").alias("bk"),
-    )
-    pairs = stored(_candidates(flipped).select("a", "b", "an", "bn"))
+    first = crossed.select(
+        F.least("rcid", "ocid").alias("a"), F.greatest("rcid", "ocid").alias("b"),
+        F.when(c("rcid") < c("ocid"), c("rn")).otherwise(c("on")).alias("an"),
+        F.when(c("rcid") < c("ocid"), c("on")).otherwise(c("rn")).alias("bn"),
+    ).distinct()
+    pairs = stored(_sharing(stored(first), open_))
     more = stored(_verified(pairs, _sets(docs, keys, pairs)))
     if not more.isEmpty():
         stars = labels.select(c("node").alias("u"), c("label").alias("v"))

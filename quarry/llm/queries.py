@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from . import decontamination, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op5_mixing": mixing.op5_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
