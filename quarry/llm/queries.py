@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity
+import corpus_pipeline
+
+from . import decontamination, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
@@ -10,10 +12,12 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op7_decontamination": decontamination.op7_decontamination,
     "op5_mixing": mixing.op5_mixing,
+    "op6_pii": pii.op6_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
