@@ -128,13 +128,19 @@ def _sketch(keys: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(bytes(r["counts"]), np.int64) for r in rows]).reshape(SKETCH_ROWS, SKETCH_WIDTH)
 
 
-def frequencies(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Estimated documents of each shingle; 0 where it can't be told from the sketch's noise."""
+def levels(sketch: np.ndarray) -> np.ndarray:
+    """For each counter, the logarithm of the frequency that it shows, from 1; 0 within the noise of its row."""
     load = sketch.sum(axis=1, keepdims=True) / SKETCH_WIDTH
-    over = np.inf
-    for r, place in enumerate(_places(tokens)):
-        over = np.minimum(over, sketch[r][place] - load[r])
-    return np.where(over > 5 * np.sqrt(load.max()) + 1, over, 0)
+    over = sketch - load
+    return np.where(over > 5 * np.sqrt(load) + 1, np.log2(np.maximum(over, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+
+
+def level_of(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A shingle's level: the least over the rows of the table."""
+    first, *rest = (table[r][place] for r, place in enumerate(_places(tokens)))
+    for other in rest:
+        first = np.minimum(first, other)
+    return first.astype(np.uint64)
 
 
 def required(n: np.ndarray | int) -> np.ndarray | int:
@@ -142,15 +148,13 @@ def required(n: np.ndarray | int) -> np.ndarray | int:
     return -(-NUM * n // DEN)
 
 
-def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix(tokens: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int]:
     """A set's prefix in the global order, and its k.
 
     A token is made of six bits for the logarithm of its frequency and 58 of its hash.
     """
     n = len(tokens)
-    f = frequencies(tokens, sketch)
-    level = np.where(f > 0, np.log2(np.maximum(f, 1)).astype(np.int64) + 1, 0).astype(np.uint64)
-    token = np.sort((level << np.uint64(58)) | (tokens >> np.uint64(6)))
+    token = np.sort((level_of(tokens, table) << np.uint64(58)) | (tokens >> np.uint64(6)))
     t = int(required(n))
     most = min(MOST_K, t)
     # its own posting, and those of the others that have the token
@@ -161,11 +165,11 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int]:
     return token[: n - t + k], k
 
 
-def _prefixes(sketch, buckets: int):
+def _prefixes(shared, buckets: int):
     """(doc, text) -> packed prefix postings, one row for a bucket of tokens and a block of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = sketch.value, set()
+        table, seen = shared.value, set()
         block: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -336,9 +340,9 @@ def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     docs = df.select(id_or_last(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     made = stored(docs.mapInArrow(_keys, "doc long, n long, key binary, cid long, part int, counts binary"))
     keys = made.where("part is null").select("doc", "n", "key", "cid")
-    sketch = spark.sparkContext.broadcast(_sketch(made))
+    table = spark.sparkContext.broadcast(levels(_sketch(made)))
     buckets = 2 * partitions(spark)
-    packed = docs.select("text").mapInArrow(_prefixes(sketch, buckets), "bucket int, rows binary")
+    packed = docs.select("text").mapInArrow(_prefixes(table, buckets), "bucket int, rows binary")
     postings = stored(packed.groupBy("bucket").applyInArrow(_postings, _POSTING))
 
     c = F.col
