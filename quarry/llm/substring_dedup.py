@@ -106,6 +106,8 @@ class Block:
 
 def _spans(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Consecutive starts of a document as (first at, number)."""
+    if not len(at):
+        return at, np.empty(0, np.int64)
     at = np.sort(at)
     edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + _ONE]))
     return at[edge], np.diff(np.append(edge, len(at)))
@@ -213,7 +215,7 @@ def _answers(key: tuple, table: pa.Table) -> pa.Table:
     window, at = window[by], at[by]
     new = np.concatenate([[True], window[1:] != window[:-1]])
     least = at[np.flatnonzero(new)][np.cumsum(new) - 1]
-    begin, count = _spans(np.unique(at[at != least])) if (at != least).any() else (at[:0], at[:0])
+    begin, count = _spans(np.unique(at[at != least]))
     found = list(_by_doc(docs, begin, count))
     answered = pa.table({name: pa.array([r[k] for r in found], kind) for k, (name, kind) in enumerate(zip(schema.names, schema.types))})
     return pa.concat_tables([decided.cast(schema), answered])

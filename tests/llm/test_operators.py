@@ -1,0 +1,438 @@
+"""Each corpus operator against brute force on small fixtures with awkward rows."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import decontamination, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shared int"
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def sentence(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def awkward_rows(seed=1):
+    """Copies, near copies, shared passages, nulls, blanks, repeated rows, a hot source and a long text."""
+    rng = random.Random(seed)
+    base = [sentence(rng, rng.choice([1, 3, 4, 5, 19, 20, 21, 60, 150])) for _ in range(40)]
+    passage = sentence(rng, 30)
+    texts = list(base)
+    for t in base[:20]:
+        words = t.split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        texts += [t, " ".join(words), t.upper()]
+    texts += [passage + " " + sentence(rng, rng.randrange(12)) for _ in range(12)]
+    texts += [sentence(rng, 8) + "\n" + passage + "  " + passage for _ in range(4)]
+    texts += ["same hot text of a few words only"] * 60
+    texts += [None, "", "   \n\t ", "one", sentence(rng, 4000), "a b c " * 50, "Ünïcode é ß 中文 \U0001f600 word"]
+    rows = [(k, t, rng.choice(["en", "fr", None]), "hot" if rng.random() < 0.4 else f"s{k % 5}", len(t or ""), k) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    again = [rows[3], rows[3], (None, base[0], "en", None, 1, 0), (None, None, None, None, None, None)]
+    return rows + again
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return awkward_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# 1 ------------------------------------------------------------------------
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    if len(w) < 5:
+        return frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+
+
+def components_by_force(rows):
+    nodes = [(2**63 - 1 if r[0] is None else r[0], shingle_set(r[1])) for r in rows]
+    parent = list(range(len(nodes)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(nodes)):
+        for b in range(a):
+            x, y = nodes[a][1], nodes[b][1]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (doc, s) in enumerate(nodes):
+        least[find(k)] = min(least.get(find(k), doc), doc)
+    out = []
+    for k, (doc, s) in enumerate(nodes):
+        comp = least[find(k)] if s else doc
+        out.append(tuple(None if x == 2**63 - 1 else x for x in (doc,)) + (len(s), None if comp == 2**63 - 1 else comp))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates(spark, seed):
+    rows = awkward_rows(seed)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = as_rows(ngram_jaccard.near_duplicates(df).select("doc_id", "n_shingles", "component_id"))
+    assert got == components_by_force(rows)
+
+
+def test_near_copies_linked_through_chains(spark):
+    """A chain in which only neighbours are similar, and a star whose leaves are not."""
+    rng = random.Random(5)
+    words = sentence(rng, 200, 10**6).split()
+    chain, rows = list(words), []
+    for k in range(12):
+        rows.append((k, " ".join(chain)))
+        at = 10 + 15 * k
+        chain[at : at + 8] = [f"x{k}_{j}" for j in range(8)]
+    for k in range(30):
+        leaf = words[100:] + sentence(rng, 60, 10**6).split()[:0]
+        at = rng.randrange(len(leaf))
+        leaf[at] = f"leaf{k}"
+        rows.append((100 + k, " ".join(leaf)))
+    rows = [(a, b, None, None, None, None) for a, b in rows]
+    got = as_rows(ngram_jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id"))
+    assert got == components_by_force(rows)
+
+
+def test_split_hot_tokens(spark, monkeypatch):
+    """Postings of frequent tokens dealt to several tasks give the same components."""
+    monkeypatch.setattr(ngram_jaccard, "SPLIT_FROM", 1)
+    rows = awkward_rows(3)
+    got = as_rows(ngram_jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id"))
+    assert got == components_by_force(rows)
+
+
+def test_one_of_each(docs, rows):
+    kept = ngram_jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    force = components_by_force(rows)
+    assert sorted(ids, key=repr) == sorted({c for _, _, c in force}, key=repr)
+
+
+# 2, 10 ----------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    out = toxicity.op2_toxicity(spark, big).join(labels, "doc_id").where("held_out").select("toxic", "score", "predicted").collect()
+    toxic = [r.score for r in out if r.toxic]
+    clean = [r.score for r in out if not r.toxic]
+    better = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert better > 0.85
+    assert sum(r.predicted for r in out if not r.toxic) <= 0.03 * len(clean)
+    assert docs.count() == toxicity.op2_toxicity(spark, big).count()
+
+
+def test_toxicity_edges(spark, docs, nothing):
+    labels = spark.createDataFrame([(k, 1, int(k % 2)) for k in range(0, 60)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, toxicity.remainder(F.col("doc_id"), 3) != 1)
+    out = toxicity.toxicity(docs, model).collect()
+    assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for k, v in by.items() if k is not None)
+    assert {r.doc_id for r in out if r.held_out} == {k for k in by if zlib.crc32(str(k if k is not None else "").encode()) % 3 == 1}
+    assert toxicity.toxicity(nothing, model).count() == 0
+    unlabelled = toxicity.train(docs, labels.limit(0), F.lit(True))
+    assert {r.score for r in toxicity.toxicity(docs, unlabelled).collect()} == {toxicity.scores([""], *unlabelled)[0]}
+
+
+def test_features_are_distinct_grams():
+    places, edges = toxicity.features(["aaaa aaaa", "", "ab", "xyz xyz"])
+    assert edges[0] == 0 and edges[1] - edges[0] > 0 and edges[2] == edges[1] < edges[3]
+    assert len(set(places[: edges[1]].tolist())) == edges[1]
+
+
+def test_quality_held_out(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    out = quality_classifier.op10_quality_classifier(spark, big).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in out) >= 0.95 * len(out)
+
+
+def test_quality_rules_compile_to_the_same_score(docs, nothing):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.random((300, len(quality_classifier.NAMES)))
+    y = ((x[:, 1] > 0.4) & (x[:, 3] < 0.7)).astype(float)
+    model = quality_classifier.fitted(x, y)
+    assert np.mean((model.logit(x) > 0) == (y > 0)) > 0.95
+    stats = quality_classifier.with_statistics(docs.select("doc_id", "text")).select(*quality_classifier.NAMES, model.score().alias("score")).collect()
+    data = np.array([tuple(r) for r in stats], float)
+    assert np.allclose(1 / (1 + np.exp(-model.logit(data[:, :-1]))), data[:, -1])
+    assert quality_classifier.quality(nothing, model).count() == 0
+
+
+# 3 ------------------------------------------------------------------------
+
+
+def test_sharding(docs, rows, nothing):
+    out = sharding.shard_by_bytes(docs, shards=6).collect()
+    assert len(out) == len(rows)
+    size = lambda t: len((t or "").encode()) + 8
+    total, largest = sum(size(r.text) for r in out), max(size(r.text) for r in out)
+    loads = {}
+    for r in out:
+        loads.setdefault(r.shard, []).append(r)
+    assert set(loads) <= set(range(6))
+    for own in loads.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    # each splitter is as near to its target as whole rows allow
+    before = 0
+    for k in range(5):
+        before += sum(size(r.text) for r in loads.get(k, []))
+        assert abs(before - total * (k + 1) / 6) <= largest / 2 + sharding.TOLERANCE * total / 6 + 200
+    assert sharding.shard_by_bytes(nothing).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard_by_bytes(docs.withColumn("shard", F.lit(1)))
+
+
+def test_sharding_cuts_a_hot_text(spark):
+    rows = [(k, "hot text" if k % 3 == 0 else f"text {k}") for k in range(3000)]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).groupBy("shard").agg(F.sum(F.octet_length("text") + 8).alias("n")).collect()
+    loads = [r.n for r in out]
+    assert len(loads) == 24 and max(loads) - min(loads) <= 64
+
+
+def test_op3_columns(spark, sf_dir):
+    out = sharding.op3_sharding(spark, sf_dir).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert len(out) == len(docs)
+    for r in out:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(docs[r.doc_id].encode()) + 8, zlib.crc32(docs[r.doc_id].encode()), "bytes", None)
+
+
+# 4 ------------------------------------------------------------------------
+
+
+def statistics_by_force(text):
+    words = (text or "").encode().split()
+    decoded = [w.decode() for w in words]
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if x.strip(BLANK)]
+    return len(words), sum(map(len, decoded)), sum(ch in "#*$%&|<>" for ch in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_statistics(spark):
+    rng = random.Random(4)
+    texts = [sentence(rng, rng.randrange(80), 6) for _ in range(60)] + ["x\ny\n\nx\n x\nx", "#*$ <a> |&%", "a a a", "a a a a", "é ß z", None, "", " \n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    w = quality_rules.words_of(F.col("text"))
+    out = df.select("doc_id", F.size(w), quality_rules.word_chars(w), quality_rules.n_symbols(F.col("text")), quality_rules.n_dup_lines(F.col("text")), quality_rules.n_repeat_words(w)).collect()
+    for r in out:
+        assert tuple(r)[1:] == statistics_by_force(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_cascade_order_never_changes_the_verdict(docs, nothing):
+    rules = quality_rules.default_rules()
+    kept = quality_rules.quality_rules(docs, rules)
+    assert kept.columns == docs.columns
+    other = quality_rules.with_words(docs).where(quality_rules.verdict(rules[::-1], F.col("text"), F.col("_q_words")).isNull())
+    assert sorted(r.shared for r in kept.collect()) == sorted(r.shared for r in other.collect())
+    assert quality_rules.quality_rules(nothing).count() == 0
+    ordered, estimates = quality_rules.plan(docs, rules)
+    assert sorted(r.name for r in ordered) == sorted(r.name for r in rules)
+    assert [e.rank for e in estimates] == sorted((e.rank for e in estimates), reverse=True)
+
+
+# 5 ------------------------------------------------------------------------
+
+
+def test_mixing(docs, rows, nothing):
+    out = mixing.weighted(docs)
+    got = out.collect()
+    assert len(got) == len(rows) and all(0 <= r._m_weight <= 1 for r in got)
+    assert mixing.mix(docs).columns == docs.columns
+    assert mixing.mix(nothing).count() == 0
+    assert {r._m_weight for r in got if r._m_mass} != {mixing.KEEP}
+    frames = {(r._m_source, r._m_lang, r._m_topic): r._m_weight for r in mixing.weighted(docs, most_cells=0).collect()}
+    for r in got:
+        assert abs(frames[r._m_source, r._m_lang, r._m_topic] - r._m_weight) < 1e-6
+
+
+def test_raking_meets_feasible_targets():
+    cells = [(s, lang, t, 100.0 + 50 * (s == "a") + 20 * (lang == "x") + 10 * (t == "q")) for s in "abc" for lang in "xy" for t in "pq"]
+    targets = {"source": {"a": 0.3, "b": 0.3, "c": 0.4}, "lang": {"x": 0.45, "y": 0.55}, "topic": {"p": 0.5, "q": 0.5}}
+    w = mixing.raked(cells, 0.5, targets)
+    total = sum(c[3] for c in cells)
+    for k, d in enumerate(mixing.DIMENSIONS):
+        for value, share in targets[d].items():
+            assert abs(sum(x * c[3] for x, c in zip(w, cells) if c[k] == value) - share * 0.5 * total) < 1e-2 * total
+
+
+def test_sampling_follows_the_weights(spark):
+    df = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 15000, "big").otherwise("small").alias("source"))
+    kept = mixing.mix(df, targets={"source": {"big": 0.5, "small": 0.5}}).groupBy("source").count().collect()
+    counts = {r.source: r["count"] for r in kept}
+    assert abs(counts["big"] - 5000) < 300 and counts["small"] == 5000
+
+
+# 6 ------------------------------------------------------------------------
+
+
+def test_permutations():
+    for n in (1, 2, 3, 10, 97, 1000):
+        p = pii.Permutation(b"key", n, "t")
+        values = [p(k) for k in range(n)]
+        assert sorted(values) == list(range(n)) and (n == 1 or all(a != b for a, b in enumerate(values)))
+
+
+def test_surrogates(spark, nothing):
+    texts = [
+        "Write to Jane.Doe+x@Mail7.example.com or +1 (017) 555-7713, not 555.",
+        "jane.doe+x@mail7.example.com and 10.1.2.3 and 4111 1111 1111 1111",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" DE89 3704 0044 0532 0130 00',
+        "Mrs. Anna Schmidt met Mr. John Miller; Mrs. Anna Schmidt left.",
+        "A clean text, with 12 numbers 3.14 and 2024-01-01.",
+        None,
+        "",
+    ]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, entities int")
+    out = pii.surrogate_texts(df)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[4].text == texts[4] and got[5].text is None and got[6].text == ""
+    for k in range(4):
+        for e in got[k].entities:
+            assert e.value not in got[k].text and e.surrogate in got[k].text
+            assert [c.isdigit() for c in e.value] == [c.isdigit() for c in e.surrogate] or e.kind in ("secret", "ip", "name")
+    assert got[0].n_entities == 2 and got[1].n_entities == 3 and got[2].n_entities == 2 and got[3].n_entities == 3
+    a, b = got[0].entities[0].surrogate, got[1].entities[0].surrogate
+    assert a.lower() == b and a.endswith(".com")
+    names = [e.surrogate for e in got[3].entities]
+    assert names[0] == names[2] and names[0].split()[0] in pii.GIVEN["f"] and names[1].split()[0] in pii.GIVEN["m"]
+    card = got[1].entities[2].surrogate.replace(" ", "")
+    assert pii._check_digit(card[:-1]) == int(card[-1])
+    assert pii.collisions(out).count() == 0
+    assert pii.surrogate_texts(nothing).count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    rng = random.Random(9)
+    texts = [f"call +1 ({rng.randrange(1000):03d}) 555-{rng.randrange(10000):04d} or mail u{k}@h{k % 7}.org from 10.{k % 250}.3.{k // 250}" for k in range(2000)]
+    out = pii.surrogate_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert pii.collisions(out).count() == 0
+
+
+# 7 ------------------------------------------------------------------------
+
+
+def test_decontamination(spark, docs, nothing):
+    rng = random.Random(6)
+    items = [sentence(rng, n, 10**6) for n in (3, 11, 14, 30, 50)] + [None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = {}
+    for k, item in enumerate(items[:5]):
+        words = item.split()
+        texts[k] = sentence(rng, 40) + " " + item + " " + sentence(rng, 40)
+        changed = list(words)
+        if len(words) > 12:
+            changed[5] = "other"
+            changed[-3] = "another"
+            texts[10 + k] = sentence(rng, 20) + "\n" + " ".join(changed).upper()
+        texts[20 + k] = " ".join(words[::-1]) + " " + sentence(rng, 30)
+    texts[30] = sentence(rng, 200)
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()] + [(None, items[4], 1), (None, None, 2)], "doc_id long, text string, item_id int")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminations(df, bench).collect()}
+    expected = {(k, k) for k in range(5)} | {(12, 2), (13, 3), (14, 4), (None, 4)}
+    assert found == expected
+    parts = {(r.doc_id, r.item_id) for r in decontamination.contaminations(df, bench, most_words=10).collect()}
+    assert parts == expected
+    kept = decontamination.decontaminated(df, bench)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([20, 21, 22, 23, 24, 30, None], key=repr)
+    assert decontamination.contaminations(nothing, bench).count() == 0
+    assert decontamination.contaminations(docs, bench.limit(0)).count() == 0
+
+
+# 8 ------------------------------------------------------------------------
+
+
+def test_token_counts(spark, docs, rows, nothing):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(token_counts.tokenizer_path())
+    rng = random.Random(3)
+    parts = ["'", "'s", "'re", "'l", "'ll", " ", "  ", "\n", "\t", " ", "　", "a", "Z", "é", "1", "½", "!", "...", "中文", "😀", "<|endoftext|>", "<|end", " the", "\x00", "''", "aaaaaaaa", "    "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 30, 700, 1500]))) for _ in range(400)]
+    with open(token_counts.tokenizer_path(), encoding="utf-8") as file:
+        counter = token_counts.Counter(file.read())
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.counts(texts) == expected
+    got = as_rows(token_counts.token_counts(docs))
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert got == sorted(((r[0], len((r[1] or "").encode()), count(r[1] or "")) for r in rows), key=repr)
+    assert token_counts.token_counts(nothing).count() == 0
+
+
+def test_token_states_are_finite():
+    with open(token_counts.tokenizer_path(), encoding="utf-8") as file:
+        merges = token_counts.Counter(file.read()).merges
+    before = len(merges.places)
+    merges.count("ab" * 40_000)
+    assert len(merges.places) - before < 2000
+
+
+# 9 ------------------------------------------------------------------------
+
+
+def dedup_by_force(rows):
+    docs = sorted({(2**63 - 1 if r[0] is None else r[0], hash(r[1] or ""), r[1] or "") for r in rows})
+    seen, out = set(), {}
+    for doc, version, text in docs:
+        w = text.encode().split()
+        cover, fresh = [False] * len(w), set()
+        for k in range(len(w) - 19):
+            window = tuple(w[k : k + 20])
+            if window in seen or window in fresh:
+                cover[k : k + 20] = [True] * 20
+            fresh.add(window)
+        seen |= fresh
+        kept = b" ".join(x for x, c in zip(w, cover) if not c)
+        out[doc, text] = (len(w), sum(cover), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("block", [50, 10**6])
+def test_substring_dedup(docs, rows, nothing, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", block)
+    force = dedup_by_force(rows)
+    got = as_rows(substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    last = lambda d: 2**63 - 1 if d is None else d
+    assert got == sorted(((r[0], *force[last(r[0]), r[1] or ""]) for r in rows), key=repr)
+    assert substring_dedup.substring_dedup(nothing).count() == 0
+
+
+def test_anchors_are_the_rightmost_least():
+    import numpy as np
+
+    x = np.array([5, 3, 3, 9, 1, 1, 7, 8, 2], np.uint64)
+    for width in (1, 2, 3, 4, 7, 9):
+        expected = [max(range(k, k + width), key=lambda j: (-int(x[j]), j)) for k in range(len(x) - width + 1)]
+        assert substring_dedup.anchors(x, width).tolist() == expected

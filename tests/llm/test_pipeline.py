@@ -1,0 +1,35 @@
+"""The pipeline's stages, each on what its predecessor kept."""
+
+import corpus_pipeline
+import pytest
+
+import __spark_entry__
+from quarry.llm import decontamination, ngram_jaccard
+from quarry.llm.common import stored
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+        seen.append({r.doc_id for r in docs.select("doc_id").collect()})
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+    assert all(b <= a for a, b in zip(seen, seen[1:])) and seen[-1] == seen[-2]
+    assert docs.select("shard", "slot").distinct().count() == docs.count()
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert decontamination.contaminations(docs, bench).count() == 0
+    again = ngram_jaccard.near_duplicates(docs).where("component_id <> doc_id").count()
+    assert again == 0
+
+
+def test_run_is_registered(spark, sf_dir):
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert corpus_pipeline.ORACLE_SQL is None
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("number", range(1, 11))
+def test_one_query_for_each_operator(number):
+    assert len([q for q in __spark_entry__.queries() if q.startswith(f"op{number}_")]) == 1
