@@ -58,7 +58,7 @@ SHINGLE = 5
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
 #: The frequency sketch: rows, and counters in a row.
-SKETCH_ROWS, SKETCH_WIDTH = 2, 1 << 19
+SKETCH_ROWS, SKETCH_WIDTH = 2, 1 << 20
 SKETCH_PARTS = 8
 #: The largest k, and the cost of verifying a shingle against that of a posting.
 MOST_K, VERIFY = 16, 0.25
@@ -129,10 +129,13 @@ def _sketch(keys: DataFrame) -> np.ndarray:
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
-    """For each counter, the logarithm of the frequency that it shows, from 1; 0 within the noise of its row."""
+    """For each counter, the logarithm of the frequency that it shows, from 1; 0 within one deviation of its row.
+
+    A rare shingle that looks frequent in all rows only stands later in the order.
+    """
     load = sketch.sum(axis=1, keepdims=True) / SKETCH_WIDTH
     over = sketch - load
-    return np.where(over > 5 * np.sqrt(load) + 1, np.log2(np.maximum(over, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+    return np.where(over > np.sqrt(load) + 1, np.log2(np.maximum(over, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
 def level_of(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
