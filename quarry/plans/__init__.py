@@ -1 +1,3 @@
 """quarry.plans"""
+
+from . import queries  # noqa: E402,F401  registers the queries
