@@ -181,8 +181,9 @@ def verdict(rules: list[Rule], text: Column, words: Column) -> Column:
 def quality_rules(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
     """The documents that no rule rejects, with the input's columns."""
     ordered, _ = plan(df, rules or default_rules(), text_col)
-    kept = with_words(df, text_col).where(verdict(ordered, F.col(text_col), F.col("_q_words")).isNull())
-    return kept.select(df.columns)
+    # a filter on a column of words would be pushed below it and split the text anew for every rule
+    failed = bound(words_of(F.col(text_col)), lambda w: verdict(ordered, F.col(text_col), w))
+    return df.where(failed.isNull())
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
