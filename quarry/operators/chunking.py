@@ -38,14 +38,15 @@ def _blocks(text: Column, pattern: str) -> Column:
 
 def split_large(text: Column, size: int = rules.MAX_CHUNK_CHARS) -> Column:
     """A text's pieces: itself, or packed paragraphs, or packed sentences, or slices."""
-    own = T.strip(text)
-    paragraphs, sentences = _blocks(own, r"\n{2,}"), _blocks(own, r"(?U)(?<=[.!?؟؛:])\s+")
-    return (
-        F.when(F.char_length(own) <= size, F.array(own))
-        .when(F.size(paragraphs) > 1, packed(paragraphs, size))
-        .when(F.size(sentences) > 1, packed(sentences, size))
-        .otherwise(hard_slices(own, size))
-    )
+
+    def by_sentences(own: Column) -> Column:
+        return T.let(_blocks(own, r"(?U)(?<=[.!?؟؛:])\s+"), lambda x: F.when(F.size(x) > 1, packed(x, size)).otherwise(hard_slices(own, size)))
+
+    def pieces(own: Column) -> Column:
+        paragraphs = T.let(_blocks(own, r"\n{2,}"), lambda x: F.when(F.size(x) > 1, packed(x, size)).otherwise(by_sentences(own)))
+        return F.when(F.char_length(own) <= size, F.array(own)).otherwise(paragraphs)
+
+    return T.let(T.strip(text), pieces)
 
 
 def plain_entries(text: Column, size: int = rules.PLAIN_ENTRY_CHARS) -> Column:

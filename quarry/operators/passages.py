@@ -12,22 +12,27 @@ from .chunking import passages
 
 def score(passage: Column, terms: list[str], article: str | None = None) -> Column:
     """Hits of terms in a normalised passage, less for numbers, more for the article; long passages lose a point."""
-    normal, out = T.normalize_query(passage), F.lit(0.0)
-    for term in terms:
-        if term.isdigit():
-            out = out + F.when(normal.rlike(rf"\b{term}\b"), rules.NUMBER_HIT).otherwise(0.0)
-        else:
-            out = out + F.when(F.contains(normal, F.lit(term)), 1.0).otherwise(0.0)
-    if article:
-        out = out + F.when(normal.rlike(rf"\barticle\s*{article}\b"), rules.ARTICLE_BONUS).otherwise(0.0)
-    return out - F.when(F.char_length(passage) > 2600, 1.0).otherwise(0.0)
+
+    def total(normal: Column) -> Column:
+        out = F.lit(0.0)
+        for term in terms:
+            if term.isdigit():
+                out = out + F.when(normal.rlike(rf"\b{term}\b"), rules.NUMBER_HIT).otherwise(0.0)
+            else:
+                out = out + F.when(F.contains(normal, F.lit(term)), 1.0).otherwise(0.0)
+        if article:
+            out = out + F.when(normal.rlike(rf"\barticle\s*{article}\b"), rules.ARTICLE_BONUS).otherwise(0.0)
+        return out
+
+    return T.let(T.normalize_query(passage), total) - F.when(F.char_length(passage) > 2600, 1.0).otherwise(0.0)
 
 
 def search(documents: DataFrame, terms: list[str], article: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The best passage of each document that reaches the least score; ties by place."""
     least = rules.ARTICLE_LEAST if article else rules.PASSAGE_LEAST
     own = documents.select(key, F.posexplode(passages(F.col(text))).alias("place", "passage"))
-    scored = own.withColumn("score", F.round(score(F.col("passage"), terms, article), 4)).where(F.col("score") >= least)
+    # let() keeps the filter from computing the score a second time
+    scored = own.select(key, "place", "passage", F.explode(F.array(F.round(score(F.col("passage"), terms, article), 4))).alias("score")).where(F.col("score") >= least)
     best = F.max_by(F.struct("passage", "place"), F.struct("score", -F.col("place")))
     return scored.groupBy(key).agg(F.max("score").alias("score"), best.alias("_b")).select(key, "score", "_b.place", "_b.passage")
 
