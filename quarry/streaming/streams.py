@@ -13,26 +13,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OPEN, CLOSE = "<think>", "</think>"
 
 
+def _watched(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with a watermark on its time; a table as it is."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, every: str, late: str = "10 minutes", at: str = "ts", by: list[str] | None = None) -> DataFrame:
     """Counts and sums by window, on a table or a stream; late rows beyond the watermark are left out of a stream."""
-    rows = events.withWatermark(at, late) if events.isStreaming else events
+    rows = _watched(events, at, late)
     grouped = rows.groupBy(F.window(at, every).alias("w"), *(by or []))
     return grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("w.start").alias("start"), *(by or []), "n", "total")
 
 
 def sliding(events: DataFrame, width: str, step: str, late: str = "10 minutes", at: str = "ts") -> DataFrame:
-    rows = events.withWatermark(at, late) if events.isStreaming else events
+    rows = _watched(events, at, late)
     return rows.groupBy(F.window(at, width, step).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str, by: str, late: str = "10 minutes", at: str = "ts") -> DataFrame:
-    rows = events.withWatermark(at, late) if events.isStreaming else events
+    rows = _watched(events, at, late)
     grouped = rows.groupBy(by, F.session_window(at, gap).alias("s"))
     return grouped.agg(F.count("*").alias("n")).select(by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
 def distinct_events(events: DataFrame, keys: list[str], late: str = "10 minutes", at: str = "ts") -> DataFrame:
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return _watched(events, at, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def feed(held: str, inside: bool, delta: str) -> tuple[str, str, bool]:
