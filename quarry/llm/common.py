@@ -19,7 +19,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Null document ids sort behind every other id.
 LAST_ID = 2**63 - 1
 #: Rows in one Arrow batch sent to Python; texts are long, so few rows.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 _ODD = np.array(
     [int.from_bytes(xxhash.xxh64(b"place", seed=k).digest(), "big") | 1 for k in range(64)],
