@@ -20,13 +20,22 @@ PASSAGE_CHARS, PASSAGE_TARGET = 1800, 1600
 
 # Words that widen a question that contains the key.
 QUERY_EXPANSIONS = {
+    "caution": "caution cautionnement provisoire définitive garantie bancaire engagement solidaire ضمان وقتي الضمان الوقتي يرجع الضمان الوقتي ضمان نهائي الكفيل بالتضامن كفلائهم بالتضامن كفالة بنكية",
     "délai": "délai livraison installation période durée أجل تسليم مدة تنفيذ",
     "paiement": "paiement modalité conditions échéance versement خلاص دفع أقساط فاتورة",
+    "offre": "offre soumission dépôt remise envoi plateforme تونبس تقديم العروض إيداع إرسال",
     "réception": "réception provisoire définitive livraison validation استلام تسليم قبول",
     "garantie": "garantie durée maintenance SAV après-vente ضمان مدة الضمان صيانة",
+    "document": "document administratif technique registre attestation وثائق إدارية فنية",
+    "cnss": "CNSS affiliation attestation solde الضمان الاجتماعي",
+    "registre": "registre commerce RNE identification سجل تجاري المؤسسات",
     "variante": "variante alternative substitut option بديل عروض بديلة",
+    "ouverture": "ouverture plis séance publique ouverture des offres فتح العروض جلسة علنية",
+    "soumission": "soumission dépôt plateforme envoi remise تقديم العروض تونبس إيداع إرسال",
+    "validité": "valable validité offre reste valable délais de validité des offres الالتزام بالعروض الالتزام ببنود وشروط هذا التعهد هذا التعهد لمدة 90 120 يوما",
     "références": "références projets installation justificatifs مراجع",
     "financier": "financier prix bordereau soumission lettre عرض مالي أثمان أسعار",
+    "constructeur": "constructeur partenariat officielle lettre مصنع",
     "pénalité": "pénalité retard sanction amende تغريم غرامة عقوبة تأخير فسخ",
     "objet": "objet cahier charges acquisition fourniture projet موضوع اقتناء تزويد مشروع",
 }
@@ -58,11 +67,22 @@ STOPWORDS = (
 ).split()
 SYNONYMS = {
     "address": "adresse rue bp siege contact".split(),
+    "adresse": "address rue bp siege contact".split(),
     "amount": "montant prix dinars dinar".split(),
+    "bank": "banque tsb".split(),
+    "buyer": "acheteur maitre ouvrage tsb".split(),
+    "client": "maitre ouvrage acheteur beneficiaire tsb".split(),
     "contact": "email mail telephone tel fax adresse".split(),
     "delivery": "livraison installation delai execution".split(),
+    "manager": "responsable chef maitre ouvrage".split(),
+    "owner": "maitre ouvrage acheteur beneficiaire".split(),
     "price": "prix montant bordereau financier".split(),
+    "project": "projet marche objet maitre ouvrage".split(),
+    "qualification": "participation certification reference references".split(),
     "required": "exige exiges obligatoire demande demandes".split(),
+    "requirements": "exigences exige obligatoire conditions".split(),
+    "say": "article stipule prevoit indique".split(),
+    "who": "qui maitre ouvrage fournisseur".split(),
 }
 PASSAGE_LEAST, ARTICLE_LEAST, ARTICLE_BONUS, NUMBER_HIT = 2.0, 4.0, 8.0, 0.8
 
@@ -79,3 +99,15 @@ GUESSWORK = [
 ARABIC_LEAST, ARABIC_READABLE, READABLE_LEAST = 0.08, 0.68, 0.55
 # Fixed value: least share of a quote's words for an approximate match.
 QUOTE_SHARE = 0.55
+
+# An anchor and the values that make it a signal, in Arabic text.
+ARABIC_SIGNALS = [
+    ("أمر بصرف", ["30", "ثلاثون"]),
+    ("غرامة التأخير", ["965", "5 96", "5%"]),
+    ("خطايا التأخير", ["965", "5 96", "5%"]),
+    ("الضمان النهائي", ["903", "3 96", "3%"]),
+    ("ضمان نهائي", ["903", "3 96", "3%"]),
+    ("العرض الفني", ["ISO", "9001", "14001", "1590", "1509001", "جذاذات فنية"]),
+]
+# Signs of table debris in a list's item, and its greatest number of bars and equals signs.
+ITEM_NOISE, ITEM_LEAST, ITEM_SYMBOLS = ["authentifications", "designations", "cachet signature", "soumissionnaire reg p", "fu 3"], 8, 3

@@ -194,3 +194,28 @@ def warning(facts: DataFrame, pages: DataFrame) -> DataFrame:
     n = facts.groupBy("doc_id").agg(F.count("*").alias("facts"))
     joined = text.join(n, "doc_id", "left").withColumn("facts", F.coalesce("facts", F.lit(0)))
     return joined.where((F.col("facts") <= 1) & ((F.col("fragments") >= 0.32) | (F.col("chars") / F.col("pages") < 320)))
+
+
+def resolved(facts: DataFrame, values: DataFrame, pattern: str = r"\b(IM|DPAO)\s*\(?(\d{1,3})\)?") -> DataFrame:
+    """Facts (doc_id, field, text) with place-holders replaced by their values (doc_id, key, value)."""
+    table = values.groupBy("doc_id").agg(F.collect_list(F.struct("key", "value")).alias("_v"))
+    joined = facts.join(table, "doc_id", "left")
+    # the same key may be written with or without brackets
+    plain = F.regexp_replace("text", pattern, "$1$2")
+    text = F.aggregate(F.coalesce("_v", F.array().cast("array<struct<key:string,value:string>>")), plain, lambda t, v: F.regexp_replace(t, F.concat(F.lit(r"\b"), v["key"], F.lit(r"\b")), F.regexp_replace(v["value"], r"([\\$])", r"\\$1")))
+    return joined.withColumn("text", F.when(F.col("text").rlike(pattern), text).otherwise(F.col("text"))).select(facts.columns)
+
+
+def mined_scores(mined: DataFrame, questions: DataFrame, least: int = 4) -> DataFrame:
+    """Mined facts (doc_id, type, label, value) that share enough with each question (query_id, doc_id, question).
+
+    Two points for each term that the label has, one for the value's, and three if
+    the question names the type.
+    """
+    asked = questions.select("query_id", "doc_id", T.terms_of(F.col("question")).alias("_t"), T.normalize_query(F.col("question")).alias("_q"))
+    words = lambda c: F.split(T.normalize_query(F.col(c)), " ")
+    joined = mined.join(asked, "doc_id")
+    score = 2 * F.size(F.array_intersect("_t", words("label"))) + F.size(F.array_intersect("_t", words("value"))) + F.when(F.contains("_q", "type"), 3).otherwise(0)
+    kept = joined.withColumn("score", score).where(F.col("score") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "type", "label", "value")
+    return kept.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "type", "label", "value", "score", "rank")

@@ -90,3 +90,36 @@ def best_by(rows: DataFrame, by: list[str], order: list[Column], keep: list[str]
     """The row of each group with the greatest order."""
     best = F.max_by(F.struct(*keep), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]))
     return rows.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
+
+
+def three_way(current: DataFrame, other: DataFrame, expected: DataFrame) -> DataFrame:
+    """Which of two extractions (doc_id, field, text) meets what is expected (doc_id, field, status, contains)."""
+    side = lambda t, name: t.select("doc_id", "field", F.lower("text").alias(name))
+    joined = expected.join(side(current, "a"), ["doc_id", "field"], "left").join(side(other, "b"), ["doc_id", "field"], "left")
+    hit = lambda name: F.coalesce(F.exists("contains", lambda x: F.contains(F.col(name), F.lower(x))), F.lit(False))
+    absent = lambda name: F.col(name).isNull()
+    good_a = F.when(F.col("status") == "present", hit("a")).when(F.col("status") == "not_found", absent("a"))
+    good_b = F.when(F.col("status") == "present", hit("b")).when(F.col("status") == "not_found", absent("b"))
+    winner = (
+        F.when(good_a & good_b, "both").when(good_a, "current").when(good_b, "other").when(good_a.isNotNull(), "none")
+        .when(~absent("a") | ~absent("b"), "needs_review").otherwise("unknown")
+    )
+    return joined.select("doc_id", "field", winner.alias("winner"))
+
+
+def found_documents(chunks: DataFrame, needle: str, fields: list[str]) -> DataFrame:
+    """Documents whose chunks have a text in one of the fields, whatever the case: number of chunks and first page."""
+    hay = F.lower(F.concat_ws(" ", *fields))
+    rows = chunks.where(F.contains(hay, F.lit(needle.lower())) & F.col("doc_id").isNotNull())
+    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min_by("page", "chunk_index").alias("first_page"))
+
+
+def named_like(rows: DataFrame, needle: str) -> DataFrame:
+    """Rows whose name or description contains a text, whatever the case."""
+    return rows.where(F.contains(F.lower("name"), F.lit(needle.lower())) | F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lit(needle.lower())))
+
+
+def fact_sources(facts: DataFrame, most: int = 4) -> DataFrame:
+    """Facts (doc_id, field, items of page and section) -> the distinct places of their items, at most ``most``."""
+    places = F.array_distinct(F.transform("items", lambda x: F.struct(x["page"].alias("page"), F.coalesce(x["section"], F.lit("general")).alias("section"))))
+    return facts.select("doc_id", "field", F.slice(places, 1, most).alias("places"))

@@ -249,3 +249,34 @@ def test_answers(spark, pages):
 def test_uuid5_is_the_standard_one(spark):
     for name in ("file.pdf_c0", "é", ""):
         assert one(spark, T.uuid5(F.col("t")), name) == str(uuid.uuid5(uuid.NAMESPACE_DNS, name))
+
+
+def test_three_way(spark):
+    fact = lambda *r: spark.createDataFrame(list(r), "doc_id string, field string, text string")
+    expected = spark.createDataFrame(
+        [("d", "a", "present", ["x"]), ("d", "b", "present", ["x"]), ("d", "c", "not_found", []), ("d", "e", None, []), ("d", "f", None, [])],
+        "doc_id string, field string, status string, contains array<string>",
+    )
+    got = reports.three_way(fact(("d", "a", "has X"), ("d", "c", "made up"), ("d", "e", "z")), fact(("d", "a", "x"), ("d", "b", "x")), expected)
+    assert {r.field: r.winner for r in got.collect()} == {"a": "both", "b": "other", "c": "other", "e": "needs_review", "f": "unknown"}
+
+
+def test_payload_search_and_sources(spark):
+    chunks = spark.createDataFrame([("d", "File.PDF", "2", 1), ("d", "File.PDF", "1", 0), ("e", "other", "1", 0), (None, "file", "1", 0)], "doc_id string, source string, page string, chunk_index int")
+    assert rows(reports.found_documents(chunks, "file", ["source"])) == [("d", 2, "1")]
+    named = spark.createDataFrame([("Alpha", None), ("b", "has ALPHA"), ("c", "d")], "name string, description string")
+    assert reports.named_like(named, "alpha").count() == 2
+    listed = spark.createDataFrame([("d", "f", [("1", None), ("1", None), ("2", "s")])], "doc_id string, field string, items array<struct<page:string,section:string>>")
+    assert [tuple(x) for x in reports.fact_sources(listed).collect()[0].places] == [("1", "general"), ("2", "s")]
+
+
+def test_placeholders_are_replaced(spark):
+    found = spark.createDataFrame([("d", "f", "see IM(3) and IM 4"), ("d", "g", "plain")], "doc_id string, field string, text string")
+    values = spark.createDataFrame([("d", "IM3", r"5 $ \ x")], "doc_id string, key string, value string")
+    assert {r.field: r.text for r in facts.resolved(found, values).collect()} == {"f": r"see 5 $ \ x and IM4", "g": "plain"}
+
+
+def test_mined_scores(spark):
+    mined = spark.createDataFrame([("d", "lot", "Serveurs rack", "prix unitaire"), ("d", "metric", "zz", "5")], "doc_id string, type string, label string, value string")
+    asked = spark.createDataFrame([(1, "d", "Quel lot de serveurs ?")], "query_id int, doc_id string, question string")
+    assert [(r.label, r.score, r["rank"]) for r in facts.mined_scores(mined, asked).collect()] == [("Serveurs rack", 5, 1)]
