@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -320,9 +321,18 @@ class Counter:
         return totals
 
 
+def _compiled(content: str) -> Counter:
+    """This worker's counter for a tokenizer; one is kept from task to task with the states it has met."""
+    kept = sys.__dict__.setdefault("_quarry_token_counter", {})
+    if content not in kept:
+        kept.clear()
+        kept[content] = Counter(content)
+    return kept[content]
+
+
 def _count(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Counter(content.value)
+        own = _compiled(content.value)
         for batch in rows_of(batches):
             raw = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
             counts = own.counts([x.decode("utf-8", "replace") for x in raw])
