@@ -129,8 +129,8 @@ def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("focus_bonus", """
 WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\w\\s'']', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, round((CASE WHEN contains(t, 'the and') THEN 0.22 ELSE 0 END) + (CASE WHEN contains(t, 'license') THEN 0.22 ELSE 0 END)
-  + (CASE WHEN contains(t, 'ing') THEN 0.08 ELSE 0 END) - (CASE WHEN contains(t, 'copyright') THEN 0.25 ELSE 0 END), 4) AS bonus FROM n""")
+SELECT doc_id, round(CAST((CASE WHEN contains(t, 'the and') THEN 0.22 ELSE 0 END) + (CASE WHEN contains(t, 'license') THEN 0.22 ELSE 0 END)
+  + (CASE WHEN contains(t, 'ing') THEN 0.08 ELSE 0 END) - (CASE WHEN contains(t, 'copyright') THEN 0.25 ELSE 0 END) AS DOUBLE), 4) AS bonus FROM n""")
 def focus_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.focus(table(spark, sf_dir, "documents"), "text", **FOCUS).select("doc_id", "bonus")
 
@@ -144,7 +144,7 @@ def section_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("char_ratios", r"""
-SELECT doc_id, round(CASE WHEN n > 0 THEN readable / n ELSE 0 END, 4) AS readable_ratio, 0.0 AS arabic_ratio,
+SELECT doc_id, round(CASE WHEN n > 0 THEN readable / n ELSE 0 END, 4) AS readable_ratio, CAST(0 AS DOUBLE) AS arabic_ratio,
        CAST(CASE WHEN length(t) = 0 THEN -1000 ELSE least(length(t) // 80, 40) + least(digits, 30) END AS INTEGER) AS quality
 FROM (SELECT doc_id, length(regexp_replace(text, '[\s]+', '', 'g')) AS n, length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS readable,
              regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t,
@@ -323,8 +323,8 @@ def audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("passage_search", r"""
 WITH n AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\w\s'']', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, round(CASE WHEN contains(t, 'license') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'apache') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'version') THEN 1.0 ELSE 0 END
-   + CASE WHEN regexp_matches(t, '\b2\b') THEN 0.8 ELSE 0 END - CASE WHEN length(text) > 2600 THEN 1.0 ELSE 0 END, 4) AS score FROM n""")
+SELECT doc_id, round(CAST(CASE WHEN contains(t, 'license') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'apache') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'version') THEN 1.0 ELSE 0 END
+   + CASE WHEN regexp_matches(t, '\b2\b') THEN 0.8 ELSE 0 END - CASE WHEN length(text) > 2600 THEN 1.0 ELSE 0 END AS DOUBLE), 4) AS score FROM n""")
 def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(passages.score(F.col("text"), ["license", "apache", "version", "2"]), 4).alias("score"))
 

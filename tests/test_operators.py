@@ -18,36 +18,19 @@ def rows(df):
 # chunking -------------------------------------------------------------------
 
 
-def split_by_force(text, size):
-    import re
-
-    text = text.strip()
-    if len(text) <= size:
-        return [text]
-    blocks = [b.strip() for b in re.split(r"\n{2,}", text) if b.strip()]
-    if len(blocks) <= 1:
-        blocks = [b.strip() for b in re.split(r"(?<=[.!?؟؛:])\s+", text) if b.strip()]
-    slices = lambda x: [p for p in (x[k : k + size].strip() for k in range(0, len(x), size)) if p]
-    if len(blocks) <= 1:
-        return slices(text)
-    out, held = [], ""
-    for b in blocks:
-        joined = f"{held}\n\n{b}" if held else b
-        if len(joined) <= size:
-            held = joined
-            continue
-        out += [held] if held else []
-        held = b if len(b) <= size else ""
-        out += slices(b) if len(b) > size else []
-    return out + ([held] if held else [])
-
-
 def test_split_large(spark):
-    texts = ["x" * 2500, "a. " * 900, "p\n\n" * 900, "short", "w " * 700 + "\n\n" + "y" * 3000 + "\n\nend", "  \n"]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", chunking.split_large(F.col("t")))
-    for k, pieces in df.collect():
-        assert pieces == split_by_force(texts[k], 1200)
-    assert [len(x) for x in one(spark, chunking.split_large(F.col("t")), "x" * 2500)] == [1200, 1200, 100]
+    split = chunking.split_large(F.col("t"))
+    assert one(spark, split, " short \n") == ["short"]
+    assert [len(x) for x in one(spark, split, "x" * 2500)] == [1200, 1200, 100]
+    # 300 paragraphs of one letter: 400 letters and 399 separators of two fill 1198 of 1200
+    pieces = one(spark, split, "p\n\n" * 900)
+    assert [len(x) for x in pieces] == [1198, 1198, 298]
+    # sentences are joined by an empty line
+    pieces = one(spark, split, "aaaa. " * 400)
+    assert all(len(x) <= 1200 for x in pieces) and "\n\n".join(pieces) == "\n\n".join(["aaaa."] * 400)
+    # a paragraph that is too long is sliced, and what was open before it is closed
+    pieces = one(spark, split, "head\n\n" + "y" * 3000 + "\n\nend")
+    assert [len(x) for x in pieces] == [4, 1200, 1200, 600, 3]
 
 
 def test_merge(spark):
