@@ -1,12 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased and lose ASCII punctuation. Fixed masks over ``SPAN`` consecutive words name the
-positions that a hash looks at; the others may differ. The masked hashes of all
-windows of the benchmark are joined with those of all windows of the documents.
+Words are lower-cased and lose ASCII punctuation. A window of ``STRETCH`` words (or
+of a shorter item's own length) that may lose e words is cut into e + 2 blocks; each
+two blocks are a seed, whose hash looks at their words only. Any e substitutions
+leave two blocks intact, so no window that counts as equal below is missed. The
+seeds' hashes of all windows of the benchmark are joined with those of the documents.
 Every hit gives a document, an item and their offset; along that offset the words
 are compared, and the item counts as found if some stretch of ``STRETCH`` words (or
 the whole item, if shorter) has at least ``SHARE`` of its words equal, whatever is
-substituted in between. Items shorter than the masks are looked for as they are.
+substituted in between. Items of at most four words can lose none.
 
 The benchmark is broadcast as arrays in parts of at most ``MOST_WORDS`` words; a
 larger one is joined part by part, each part over all documents.
@@ -19,8 +21,10 @@ an empty benchmark or table gives an empty result; further columns are kept by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import _ODD, mixed, ranges, rows_of, small_batches, texts, word_hashes
 
-#: Positions that count, over twelve words; each mask ignores others.
-MASKS = ("111010011011", "110110110101", "101101101110", "111111000011")
-SPAN = 12
 STRETCH, SHARE = 13, 0.8
 MOST_WORDS = 2_000_000
 _TABLE_BITS = 22
@@ -46,26 +47,36 @@ def words_in(batch: list[bytes]) -> list[np.ndarray]:
     return word_hashes(plain) if plain else []
 
 
-def masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
-    """Hash of every window of len(mask) words over the mask's positions."""
-    m = len(words) - len(mask) + 1
+def blocks_of(width: int) -> list[np.ndarray]:
+    """The places of a window in two blocks more than it may lose words; one block if it may lose none."""
+    lost = width - math.ceil(SHARE * width)
+    return np.array_split(np.arange(width), lost + 2 if lost else 1)
+
+
+def seed_hashes(words: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each seed, its hash of every window of ``width`` words."""
+    m = len(words) - width + 1
     if m <= 0:
-        return np.empty(0, np.uint64)
-    total = np.full(m, salt, np.uint64)
-    for k, sign in enumerate(mask):
-        if sign == "1":
+        return
+    sums = []
+    for block in blocks_of(width):
+        total = np.zeros(m, np.uint64)
+        for k in block.tolist():
             total += words[k : k + m] * _ODD[k]
-    return mixed(total)
+        sums.append(total)
+    seeds = [a + b for a, b in combinations(sums, 2)] or sums
+    for j, total in enumerate(seeds):
+        yield mixed(total + np.uint64(8 * width + j))
 
 
 @dataclass
 class Index:
-    """The masked windows of a part of the benchmark, sorted by hash."""
+    """The seeds of a part of the benchmark, sorted by hash."""
 
     ids: list
     words: np.ndarray
     begin: np.ndarray
-    masks: list[str]
+    widths: list[int]
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -78,21 +89,19 @@ class Index:
 def index_of(ids: list, items: list[bytes]) -> Index:
     words = words_in(items)
     lengths = [len(w) for w in words]
-    masks = [*MASKS, *("1" * n for n in sorted({n for n in lengths if 0 < n < SPAN}))]
+    widths = sorted({min(STRETCH, n) for n in lengths if n})
     hashes, item, place = [], [], []
-    for j, mask in enumerate(masks):
-        for k, w in enumerate(words):
-            if len(mask) == SPAN or len(w) == len(mask):
-                h = masked(w, mask, j)
-                hashes.append(h)
-                item.append(np.full(len(h), k, np.int32))
-                place.append(np.arange(len(h), dtype=np.int32))
+    for k, w in enumerate(words):
+        for h in seed_hashes(w, min(STRETCH, len(w))) if len(w) else ():
+            hashes.append(h)
+            item.append(np.full(len(h), k, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
     cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
     h, item, place = cat(hashes, np.uint64), cat(item, np.int32), cat(place, np.int32)
     order = np.argsort(h, kind="stable")
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[(h & np.uint64(len(table) - 1)).astype(np.int64)] = True
-    return Index(ids, cat(words, np.uint64), np.cumsum([0, *lengths]), masks, h[order], item[order], place[order], table)
+    return Index(ids, cat(words, np.uint64), np.cumsum([0, *lengths]), widths, h[order], item[order], place[order], table)
 
 
 def found_in(words: np.ndarray, index: dict) -> list[tuple[int, int, int, int]]:
@@ -101,8 +110,7 @@ def found_in(words: np.ndarray, index: dict) -> list[tuple[int, int, int, int]]:
     seen: set[tuple[int, int]] = set()
     hashes, table = index["hashes"], index["table"]
     low = np.uint64(len(table) - 1)
-    for j, mask in enumerate(index["masks"]):
-        h = masked(words, mask, j)
+    for h in (h for width in index["widths"] for h in seed_hashes(words, width)):
         at = np.flatnonzero(table[(h & low).astype(np.int64)])
         if not len(at):
             continue

@@ -372,6 +372,38 @@ def test_decontamination(spark, docs, nothing):
     assert decontamination.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def found_by_force(text, items):
+    """Items that some offset finds, comparing all words at all offsets."""
+    found, words = set(), text.split()
+    for item, own in enumerate(x.split() for x in items):
+        width = min(decontamination.STRETCH, len(own))
+        for offset in range(-len(own), len(words) + 1):
+            first, last = max(0, offset), min(len(words), offset + len(own))
+            equal = [words[k] == own[k - offset] for k in range(first, last)]
+            if any(sum(equal[k : k + width]) >= decontamination.SHARE * width for k in range(len(equal) - width + 1)):
+                found.add(item)
+                break
+    return found
+
+
+def test_no_tolerated_substitution_is_missed():
+    rng = random.Random(7)
+    items = [sentence(rng, n, 10**6) for n in (*range(1, 21), 40, 60, 200)]
+    index = decontamination.index_of(list(range(len(items))), [x.encode() for x in items]).as_dict()
+    texts = []
+    for own in (x.split() for x in items):
+        n = len(own)
+        spots = [{k for k in range(n) if k % 5 == phase} for phase in range(5)]
+        spots += [{k for k in range(n) if rng.random() < 0.2} for _ in range(20)]
+        if n <= 14:
+            spots += [{a, b} for a in range(n) for b in range(a + 1)]
+        for out in spots:
+            changed = [f"x{k}" if k in out else w for k, w in enumerate(own)]
+            texts.append(" ".join([sentence(rng, rng.randrange(4)), *changed, sentence(rng, rng.randrange(4))]))
+    got = [{x[0] for x in decontamination.found_in(w, index)} for w in decontamination.words_in([t.encode() for t in texts])]
+    assert got == [found_by_force(t, items) for t in texts]
+
+
 # 8 ------------------------------------------------------------------------
 
 
