@@ -57,6 +57,14 @@ def id_or_last(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as no column of the input has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of every text of an Arrow column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import (
     LAST_ID,
+    SPACE_CHARS,
     distinct,
     gram_hashes,
     id_or_last,
@@ -50,6 +51,7 @@ from .common import (
     small_batches,
     stored,
     texts,
+    unused,
     word_hashes,
 )
 from .components import components
@@ -87,10 +89,12 @@ def _places(sets: np.ndarray) -> list[np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) -> (doc, n, key, cid), and at the end this task's part of the sketch."""
+    """(doc, text[, print]) -> (doc, n, key, cid[, print]), and at the end this task's part of the sketch."""
     counts = np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64)
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("cid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    own = [("doc", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("cid", pa.int64())]
     for batch in rows_of(batches):
+        prints = [batch.column("print")] if "print" in batch.schema.names else []
+        schema = pa.schema([*own, *[("print", pa.int64()) for _ in prints], ("part", pa.int32()), ("counts", pa.binary())])
         sets = _sets_of(batch)
         for r, place in enumerate(_places(np.concatenate(sets))):
             counts[r] += np.bincount(place, minlength=SKETCH_WIDTH)
@@ -98,11 +102,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         cids = [k and int.from_bytes(k[:8], "little", signed=True) for k in keys]
         nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cids, pa.int64()), *nothing], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cids, pa.int64()), *prints, *nothing], schema=schema)
     if counts.any():
         parts = np.split(counts.ravel().astype(np.uint32 if counts.max() < 2**32 else np.uint64), SKETCH_PARTS)
         packed = [bytes([p.itemsize]) + pa.compress(p.tobytes(), "zstd", asbytes=True) + len(p).to_bytes(4, "little") for p in parts]
-        gone = (pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64()))
+        gone = (pa.nulls(len(parts), kind) for kind in schema.types[:-2])
         yield pa.RecordBatch.from_arrays([*gone, pa.array(range(len(parts)), pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
 
@@ -336,13 +340,14 @@ def _hot_leaders(postings: DataFrame) -> DataFrame:
     )
 
 
-def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Components over classes (node, label), and each row's class (doc, n, key, cid)."""
+def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", prints: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Components over classes (node, label), and each row's class (doc, n, key, cid), if asked for with a print of its text."""
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(id_or_last(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    made = stored(docs.mapInArrow(_keys, "doc long, n long, key binary, cid long, part int, counts binary"))
-    keys = made.where("part is null").select("doc", "n", "key", "cid")
+    rows = docs.withColumn("print", F.xxhash64("text")) if prints else docs
+    made = stored(rows.mapInArrow(_keys, f"doc long, n long, key binary, cid long, {'print long, ' * prints}part int, counts binary"))
+    keys = made.where("part is null").drop("part", "counts")
     table = spark.sparkContext.broadcast(levels(_sketch(made)))
     buckets = 2 * partitions(spark)
     packed = docs.select("text").mapInArrow(_prefixes(table, buckets), "bucket int, rows binary")
@@ -401,15 +406,25 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 
 def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents with the smallest id of their component, with the input's columns.
+    """One row of each component, that with the smallest id, with the input's columns.
 
-    Of repeated rows with that id one stays; rows with a null id stay only if
-    their component has no other id.
+    A row is told by its id and its text: an id that comes with texts of several
+    components stays in each where it is the smallest, and of rows that repeat both
+    one stays. Rows with a null id stay only where their component has no other id,
+    one for each component. Blank texts are linked with nothing: one stays for each
+    id, and all that have none.
     """
-    found = near_duplicates(df.select(id_col, text_col), text_col, id_col)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = df.join(first, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    labels, keys = links_and_keys(df, text_col, id_col, prints=True)
+    classes = keys.where("key is not null").groupBy("key").agg(F.min(F.struct("doc", "print")).alias("row"), F.first("cid").alias("cid"))
+    labelled = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = labelled.groupBy("label").agg(F.min("row").alias("row")).select("row.doc", "row.print")
+    blanks = keys.where("key is null").where(F.col("doc") < LAST_ID).groupBy("doc").agg(F.min("print").alias("print"))
+    doc, text = id_or_last(F.col(id_col)), F.col(text_col).cast("string")
+    own = [unused(x, df.columns) for x in ("_doc", "_print")]
+    rows = df.withColumns(dict(zip(own, (doc, F.xxhash64(text)))))
+    kept = rows.join(least.unionByName(blanks).toDF(*own), own, "left_semi").dropDuplicates(own).drop(*own)
+    blank = F.coalesce(F.btrim(text, F.lit(SPACE_CHARS)), F.lit("")) == ""
+    return kept.unionByName(df.where((doc == LAST_ID) & blank))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

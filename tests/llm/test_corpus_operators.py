@@ -133,6 +133,24 @@ def test_one_of_each(docs, rows):
     assert sorted(ids, key=repr) == sorted({c for _, _, c in force}, key=repr)
 
 
+def test_one_of_each_loses_no_unlinked_text(spark):
+    rng = random.Random(11)
+    a, b, c, d, e, f, g = (sentence(rng, 60, 10**6) for _ in range(7))
+    near = c.replace(c.split(" ")[-1], "changed")
+    rows = [
+        (None, a), (None, b), (None, b + " "), (None, near),  # two components without an id, one of document 3
+        (3, c), (7, d), (7, near), (4, e), (4, f), (4, f), (9, e),
+        (None, None), (None, " "), (5, ""), (5, ""), (5, g),
+    ]
+    for n in (1, 4):
+        df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _doc int").repartition(n)
+        kept = ngram_jaccard.one_of_each(df)
+        assert kept.columns == df.columns
+        got = [(r.doc_id, r.text and r.text.strip()) for r in kept.collect()]
+        want = [(None, a), (None, b), (3, c), (7, d), (4, e), (4, f), (None, None), (None, ""), (5, ""), (5, g)]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 # 2, 10 ----------------------------------------------------------------------
 
 
