@@ -2,9 +2,10 @@
 
 Detected are e-mail addresses, telephone numbers, IPv4 addresses, payment cards,
 IBANs, US social-security numbers, long hexadecimal secrets and names behind a
-form of address. Each value is replaced by another of its kind under a secret key:
+form of address, with all other mentions of these names, whole or one word of them,
+in the same document. Each value is replaced by another of its kind under a secret key:
 
-* digits stay digits, letters stay letters of their alphabet and case, separators,
+* digits stay digits, letters stay letters of their script, alphabet and case, separators,
   lengths, country codes and top-level domains stay; an IPv4 address becomes
   another, a card keeps whether its check digit is right;
 * a given name that is known becomes a known one of the same gender and script,
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,7 +47,7 @@ PATTERNS = {
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w|-\d)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "card": re.compile(r"(?<![\w-])(?:\d{4}[ -]?){3}\d{1,4}(?![\w-])"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sr|Sra|Don|Doña|Señor|Señora)\.? ([^\W\d_][^\W\d_'’-]+(?: [^\W\d_a-zß-öø-ÿ][^\W\d_'’-]+)?)"),
+    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sr|Sra|Don|Doña|Señor|Señora)\.? ([^\W\d_](?:(?!['’]s\b)['’-]?[^\W\d_])+(?: [^\W\d_a-zß-öø-ÿ](?:(?!['’]s\b)['’-]?[^\W\d_])+)?)"),
 }
 _HERS = {"Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Mlle", "Madame", "Sra", "Doña", "Señora"}
 #: Known given names by gender; a surrogate is of the same list.
@@ -58,6 +61,29 @@ _ALPHABETS = [
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ",
 ]
 _PLACE = {ch: (a, k) for a, alphabet in enumerate(_ALPHABETS) for k, ch in enumerate(alphabet)}
+_LABELS = [chr(65 + a) for a in range(len(_ALPHABETS))]
+_SCRIPTS: set[tuple[str, str, int]] = set()
+
+
+def _shape(ch: str) -> tuple[str, str, int]:
+    """Category, script and range of a sign."""
+    return unicodedata.category(ch), unicodedata.name(ch, "").split(" ")[0], ord(ch).bit_length()
+
+
+def _place(ch: str) -> tuple[int, int] | None:
+    """(alphabet, place) of a sign in lower case: those above, or what has its shape; None if it stays."""
+    if ch in _PLACE or len(ch) != 1 or not (ch.isalpha() or ch.isdecimal()):
+        return _PLACE.get(ch)
+    shape = _shape(ch)
+    if shape not in _SCRIPTS:
+        own = [x for x in map(chr, range(1 << shape[2] - 1, 1 << shape[2])) if x not in _PLACE and _shape(x) == shape]
+        # only letters that come back from their upper case
+        own = [x for x in own if shape[0] != "Ll" or (len(x.upper()) == 1 and x.upper() != x and x.upper().lower() == x)]
+        _SCRIPTS.add(shape)
+        _ALPHABETS.append("".join(own))
+        _LABELS.append(repr(shape))
+        _PLACE.update((x, (len(_ALPHABETS) - 1, k)) for k, x in enumerate(own))
+    return _PLACE.get(ch)
 
 
 class Permutation:
@@ -119,11 +145,11 @@ class Surrogates:
 
     def _signs(self, value: str, kind: str, keep: Callable[[int], bool] = lambda k: False) -> str:
         """Exchanges digits and letters inside their alphabets; case and all else stay."""
-        spots = [(k, *_PLACE[ch.lower()]) for k, ch in enumerate(value) if ch.lower() in _PLACE and not keep(k)]
+        spots = [(k, *p) for k, ch in enumerate(value) if not keep(k) and (p := _place(ch.lower()))]
         n, x = 1, 0
         for _, a, place in spots:
             n, x = n * len(_ALPHABETS[a]), x * len(_ALPHABETS[a]) + place
-        x = Permutation(self.key, n, kind + "/" + "".join(chr(65 + a) for _, a, _ in spots))(x)
+        x = Permutation(self.key, n, kind + "/" + "".join(_LABELS[a] for _, a, _ in spots))(x)
         out = list(value)
         for k, a, _ in reversed(spots):
             x, place = divmod(x, len(_ALPHABETS[a]))
@@ -168,7 +194,7 @@ class Surrogates:
         # the last digit is as far from the right one as the original's
         last = (_check_digit(made) + int(digits[-1]) - _check_digit(digits[:-1])) % 10
         places = iter(f"{made}{last}")
-        return "".join(next(places) if ch.isdigit() else ch for ch in value)
+        return "".join(chr(ord(ch) - int(ch) + int(next(places))) if ch.isdecimal() else ch for ch in value)
 
     def _name(self, value: str, title: str) -> str:
         parts = value.split(" ")
@@ -219,7 +245,29 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for item in sorted(found, key=lambda x: (order[x[2]], x[0])):
         if all(item[1] <= a or b <= item[0] for a, b, *_ in taken):
             taken.append(item)
-    return sorted(taken)
+    return sorted([*taken, *_mentions(text, taken)])
+
+
+def _mentions(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The names found in a text, whole or one word of them, wherever else they stand in it."""
+    titles: dict[str, str] = {}
+    for a, b, kind, title in sorted(taken):
+        if kind == "name":
+            for part in (text[a:b], *text[a:b].split(" ")):
+                # a word in lower case is hardly a name
+                if not part[0].islower():
+                    titles.setdefault(part, title if " " in part else "")
+    if not titles:
+        return []
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(titles, key=lambda x: (-len(x), x)))) + r")(?!\w)")
+    known = sorted(taken)
+    starts = [x[0] for x in known]
+    found = []
+    for m in pattern.finditer(text):
+        k = bisect_right(starts, m.start())
+        if not (k and known[k - 1][1] > m.start()) and not (k < len(known) and starts[k] < m.end()):
+            found.append((*m.span(), "name", titles[m[0]]))
+    return found
 
 
 def replaced(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, str, str]]]:

@@ -352,6 +352,23 @@ def test_surrogates(spark, nothing):
     assert pii.surrogate_texts(nothing).count() == 0
 
 
+def test_surrogates_in_other_scripts_and_later_mentions(spark):
+    texts = [
+        "Mr. 王伟明 came, 王伟明 left", "Mme بنعلي", "call +٢١٢ ٦٦١ ٢٣٤ ٥٦٧ now", "Mr. Łukasz Řehoř",
+        "Mr. John Miller came. Miller said so, and Miller's dog too; John Miller left.",
+        "Mr. O'Brien and Ms. Smith-Jones, said O'Brien", "Mrs. Smith's house", "Dear Sir and friends, you and I",
+    ]
+    out = pii.surrogate_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    got = {r.doc_id: r for r in out.collect()}
+    for word in ("王", "بنعلي", "٢٣٤", "Łukasz", "Řehoř", "Miller", "O'Brien", "Smith", "Jones"):
+        assert not any(word in r.text for r in got.values()), word
+    assert [got[k].n_entities for k in range(8)] == [2, 1, 1, 1, 4, 3, 1, 1]
+    assert got[6].text.endswith("'s house") and got[7].text.endswith("friends, you and I")
+    name = got[0].entities[0].surrogate
+    assert got[0].text == f"Mr. {name} came, {name} left" and all("一" <= ch <= "鿿" for ch in name)
+    assert pii.collisions(out).count() == 0
+
+
 def test_surrogates_are_distinct(spark):
     rng = random.Random(9)
     texts = [f"call +1 ({rng.randrange(1000):03d}) 555-{rng.randrange(10000):04d} or mail u{k}@h{k % 7}.org from 10.{k % 250}.3.{k // 250}" for k in range(2000)]
