@@ -1,4 +1,4 @@
-"""Exact substring deduplication by seed and extend on winnowed anchors.
+"""Exact substring deduplication by window hashes, bucketed by winnowed anchors.
 
 A window is ``WINDOW`` consecutive words. A word is removed if a window that
 covers it occurs earlier: in a document with a smaller id, or earlier in the same
@@ -7,11 +7,12 @@ document.
 Method. Each window is represented by its anchor, the ``ANCHOR``-word run with the
 least hash inside it (the rightmost of equals), so equal windows have equal
 anchors at equal offsets, and a long repeat shares one anchor in every few words.
-Documents are joined on anchor hashes. From an anchor, a match is extended left
-and right: the windows of a run around it carry hashes of the words they reach on
-both sides, so an occurrence is compared with every earlier one of the same
-anchor at once, by grouping, and never in pairs. Consecutive matched windows fuse
-into maximal repeats of at least ``WINDOW`` words.
+The
+anchor only chooses the bucket; in it windows are grouped by their own 64-bit
+hashes, so an occurrence is compared with every earlier one at once and never in
+pairs. Nothing is extended from an anchor: every window is looked up, and
+consecutive matched windows of a document fuse into its repeats of at least
+``WINDOW`` words.
 
 Scale. A block of documents settles repeats within itself first and sends each
 distinct window once; a passage that a third of all rows hold therefore reaches
