@@ -486,9 +486,12 @@ def dedup_by_force(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [50, 10**6])
-def test_substring_dedup(docs, rows, nothing, monkeypatch, block):
+@pytest.mark.parametrize("block,hot,cut", [(50, 1000, 10**5), (10**6, 1000, 10**5), (50, 1, 10), (10**6, 1, 1)])
+def test_substring_dedup(docs, rows, nothing, monkeypatch, block, hot, cut):
+    """Also where every anchor is hot, and where buckets are extended in small slices."""
     monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(substring_dedup, "SLICE", cut)
     force = dedup_by_force(rows)
     got = as_rows(substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256"))
     last = lambda d: 2**63 - 1 if d is None else d
@@ -496,6 +499,28 @@ def test_substring_dedup(docs, rows, nothing, monkeypatch, block):
     assert substring_dedup.substring_dedup(nothing).count() == 0
 
 
+def test_extension_splits_groups_where_words_differ():
+    """Windows of one anchor that agree on one side only, on both, or that end at a text's edge."""
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = [f"c{k}" for k in range(40)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(40)] = f"x{rng.randrange(2)}"
+        a = rng.randrange(15)
+        texts.append(" ".join(words[a : a + 20 + rng.randrange(20)]).encode())
+    force = dedup_by_force([(k, t.decode()) for k, t in enumerate(texts)])
+    block = substring_dedup.Block()
+    for k, words in enumerate(substring_dedup.word_hashes(texts)):
+        block.add(k, 0, words, np.arange(len(substring_dedup.seeds(words)[0])))
+    found = {doc: spans for _, blob, doc, _, spans in block.settle(np.empty(0, np.uint64), 4) if blob is None}
+    for k, t in enumerate(texts):
+        cover = substring_dedup.covered_words(len(t.split()), found.get(k, b""))
+        assert int(cover.sum()) == force[k, t.decode()][1]
+
+
 def test_anchors_are_the_rightmost_least():
     import numpy as np
 
