@@ -6,30 +6,34 @@ of the last characters begins a pre-token. The second counts the merged tokens
 inside a pre-token: its states hold what the end of the bytes read so far can
 still be merged into (the last tokens at the places where a vocabulary entry may
 have begun), and each transition carries the number of tokens that it adds to, or
-takes from, the count. Its states are compiled when first met and shared by equal
-suffixes; whole pre-tokens are remembered as compressed paths.
+takes from, the count. Its states are compiled when first met, into arrays that a
+worker keeps for all tasks of a job; beyond ``most_states`` they are begun anew.
 
-Texts are cut into chunks of fixed length. For every chunk the map from each
-entry state to its exit state is computed, for all chunks of a batch at once;
-the maps compose through a parallel prefix scan, which gives every chunk its
-true entry state, and a second pass over all chunks emits the cuts. A long text
-is thus worked on in as many places as it has chunks.
+Texts are cut into chunks of fixed length, and all chunks of a batch run through
+the transducers at once. For every chunk the map from each entry state to its exit
+state, and for the second transducer the count on the way, is worked out; the maps
+compose through a parallel prefix scan. Behind the begin of a pre-token a map of
+the second transducer is constant; inside a pre-token that is longer than a chunk
+it is worked out for every state that can enter there. A long text, or a long
+pre-token, is thus worked on in as many places as it has chunks.
 
 Two adjacent tokens are compatible if merging their joined bytes gives just the
-two; a list of tokens is what the merges give if all neighbours are compatible,
+two, that is, if no merge across their border comes before the merges that take the
+pieces beside it; a list of tokens is what the merges give if all neighbours are compatible,
 so the last token at every place is the one entry that is compatible with the
 last token before it.
 
 Defined cases: a null or empty text has no tokens; strings of special tokens
 inside a text count as the library's default takes them, one token each; null
-ids, repeated rows and ties pass through; an empty table gives an empty result.
+ids, repeated rows and ties pass through; a very long text is cut into blocks of
+chunks like a batch of texts; an empty table gives an empty result; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -45,6 +49,9 @@ LIMIT = 512
 CHUNK = 512
 #: Characters taken together through the first transducer.
 BLOCK_CHARS = 2_000_000
+#: Bytes of a chunk of the second transducer.
+BYTES = 256
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 STATES = "start one_space one_blank spaces blanks letters digits signs quote quote_r quote_v quote_l short".split()
 #: "end" stands behind every text.
@@ -184,14 +191,25 @@ class Cutter:
 
 
 class Merges:
-    """The second transducer: bytes of a pre-token -> number of tokens, states compiled when met."""
+    """The second transducer: bytes of pre-tokens -> number of tokens, states compiled when met.
 
-    most_states, most_words = 400_000, 800_000
+    ``counts`` runs it over many chunks at once. Moves lie in arrays, an open hash
+    table from (state, byte) to (state, change of the count).
+    """
+
+    most_states = 400_000
 
     def __init__(self, tokens: list[bytes], merges: list[tuple[bytes, bytes]]):
         self.rank = {pair: k for k, pair in enumerate(merges)}
-        self.valid = {t for t in tokens if self._merged(t) == [t]}
-        self.open = {t[:k] for t in self.valid for k in range(1, len(t))}
+        self.valid = {t: t for t in tokens if len(self._merged(t)) == 1}
+        # the pair of which each entry is made, and the rank of that merge
+        self.halves = {t: self._merged(t, 2) for t in self.valid if len(t) > 1}
+        self.formed = {t: self.rank[tuple(h)] for t, h in self.halves.items()}
+        # every entry is made after its halves, so that merges run by rank alone
+        if any(self.formed.get(x, -1) >= self.formed[t] for t, h in self.halves.items() for x in h):
+            raise ValueError("a merge comes before those of its halves")
+        self.spines: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
+        self.open = {t[:k]: t[:k] for t in self.valid for k in range(1, len(t))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self._forget()
 
@@ -199,13 +217,61 @@ class Merges:
         # a state: the places where an entry may have begun, as (bytes since, last token there, count there less the count here)
         start = ((b"", None, 0),)
         self.known, self.places = {start: 0}, [start]
-        self.moves: dict[int, tuple[int, int]] = {}
-        self.words: dict[str, int] = {}
-
-    def _merged(self, data: bytes) -> list[bytes]:
-        """The tokens that the merges give, lowest rank first; the definition, for compilation only."""
+        self._allot(18)
+
+    def _allot(self, bits: int) -> None:
+        self.bits, self.used = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.next = np.zeros(1 << bits, np.int32)
+        self.adds = np.zeros(1 << bits, np.int16)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _insert(self, keys: np.ndarray, to: np.ndarray, adds: np.ndarray) -> None:
+        """Puts new, distinct keys into the table: whoever finds a free slot takes it, the others look at the next."""
+        if (self.used + len(keys)) * 3 > len(self.keys):
+            old = np.flatnonzero(self.keys >= 0)
+            kept = self.keys[old], self.next[old], self.adds[old]
+            self._allot(self.bits + 1)
+            self._insert(*kept)
+            self._insert(keys, to, adds)
+            return
+        self.used += len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.next[at[mine]], self.adds[at[mine]] = to[mine], adds[mine]
+            keys, to, adds, at = keys[~mine], to[~mine], adds[~mine], (at[~mine] + 1) & (len(self.keys) - 1)
+
+    def _moved(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and changes of the count; moves that are not there yet are compiled."""
+        key = state.astype(np.int64) << 8 | byte
+        at = self._slots(key)
+        got = self.keys[at]
+        other = np.flatnonzero(got != key)
+        new = []
+        while len(other):
+            there = got[other] >= 0
+            new.append(other[~there])
+            other = other[there]
+            at[other] = (at[other] + 1) & (len(self.keys) - 1)
+            got[other] = self.keys[at[other]]
+            other = other[got[other] != key[other]]
+        to, adds = self.next[at], self.adds[at]
+        if new and len(new := np.concatenate(new)):
+            made, back = np.unique(key[new], return_inverse=True)
+            moves = np.array([self._move(k >> 8, bytes([k & 255])) for k in made.tolist()], np.int32)
+            self._insert(made, moves[:, 0], moves[:, 1].astype(np.int16))
+            to[new], adds[new] = moves[back, 0], moves[back, 1]
+        return to, adds
+
+    def _merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The tokens that the merges give, lowest rank first, down to ``least``; the definition, for compilation only."""
         parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best = min(range(len(parts) - 1), key=lambda k: self.rank.get((parts[k], parts[k + 1]), 1 << 60))
             pair = (parts[best], parts[best + 1])
             if pair not in self.rank:
@@ -217,14 +283,34 @@ class Merges:
                 k += 1
         return parts
 
+    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """The pieces at one end of an entry while it is merged, each with the rank of the merge that takes it."""
+        own = self.spines.get((token, side))
+        if own is None:
+            own, piece, taken = [], token, 1 << 60
+            while True:
+                own.append((piece, taken))
+                if piece not in self.halves:
+                    break
+                taken, piece = self.formed[piece], self.halves[piece][side]
+            self.spines[token, side] = own
+        return own
+
     def _compatible(self, a: bytes | None, b: bytes) -> bool:
+        """Whether no merge joins the end of ``a`` with the begin of ``b`` before their own merges take them."""
         if a is None:
             return True
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) > self.most_states * 4:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._merged(a + b) == [a, b]
+            known, rank = True, self.rank
+            for x, x_taken in self._spine(a, 1):
+                for y, y_taken in self._spine(b, 0):
+                    # of equal pairs the one further left is merged first
+                    if (r := rank.get((x, y))) is not None and r < x_taken and r <= y_taken:
+                        known = False
+            self.pairs[a, b] = known
         return known
 
     def _move(self, state: int, byte: bytes) -> tuple[int, int]:
@@ -232,13 +318,13 @@ class Merges:
         places = self.places[state]
         last = None
         for since, before, count in places:
-            token = since + byte
-            if token in self.valid and self._compatible(before, token):
+            token = self.valid.get(since + byte)
+            if token is not None and self._compatible(before, token):
                 last, here = token, count + 1
                 break
         if last is None:
             raise ValueError(f"no token of the vocabulary ends in byte {byte!r}")
-        after = tuple((since + byte, before, count - here) for since, before, count in places if since + byte in self.open)
+        after = tuple((longer, before, count - here) for since, before, count in places if (longer := self.open.get(since + byte)) is not None)
         after += ((b"", last, 0),)
         to = self.known.get(after)
         if to is None:
@@ -246,20 +332,105 @@ class Merges:
             self.places.append(after)
         return to, here
 
+    def _walked(self, lanes: np.ndarray, marks: np.ndarray | None, first: np.ndarray, last: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and count of every chunk (a column of ``lanes``), from byte ``first`` to ``last``; marks go back to the start."""
+        state, total = state.astype(np.int32), np.zeros(lanes.shape[1], np.int64)
+        for k in range(int(first.min(initial=0)), int(last.max(initial=0))):
+            live = np.flatnonzero((first <= k) & (k < last))
+            if marks is not None:
+                state[marks[k]] = 0
+            if len(live) == len(state):
+                state, adds = self._moved(state, lanes[k])
+                total += adds
+            elif len(live):
+                state[live], adds = self._moved(state[live], lanes[k][live])
+                total[live] += adds
+        return state, total
+
+    def counts(self, data: list[bytes], begins: list[np.ndarray]) -> list[int]:
+        """Tokens of each piece of text, given the bytes at which its pre-tokens begin.
+
+        A chunk's map leads from each state in which it may be entered to its exit
+        state and count. Behind its first pre-token's begin it is constant; before,
+        it is worked out for the exit states of the chunk before. A chunk inside a
+        long pre-token has no begin: its map is worked out for all states that may
+        enter it, the start among them, which what follows soon forgets, so that
+        such chunks need not wait for each other. The maps compose, with their
+        counts, by a prefix scan.
+        """
+        if len(self.places) > self.most_states:
+            self._forget()
+        sizes = np.array([len(d) for d in data], np.int64)
+        chunks = np.maximum(-(-sizes // BYTES), 1)
+        heads = np.cumsum(chunks) - chunks
+        n = int(chunks.sum())
+        flat, marks = np.zeros((n, BYTES), np.uint8), np.zeros((n, BYTES), bool)
+        for d, b, at in zip(data, begins, heads.tolist()):
+            flat.reshape(-1)[at * BYTES : at * BYTES + len(d)] = np.frombuffer(d, np.uint8)
+            marks.reshape(-1)[at * BYTES + b] = True
+        owner = np.repeat(np.arange(len(data)), chunks)
+        last = np.minimum(sizes[owner] - (np.arange(n) - heads[owner]) * BYTES, BYTES)
+        lanes, marked = np.ascontiguousarray(flat.T), np.ascontiguousarray(marks.T)
+        has = marks.any(axis=1)
+        first = np.where(has, marks.argmax(axis=1), last)
+        exits, tails = self._walked(lanes, marked, first, last, np.zeros(n, np.int32))
+        maps = self._maps(lanes, first, has, exits, owner)
+        return self._scanned(maps, tails, has, exits, owner, heads + chunks - 1)
+
+    def _maps(self, lanes: np.ndarray, first: np.ndarray, has: np.ndarray, exits: np.ndarray, owner: np.ndarray) -> list[dict[int, tuple[int, int]]]:
+        """For each chunk, the states in which it may be entered, each with (exit state, count) of its head."""
+        n = len(first)
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in range(n)]
+        inner = np.flatnonzero(first > 0)
+        # (chunk, entry) still to be worked out
+        after_cut = inner[has[inner - 1]]
+        after_none = inner[~has[inner - 1]]
+        chunk = np.concatenate([after_cut, after_none])
+        entry = np.concatenate([exits[after_cut - 1], np.zeros(len(after_none), np.int32)])
+        while len(chunk):
+            # equal heads entered in the same state are worked out once
+            keys = [(bytes(lanes[: first[c], c]) if not has[c] else c, e) for c, e in zip(chunk.tolist(), entry.tolist())]
+            number = {k: j for j, k in enumerate(dict.fromkeys(keys))}
+            where = np.array([number[k] for k in keys])
+            once = np.zeros(len(number), np.int64)
+            once[where] = np.arange(len(where))
+            left, total = self._walked(lanes[:, chunk[once]], None, np.zeros(len(once), np.int64), first[chunk[once]], entry[once])
+            more: dict[tuple[int, int], None] = {}
+            for c, e, to, count in zip(chunk.tolist(), entry.tolist(), left[where].tolist(), total[where].tolist()):
+                maps[c][e] = (to, count)
+                if not has[c] and c + 1 < n and owner[c + 1] == owner[c]:
+                    more[c + 1, to] = None
+            todo = [(c, e) for c, e in more if e not in maps[c]]
+            chunk, entry = np.array([c for c, _ in todo], np.int64), np.array([e for _, e in todo], np.int32)
+        return maps
+
+    def _scanned(self, maps: list[dict], tails: np.ndarray, has: np.ndarray, exits: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> list[int]:
+        """The counts up to the chunks ``ends``: maps over numbered entries, composed in log2(chunks) steps."""
+        n, width = len(maps), max(1, max(map(len, maps), default=1))
+        numbers = [{e: j for j, e in enumerate(m)} or {0: 0} for m in maps]
+        to, count = np.zeros((width, n), np.int32), np.repeat(tails[None, :], width, axis=0)
+        for c, m in enumerate(maps):
+            ahead = numbers[c + 1] if c + 1 < n and owner[c + 1] == owner[c] else {}
+            # behind a begin the exit is the same for all entries
+            to[:, c] = ahead.get(int(exits[c]), 0) if has[c] else 0
+            for j, (out, own) in enumerate(m.values()):
+                count[j, c] += own
+                if not has[c]:
+                    to[j, c] = ahead.get(out, 0)
+        span = 1
+        while span < n:
+            joined = owner[span:] == owner[: n - span]
+            before, columns = to[:, : n - span], np.arange(span, n)
+            counted = count[:, : n - span] + count[before, columns]
+            led = to[before, columns]
+            to = np.concatenate([to[:, :span], np.where(joined, led, to[:, span:])], axis=1)
+            count = np.concatenate([count[:, :span], np.where(joined, counted, count[:, span:])], axis=1)
+            span *= 2
+        return count[0, ends].tolist()
+
     def count(self, word: str) -> int:
-        total = self.words.get(word)
-        if total is None:
-            if len(self.places) > self.most_states or len(self.words) > self.most_words:
-                self._forget()
-            state, total, moves = 0, 0, self.moves
-            for x in word.encode("utf-8", "surrogatepass"):
-                move = moves.get(state << 8 | x)
-                if move is None:
-                    move = moves[state << 8 | x] = self._move(state, bytes([x]))
-                state = move[0]
-                total += move[1]
-            self.words[word] = total
-        return total
+        """Tokens of one pre-token."""
+        return self.counts([word.encode("utf-8", "surrogatepass")], [np.zeros(1 if word else 0, np.int64)])[0]
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -295,7 +466,6 @@ class Counter:
                 pieces += [(k, p) for p in parts]
             else:
                 pieces.append((k, text))
-        count = self.merges.count
         at = 0
         while at < len(pieces):
             end, held = at, 0
@@ -304,35 +474,42 @@ class Counter:
                 end += 1
             block = pieces[at:end]
             points = [np.frombuffer(p.encode("utf-32-le", "surrogatepass"), "<u4") for _, p in block]
-            for (k, text), begins in zip(block, self.cutter.begins(points)):
-                edges = begins.tolist()
-                edges.append(len(text))
-                words = self.merges.words
-                total = 0
-                for a, b in zip(edges, edges[1:]):
-                    word = text[a:b]
-                    n = words.get(word)
-                    if n is None:
-                        n = count(word)
-                        words = self.merges.words
-                    total += n
-                totals[k] += total
+            begins = [_bytes_before(x)[b] for x, b in zip(points, self.cutter.begins(points))]
+            counted = self.merges.counts([p.encode("utf-8", "surrogatepass") for _, p in block], begins)
+            for (k, _), n in zip(block, counted):
+                totals[k] += n
             at = end
         return totals
 
 
-def _compiled(content: str) -> Counter:
-    """This worker's counter for a tokenizer; one is kept from task to task with the states it has met."""
-    kept = sys.__dict__.setdefault("_quarry_token_counter", {})
-    if content not in kept:
-        kept.clear()
-        kept[content] = Counter(content)
-    return kept[content]
+def _bytes_before(points: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes before each code point."""
+    size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    return np.cumsum(size) - size
+
+
+class Compiled:
+    """A tokenizer's file, and in each worker the counter compiled from it.
+
+    Sent as a broadcast, of which a worker has one object for all tasks of a job:
+    states that one task has met are there for the next.
+    """
+
+    def __init__(self, content: str):
+        self.content = content
+
+    def __getstate__(self) -> dict:
+        return {"content": self.content}
+
+    def counter(self) -> Counter:
+        if "own" not in self.__dict__:
+            self.own = Counter(self.content)
+        return self.own
 
 
 def _count(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _compiled(content.value)
+        own = content.value.counter()
         for batch in rows_of(batches):
             raw = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
             counts = own.counts([x.decode("utf-8", "replace") for x in raw])
@@ -354,7 +531,7 @@ def token_counts(df: DataFrame, path: str | None = None, text_col: str = "text",
     """(doc_id, n_bytes, n_tokens) for each row; ``path`` is the tokenizer's file, read by the driver."""
     small_batches(df.sparkSession)
     with open(path or tokenizer_path(), encoding="utf-8") as file:
-        content = df.sparkSession.sparkContext.broadcast(file.read())
+        content = df.sparkSession.sparkContext.broadcast(Compiled(file.read()))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_count(content), "doc_id long, n_bytes long, n_tokens long")
 
