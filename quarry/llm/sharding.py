@@ -8,10 +8,18 @@ that holds it, and probes that interval more finely, until each splitter is
 within the tolerance or its interval is a single key. Only then do rows move,
 once.
 
+Slots are numbered inside cells of a shard, each of about ``CELL_ROWS`` rows whatever
+the table's size: the cells are ranges of the text's hash, as many as the rows ask
+for, and a range with many more rows, as a text that a third of all rows share
+makes it, is dealt further by the id's hash. A table of the cells' sizes gives every
+cell its first slot.
+
 Defined cases: a null text counts 8 bytes and has the CRC of the empty text; a
-null id is hashed like a value; repeated rows have equal keys and are never
-separated by a splitter; an empty table gives an empty result; columns of the
-input named like an output column are refused.
+null id is hashed like a value; repeated rows have equal keys (ties) and are never
+separated by a splitter; a very long text is a row like any other, and a shard is
+near equal as far as whole rows allow; an empty table gives an empty result; columns
+of the input named ``shard`` or ``slot`` are refused, or replaced with ``replace``;
+no other column clashes.
 """
 
 from __future__ import annotations
@@ -28,8 +36,8 @@ SHARDS = 24
 TOLERANCE = 0.0005
 #: Bits that each round adds to the probes: first, later.
 FIRST_BITS, NEXT_BITS = 12, 8
-#: Slots are numbered inside cells of a shard: bits of the text's hash and of the id's hash.
-CELL_BITS, SALT_BITS = 8, 4
+#: Rows of a cell in which slots are numbered, and the least and most bits of the text's hash that make one.
+CELL_ROWS, CELL_BITS, MOST_CELL_BITS = 100_000, 4, 16
 OUT = ("shard", "slot")
 
 
@@ -128,28 +136,50 @@ def shard_of(key: tuple[int, int], splits: list[tuple[int, int]]) -> int:
     return bisect_right(splits, key)
 
 
-def shard_by_bytes(df: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def cell_bits(rows: int, cell_rows: int = CELL_ROWS) -> int:
+    """Bits of the hash that make cells of about ``cell_rows`` rows."""
+    return min(MOST_CELL_BITS, max(CELL_BITS, (-(-rows // cell_rows) - 1).bit_length()))
+
+
+def shard_by_bytes(
+    df: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, text_col: str = "text", id_col: str = "doc_id", replace: bool = False, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """``df`` with ``shard`` (0..shards-1, near equal bytes) and ``slot`` (gapless from 0 in a shard)."""
-    if clash := {*OUT, "_h", "_e", "_cell"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename those of the input")
+    named = {c.lower() for c in df.columns}
+    if clash := sorted(named & set(OUT)):
+        if not replace:
+            raise ValueError(f"columns {clash} are made here; rename those of the input")
+    others = [c for c in df.columns if c.lower() not in OUT]
     h, e = key_columns(F.col(text_col), F.col(id_col))
     keys = checkpointed(df.select(h.alias("_h"), e.alias("_e"), size_of(F.col(text_col)).alias("_size")))
     shard = shard_column(F.col("_h"), F.col("_e"), splitters(keys, shards, tolerance))
-    cell = F.shiftleft(F.shiftright("_h", 64 - CELL_BITS), SALT_BITS).bitwiseOR(F.shiftrightunsigned("_e", 64 - SALT_BITS))
-    placed = lambda t: t.withColumns({"shard": shard, "_cell": cell.cast("int")})
-    # bounded: (2**CELL_BITS + shards) * 2**SALT_BITS rows
-    counts = placed(keys).groupBy("shard", "_cell").agg(F.count("*").alias("_n")).collect()
+    bits = cell_bits(keys.count(), cell_rows)
+    spark, range_ = df.sparkSession, F.shiftrightunsigned("_h", 64 - bits)
+    # at most 2**MOST_CELL_BITS rows
+    sizes = keys.groupBy(range_.alias("r")).count().collect()
+    wide = [(r["r"], (-(-r["count"] // cell_rows) - 1).bit_length()) for r in sizes if r["count"] > 2 * cell_rows]
+    dealt = F.broadcast(spark.createDataFrame(wide, "_range long, _bits int"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """With the shard and the cell: a range of the text's hash, and in a wide range a part by the id's hash."""
+        part = F.when(F.col("_bits") > 0, F.expr("shiftrightunsigned(_e, 64 - _bits)")).otherwise(F.lit(0))
+        met = rows.withColumns({"_shard": shard, "_range": range_}).join(dealt, "_range", "left")
+        return met.withColumn("_part", part.cast("long")).drop("_bits")
+
+    # bounded: the ranges, one more for each splitter, and the parts, one for each cell_rows rows
+    counts = placed(keys).groupBy("_shard", "_range", "_part").agg(F.count("*").alias("_n")).collect()
     offsets, last, at = [], None, 0
-    for r in sorted(counts, key=lambda r: (r["shard"], r["_cell"])):
-        at = at if r["shard"] == last else 0
-        offsets.append((r["shard"], r["_cell"], at))
-        last, at = r["shard"], at + r["_n"]
-    first = df.sparkSession.createDataFrame(offsets, "_shard int, _of int, _first long")
-    rows = placed(df.withColumns({"_h": h, "_e": e})).join(
-        F.broadcast(first), (F.col("shard") == F.col("_shard")) & (F.col("_cell") == F.col("_of"))
-    )
-    numbered = "row_number() OVER (PARTITION BY shard, _cell ORDER BY _h, _e)"
-    return rows.select(*df.columns, "shard", (F.col("_first") + F.expr(numbered) - 1).alias("slot"))
+    for r in sorted(counts):
+        at = at if r["_shard"] == last else 0
+        offsets.append((*r[:3], at))
+        last, at = r["_shard"], at + r["_n"]
+    first = spark.createDataFrame(offsets, "_shard int, _range long, _part long, _first long")
+    # the input's columns travel in one, so that no name of theirs clashes
+    rows = placed(df.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), h.alias("_h"), e.alias("_e")))
+    rows = rows.join(F.broadcast(first), ["_shard", "_range", "_part"])
+    numbered = "row_number() OVER (PARTITION BY _shard, _range, _part ORDER BY _h, _e)"
+    out = rows.select("_row", F.col("_shard").alias("shard"), (F.col("_first") + F.expr(numbered) - 1).alias("slot"))
+    return out.select("_row.*", "shard", "slot")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
