@@ -65,6 +65,20 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Parts into which joins deal the rows of one key.
+SALTS = 8
+
+
+def dealt_join(rows: DataFrame, values: DataFrame, key: str, spread: str) -> DataFrame:
+    """The inner join of ``rows`` with ``values``, which has one row for each key, whatever share of the rows a key has.
+
+    The rows of a key are dealt to ``SALTS`` tasks by ``spread``; the values go to each.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    everywhere = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(everywhere, [key, "_salt"]).drop("_salt")
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of every text of an Arrow column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -152,6 +166,14 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes a ``stored`` table that nothing reads any more."""
+    jvm = table.sparkSession.sparkContext._jvm
+    for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the session's checkpoint folder; removed when the session ends."""
     spark = df.sparkSession

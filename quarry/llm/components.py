@@ -1,11 +1,15 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table by alternating large and small stars.
+
+The edges of one node, a hub that a third of all may be linked with, are dealt to
+several tasks; what they are joined with is one row for each node.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dealt_join, dropped, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -15,14 +19,14 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    moved = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = dealt_join(both.where("v > u"), _least(both), "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _least(down)
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = dealt_join(down, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -36,7 +40,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     print_of = lambda t: t.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).collect()[0]
     before = print_of(edges)
     for _ in range(most_rounds if before[0] else 0):
-        edges = stored(_small_star(_large_star(edges)))
+        last, edges = edges, stored(_small_star(_large_star(edges)))
+        dropped(last)
         now = print_of(edges)
         if now == before:
             break

@@ -25,7 +25,9 @@ Defined cases: null or blank text has no shingles and is linked with nothing (it
 component is its own id); with fewer than five words the whole sequence is one
 shingle; null ids count as larger than any id, and a component of null ids only
 has the id null; repeated rows get the same result each; further columns are
-ignored by ``near_duplicates`` and kept by ``one_of_each``.
+ignored by ``near_duplicates`` and kept, whatever their names, by ``one_of_each``; of
+equal ids (ties) the row with the least hash of its text stands for a component; a
+very long text is one row with all its shingles.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import (
     LAST_ID,
     SPACE_CHARS,
+    dealt_join,
     distinct,
     gram_hashes,
     id_or_last,
@@ -68,6 +71,8 @@ MOST_K, VERIFY = 16, 0.25
 SPLIT_FROM = 17  # a power of two
 #: Up to so many classes in candidate pairs, their ids are broadcast; beyond, joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Classes with more than this share (one in MOST_HOT) of all rows are told to every task.
+MOST_HOT = 10_000
 _HEAD = np.dtype([("token", "<u8"), ("cid", "<i8"), ("n", "<i4"), ("i", "<i4"), ("k", "<i1")])
 
 
@@ -395,14 +400,22 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     ``class_id`` is the smallest id with exactly the same shingles.
     """
     labels, keys = links_and_keys(df, text_col, id_col)
-    classes = keys.where("key is not null").groupBy("key").agg(F.min("doc").alias("class_id"), F.first("cid").alias("cid"))
-    joined = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = joined.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    ids = joined.join(least, "label").select("key", "class_id", "component_id")
+    classes = keys.where("key is not null").groupBy("key").agg(F.min("doc").alias("class_id"), F.first("cid").alias("cid"), F.count("*").alias("rows"))
+    classes = stored(classes)
+    linked = labels.withColumnRenamed("node", "cid").join(classes.select("cid", "class_id"), "cid")
+    least = linked.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    own = dealt_join(linked, least, "label", "cid").select("cid", "component_id")
+    ids = classes.join(own, "cid", "left").select("key", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), "rows")
+    # a class with many copies is one of at most MOST_HOT, which every task gets
+    many = F.col("rows") * MOST_HOT > keys.count()
+    hot = F.broadcast(stored(ids.where(many)).select("key", "class_id", "component_id"))
+    worded, blank = keys.where("key is not null"), keys.where("key is null")
     back = lambda x: F.nullif(F.coalesce(F.col(x), F.col("doc")), F.lit(LAST_ID))
-    return keys.join(ids, "key", "left").select(
-        F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"), back("class_id").alias("class_id")
-    )
+    out = [F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), F.col("n").alias("n_shingles")]
+    placed = [worded.join(hot, "key"), worded.join(hot, "key", "left_anti").join(ids.where(~many).drop("rows"), "key")]
+    found = placed[0].unionByName(placed[1]).select(*out, back("component_id").alias("component_id"), back("class_id").alias("class_id"))
+    # blank texts are linked with nothing
+    return found.unionByName(blank.select(*out, F.nullif("doc", F.lit(LAST_ID)).alias("component_id"), F.nullif("doc", F.lit(LAST_ID)).alias("class_id")))
 
 
 def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
