@@ -17,8 +17,13 @@ steps as DataFrames.
 Defined cases: nulls in source, language or text are values of their own (the
 topic of a null or blank text is ``none``, its mass 0); repeated rows share one
 decision; documents of cells without mass have the weight that keeps the stated
-share; an empty table gives an empty result; further columns are kept by
-``mixed`` and must not be named like its helpers, which begin with ``_m_``.
+share; equal targets or masses (ties) have no order that matters; a very long text
+is one document with all its words; an empty table gives an empty result; further
+columns are kept, and where one of them begins with ``_m_`` the helper columns
+begin with more underscores.
+
+Targets can contradict each other or ask for more than there is. ``shortfalls``
+lists what each value's target is and what the weights reach.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ TEMPER = 0.8
 ROUNDS = 50
 CLOSE = 1e-4
 MOST_CELLS = 200_000
+#: Parts of a cell's documents where cells are joined by a shuffle.
+CELL_SALTS = 32
 
 
 def topic_of(text: Column) -> Column:
@@ -125,35 +132,82 @@ def raked_frame(cells: DataFrame, keep: float, given: dict[str, dict] | None = N
     return cells
 
 
-def weighted(df: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None = None, topic: Column | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
-    """``df`` with _m_source, _m_lang, _m_topic, _m_mass (its words), _m_weight and _m_kept."""
-    if clash := [c for c in df.columns if c.startswith("_m_")]:
-        raise ValueError(f"columns {clash} begin with _m_")
+def prefix_of(columns: list[str]) -> str:
+    """What the helper columns begin with: ``_m_``, with as many underscores before it as no column has."""
+    prefix = "_m_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def _cells(df: DataFrame, topic: Column | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """``df`` with its dimensions and mass, the table of its cells, and the prefix of these columns."""
+    m = prefix_of(df.columns)
     named = df.withColumns({
-        "_m_source": F.col("source").cast("string"), "_m_lang": F.col("lang").cast("string"),
-        "_m_topic": topic if topic is not None else topic_of(F.col("text")),
-        "_m_mass": F.size(words_of(F.col("text"))).cast("long"),
+        f"{m}source": F.col("source").cast("string"), f"{m}lang": F.col("lang").cast("string"),
+        f"{m}topic": topic if topic is not None else topic_of(F.col("text")),
+        f"{m}mass": F.size(words_of(F.col("text"))).cast("long"),
     })
-    keys = [f"_m_{d}" for d in DIMENSIONS]
-    cells = stored(named.groupBy(*keys).agg(F.sum("_m_mass").alias("_m_mass")))
+    keys = [F.col(f"{m}{d}").alias(f"_m_{d}") for d in DIMENSIONS]
+    return named, stored(named.groupBy(*keys).agg(F.sum(f"{m}mass").alias("_m_mass"))), m
+
+
+def _raked_cells(cells: DataFrame, keep: float, targets: dict[str, dict] | None, most_cells: int) -> tuple[DataFrame, bool]:
+    """The cells (_s, _l, _t, _w) with their weights, and whether they are few."""
     few = cells.count() <= most_cells
     if few:
         rows = sorted((tuple(r) for r in cells.collect()), key=repr)
         found = raked(rows, keep, targets)
-        weights = df.sparkSession.createDataFrame(
-            [(*r[:3], float(w)) for r, w in zip(rows, found)], "_s string, _l string, _t string, _m_weight double"
-        )
+        made = cells.sparkSession.createDataFrame([(*r[:3], float(w)) for r, w in zip(rows, found)], "_s string, _l string, _t string, _w double")
     else:
-        weights = raked_frame(cells, keep, targets).select(*[F.col(k).alias(a) for k, a in zip(keys, ("_s", "_l", "_t"))], "_m_weight")
-    same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, ("_s", "_l", "_t"))]
-    joined = named.join(F.broadcast(weights) if few else weights, same[0] & same[1] & same[2]).drop("_s", "_l", "_t")
+        made = raked_frame(cells, keep, targets).select(*[F.col(f"_m_{d}").alias(a) for d, a in zip(DIMENSIONS, ("_s", "_l", "_t"))], F.col("_m_weight").alias("_w"))
+    return made, few
+
+
+def weighted(df: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None = None, topic: Column | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
+    """``df`` with _m_source, _m_lang, _m_topic, _m_mass (its words), _m_weight and _m_kept."""
+    named, cells, m = _cells(df, topic)
+    weights, few = _raked_cells(cells, keep, targets, most_cells)
+    # one string for each cell, with the nulls told apart
+    cell = lambda *c: F.to_json(F.array(*c), {"ignoreNullFields": "false"})
+    weights = weights.select(cell("_s", "_l", "_t").alias(f"{m}cell"), F.col("_w").alias(f"{m}weight"))
+    rows = named.withColumn(f"{m}cell", cell(*[F.col(f"{m}{d}") for d in DIMENSIONS]))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "text"), 11) / F.lit(float(2**53))
-    return joined.withColumn("_m_kept", chance < F.col("_m_weight"))
+    if few:
+        joined = rows.join(F.broadcast(weights), f"{m}cell")
+    else:
+        # the documents of a cell, of which a hot source may have most, are dealt to several tasks
+        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(CELL_SALTS)).cast("int")
+        everywhere = weights.withColumn(f"{m}salt", F.explode(F.sequence(F.lit(0), F.lit(CELL_SALTS - 1))))
+        joined = rows.withColumn(f"{m}salt", salt).join(everywhere, [f"{m}cell", f"{m}salt"])
+    return joined.withColumn(f"{m}kept", chance < F.col(f"{m}weight")).select(*[F.col(f"`{c}`") for c in df.columns], *[f"{m}{x}" for x in (*DIMENSIONS, "mass", "weight", "kept")])
+
+
+def shortfalls(df: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None = None, topic: Column | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
+    """(dimension, value, target, reached): the share of the kept mass that each value should have, and has."""
+    _, cells, _ = _cells(df, topic)
+    weights, _ = _raked_cells(cells, keep, targets, most_cells)
+    same = [F.col(f"_m_{d}").eqNullSafe(F.col(a)) for d, a in zip(DIMENSIONS, ("_s", "_l", "_t"))]
+    cells = stored(cells.join(weights, same[0] & same[1] & same[2]).select(*[f"_m_{d}" for d in DIMENSIONS], "_m_mass", (F.col("_m_mass") * F.col("_w")).alias("_m_has")))
+    total = cells.agg(F.sum("_m_has").alias("x")).collect()[0]["x"] or 1.0
+    out = None
+    for d in DIMENSIONS:
+        own = cells.groupBy(F.col(f"_m_{d}").alias("value")).agg(F.sum("_m_mass").alias("mass"), (F.sum("_m_has") / total).alias("reached"))
+        given = (targets or {}).get(d)
+        if given:
+            wanted = df.sparkSession.createDataFrame(list(given.items()), "g string, raw double")
+            own = own.join(wanted, F.col("value").eqNullSafe(F.col("g")), "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+        else:
+            own = own.withColumn("raw", F.pow("mass", F.lit(TEMPER)))
+        scale = own.agg(F.sum("raw").alias("x")).collect()[0]["x"] or 1.0
+        part = own.select(F.lit(d).alias("dimension"), "value", (F.col("raw") / scale).alias("target"), "reached")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def mix(df: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None = None) -> DataFrame:
     """The sampled documents, with the input's columns."""
-    return weighted(df, keep, targets).where("_m_kept").select(df.columns)
+    return weighted(df, keep, targets).where(F.col(f"{prefix_of(df.columns)}kept")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
