@@ -13,8 +13,9 @@ ids are least; all scores cover all rows and whole texts.
 Defined cases: null or empty text has the statistics of no words (all 0) and is
 scored like any text; a null id is held out or not by the CRC of the empty text;
 repeated rows get equal scores; without labelled rows of both classes every score
-is the share of good rows, or 0 without any labelled row; further columns are
-ignored.
+is the share of good rows, or 0 without any labelled row; ids whose labels differ
+teach nothing; equal scores (ties) get equal predictions; a very long text is
+measured whole; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ Defined cases: null or empty text has no features and the score of the bias; a
 null id is held out or not by the CRC of the empty text; repeated rows get equal
 scores; without labelled rows of both classes every score is the share of toxic
 rows, or 0 without any labelled row; further columns are ignored.
+Ids whose labels differ teach nothing; equal scores (ties) get equal predictions; a
+very long text is scored whole.
 """
 
 from __future__ import annotations
@@ -172,8 +174,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], allowed: Column) -> DataFrame:
-    """(label, text) of at most ``most[c]`` allowed rows of each class c, by the least hashed ids."""
-    own = labels.where(F.col("doc_id").isNotNull() & allowed).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    """(label, text) of at most ``most[c]`` allowed rows of each class c, by the least hashed ids.
+
+    Ids with different labels are left out.
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & allowed).select("doc_id", F.col(label).cast("int").alias("label"))
+    own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     parts = [own.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in most.items()]
     chosen = parts[0]
     for part in parts[1:]:
@@ -188,9 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[np.ndarr
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", {1: MOST_TOXIC, 0: MOST_OTHER}, allowed)
     made = sample.mapInArrow(_features, "label int, features binary").toArrow()
-    parts = [np.frombuffer(x, "<i4") for x in made.column("features").to_pylist()]
+    # in one order, whatever the tasks' was, so that the same sums come out
+    rows = sorted(zip(made.column("features").to_pylist(), made.column("label").to_pylist()))
+    parts = [np.frombuffer(x, "<i4") for x, _ in rows]
     edges = np.cumsum([0] + [len(p) for p in parts])
-    return fitted(np.concatenate([np.empty(0, np.int32), *parts]), edges, made.column("label").to_numpy())
+    return fitted(np.concatenate([np.empty(0, np.int32), *parts]), edges, np.array([label for _, label in rows], np.int32))
 
 
 def _score(model):
