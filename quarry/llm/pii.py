@@ -8,19 +8,26 @@ in the same document. Each value is replaced by another of its kind under a secr
 * digits stay digits, letters stay letters of their script, alphabet and case, separators,
   lengths, country codes and top-level domains stay; an IPv4 address becomes
   another, a card keeps whether its check digit is right;
-* a given name that is known becomes a known one of the same gender and script,
-  by the form of address if the name has both; other names keep which letters are
-  vowels.
+* a given name that is known becomes a known one of the same gender and script, in
+  whatever place of a name it stands; other words of names keep which letters are
+  vowels. A word of a name has one surrogate wherever it occurs, so that later
+  mentions of one part still refer to the same person.
 
 Every mapping is a keyed permutation of the values of one shape (a Feistel network
 with cycle walking), turned by one place so that no value stays what it is.
 Distinct values therefore get distinct surrogates, and equal values equal ones in
-all documents, without any table of what was seen. ``collisions`` checks this over
-the entities of a whole corpus.
+all documents, without any table of what was seen. ``collided`` checks this in
+every document as it is replaced, ``collisions`` over the entities of a whole corpus.
+
+The key is a parameter, or the session's ``spark.quarry.surrogates.key``. Who has it
+can turn surrogates back. Without either the key of this file is taken, with a
+warning: it is published and only fit for tests.
 
 Defined cases: a null text stays null, an empty one empty; null ids and repeated
-rows pass through; texts without personal data stay byte for byte; an empty table
-gives an empty result; further columns are ignored.
+rows pass through; of overlapping finds (ties) the kind listed first is taken; a very
+long text is read whole, in time that grows with its length; texts without personal
+data stay byte for byte; an empty table gives an empty result; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import warnings
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -38,10 +46,11 @@ from pyspark.sql import functions as F
 from .common import rows_of, small_batches
 
 KEY = "quarry-surrogates"
+KEY_SETTING = "spark.quarry.surrogates.key"
 
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,24}(?![\w@-])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    "secret": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w|-\d)"),
@@ -49,7 +58,6 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w-])(?:\d{4}[ -]?){3}\d{1,4}(?![\w-])"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sr|Sra|Don|Doña|Señor|Señora)\.? ([^\W\d_](?:(?!['’]s\b)['’-]?[^\W\d_])+(?: [^\W\d_a-zß-öø-ÿ](?:(?!['’]s\b)['’-]?[^\W\d_])+)?)"),
 }
-_HERS = {"Mrs", "Ms", "Miss", "Madam", "Frau", "Mme", "Mlle", "Madame", "Sra", "Doña", "Señora"}
 #: Known given names by gender; a surrogate is of the same list.
 GIVEN = {
     "f": "Anna Maria Emma Laura Julia Sophie Claire Camille Lucia Carmen Elena Sarah Emily Olivia Hannah Lena Marie Alice Irene Clara".split(),
@@ -94,7 +102,7 @@ class Permutation:
     def __init__(self, key: bytes, n: int, tweak: str):
         self.n, self.half = n, max(1, ((n - 1).bit_length() + 1) // 2)
         self.key = hashlib.blake2b(key, digest_size=32, person=b"quarry").digest()
-        self.tweak = f"{tweak}/{n}".encode()
+        self.tweak = f"{tweak}/{n:x}".encode()
 
     def _round(self, k: int, x: int) -> int:
         size = (self.half + 7) // 8
@@ -130,17 +138,13 @@ class Surrogates:
     def __init__(self, key: str = KEY):
         self.key, self.known = key.encode(), {}
 
-    def of(self, kind: str, value: str, title: str = "") -> str:
-        made = self.known.get((kind, value, title))
+    def of(self, kind: str, value: str) -> str:
+        made = self.known.get((kind, value))
         if made is None:
             if len(self.known) > 200_000:
                 self.known.clear()
             own = getattr(self, f"_{kind}", None)
-            if kind == "name":
-                made = self._name(value, title)
-            else:
-                made = own(value) if own else self._signs(value, kind)
-            self.known[kind, value, title] = made
+            made = self.known[kind, value] = own(value) if own else self._signs(value, kind)
         return made
 
     def _signs(self, value: str, kind: str, keep: Callable[[int], bool] = lambda k: False) -> str:
@@ -196,24 +200,19 @@ class Surrogates:
         places = iter(f"{made}{last}")
         return "".join(chr(ord(ch) - int(ch) + int(next(places))) if ch.isdecimal() else ch for ch in value)
 
-    def _name(self, value: str, title: str) -> str:
-        parts = value.split(" ")
-        hers = title.rstrip(".") in _HERS
-        lists = [g for g in ("f", "m") if parts[0] in GIVEN[g]]
-        if lists and len(parts) > 1:
-            gender = ("f" if hers else "m") if len(lists) > 1 else lists[0]
-            known = GIVEN[gender]
-            parts[0] = known[Permutation(self.key, len(known), "given" + gender)(known.index(parts[0]))]
-            parts[1:] = [self._word(p) for p in parts[1:]]
-        else:
-            parts = [self._word(p) for p in parts]
-        return " ".join(parts)
+    def _name(self, value: str) -> str:
+        return " ".join(self._word(p) for p in value.split(" "))
 
     def _word(self, word: str) -> str:
-        """Another word of the same shape, neither a known given name nor made from one."""
-        taken = {x for names in GIVEN.values() for x in names}
+        """A known given name of the same gender for a known one, else another word of the same shape that is none.
+
+        Both sets are mapped onto themselves, so distinct words stay distinct.
+        """
+        for gender, known in GIVEN.items():
+            if word in known:
+                return known[Permutation(self.key, len(known), "given" + gender)(known.index(word))]
         made = self._signs(word, "word")
-        while made in taken:
+        while any(made in known for known in GIVEN.values()):
             made = self._signs(made, "word")
         return made
 
@@ -226,84 +225,115 @@ def _check_digit(digits: str) -> int:
     return -total % 10
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, title) of the personal data in a text; of overlapping finds the earlier kind."""
-    found: list[tuple[int, int, str, str]] = []
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the personal data in a text; of overlapping finds the earlier kind."""
+    starts: list[int] = []
+    taken: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS.items():
         if kind == "email" and "@" not in text:
             continue
+        fresh = []
         for m in pattern.finditer(text):
-            if kind == "name":
-                span, title = m.span(1), text[m.start() : m.start(1)].strip()
-            else:
-                span, title = m.span(), ""
+            a, b = m.span(1) if kind == "name" else m.span()
             if kind == "card" and not 13 <= sum(ch.isdigit() for ch in m[0]) <= 19:
                 continue
-            found.append((*span, kind, title))
-    order = {kind: k for k, kind in enumerate(PATTERNS)}
-    taken: list[tuple[int, int, str, str]] = []
-    for item in sorted(found, key=lambda x: (order[x[2]], x[0])):
-        if all(item[1] <= a or b <= item[0] for a, b, *_ in taken):
-            taken.append(item)
-    return sorted([*taken, *_mentions(text, taken)])
+            if _free(a, b, starts, taken):
+                fresh.append((a, b, kind))
+        # finds of one pattern do not overlap each other
+        taken = sorted([*taken, *fresh])
+        starts = [x[0] for x in taken]
+    return sorted([*taken, *_mentions(text, starts, taken)])
+
 
+def _free(a: int, b: int, starts: list[int], taken: list[tuple[int, int, str]]) -> bool:
+    """Whether a span overlaps none of the sorted, disjoint ones."""
+    k = bisect_right(starts, a)
+    return not (k and taken[k - 1][1] > a) and not (k < len(starts) and starts[k] < b)
 
-def _mentions(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+
+def _mentions(text: str, starts: list[int], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The names found in a text, whole or one word of them, wherever else they stand in it."""
-    titles: dict[str, str] = {}
-    for a, b, kind, title in sorted(taken):
-        if kind == "name":
-            for part in (text[a:b], *text[a:b].split(" ")):
-                # a word in lower case is hardly a name
-                if not part[0].islower():
-                    titles.setdefault(part, title if " " in part else "")
-    if not titles:
+    # a word in lower case is hardly a name
+    words = {part for a, b, kind in taken if kind == "name" for part in (text[a:b], *text[a:b].split(" ")) if not part[0].islower()}
+    if not words:
         return []
-    pattern = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(titles, key=lambda x: (-len(x), x)))) + r")(?!\w)")
-    known = sorted(taken)
-    starts = [x[0] for x in known]
-    found = []
-    for m in pattern.finditer(text):
-        k = bisect_right(starts, m.start())
-        if not (k and known[k - 1][1] > m.start()) and not (k < len(known) and starts[k] < m.end()):
-            found.append((*m.span(), "name", titles[m[0]]))
+    # whole words are looked up, so that the time does not grow with the number of names
+    longest = max(w.count(" ") for w in words) + 1
+    places = [m.span() for m in _WORDS.finditer(text)]
+    found, k = [], 0
+    while k < len(places):
+        for n in range(min(longest, len(places) - k), 0, -1):
+            a, b = places[k][0], places[k + n - 1][1]
+            if text[a:b] in words:
+                break
+            # a form like "Miller's" is its name and an ending
+            bare = re.match(r"(.+)['’]\w*$", text[a:b], re.S)
+            if bare and bare[1] in words:
+                b = a + len(bare[1])
+                break
+        else:
+            k += 1
+            continue
+        if _free(a, b, starts, taken):
+            found.append((a, b, "name"))
+        k += n
     return found
 
 
+_WORDS = re.compile(r"\w+(?:['’-]\w+)*")
+
+
 def replaced(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (kind, value, surrogate) of each entity."""
     out, at, made = [], 0, []
-    for a, b, kind, title in entities(text):
-        new = surrogates.of(kind, text[a:b], title)
+    for a, b, kind in entities(text):
+        new = surrogates.of(kind, text[a:b])
         out += [text[at:a], new]
         at = b
         made.append((kind, text[a:b], new))
     return "".join([*out, text[at:]]), made
 
 
+def collided(made: list[tuple[str, str, str]]) -> int:
+    """Values that share a kind's surrogate with another value, or have several: 0, if all is well."""
+    pairs = {*made}
+    values = len({(kind, value) for kind, value, _ in pairs})
+    return len(pairs) - values + len(pairs) - len({(kind, new) for kind, _, new in pairs})
+
+
 _ENTITIES = "array<struct<kind:string,value:string,surrogate:string>>"
 
 
-def surrogate_texts(df: DataFrame, key: str = KEY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text, n_entities, entities) for each row; ``text`` has the surrogates."""
+def key_of(spark: SparkSession) -> str:
+    """The session's key; that of this file, with a warning, where it has none."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with a published key", stacklevel=3)
+    return key or KEY
+
+
+def surrogate_texts(df: DataFrame, key: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text, n_entities, n_collisions, entities) for each row; ``text`` has the surrogates."""
     small_batches(df.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string())]))
+    key = key or key_of(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogates = Surrogates(key)
         for batch in rows_of(batches):
-            own, found = [], []
+            own, found, broken = [], [], []
             for text in batch.column("text").cast(pa.large_string()).to_pylist():
                 new, made = replaced(text, surrogates) if text else (text, [])
                 own.append(new)
+                broken.append(collided(made))
                 found.append([dict(zip(("kind", "value", "surrogate"), x)) for x in made])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(own, pa.string()), pa.array([len(x) for x in found], pa.int64()), pa.array(found, kind)],
-                names=["doc_id", "text", "n_entities", "entities"],
+                [batch.column("doc_id"), pa.array(own, pa.string()), pa.array([len(x) for x in found], pa.int64()), pa.array(broken, pa.int64()), pa.array(found, kind)],
+                names=["doc_id", "text", "n_entities", "n_collisions", "entities"],
             )
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, text string, n_entities long, entities {_ENTITIES}")
+    return rows.mapInArrow(run, f"doc_id long, text string, n_entities long, n_collisions long, entities {_ENTITIES}")
 
 
 def collisions(replaced_texts: DataFrame) -> DataFrame:
@@ -317,4 +347,4 @@ def collisions(replaced_texts: DataFrame) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its personal data."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return surrogate_texts(docs).select("doc_id", "n_entities", "text", F.transform("entities", lambda e: e["kind"]).alias("kinds"))
+    return surrogate_texts(docs).select("doc_id", "n_entities", "n_collisions", "text", F.transform("entities", lambda e: e["kind"]).alias("kinds"))

@@ -181,6 +181,13 @@ def test_toxicity_edges(spark, docs, nothing):
     assert {r.score for r in toxicity.toxicity(docs, unlabelled).collect()} == {toxicity.scores([""], *unlabelled)[0]}
 
 
+def test_ids_with_different_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "toxic", {1: 9, 0: 9}, F.lit(True)).collect()
+    assert sorted((r.label, r.text) for r in sample) == [(0, "text 2"), (1, "text 1")]
+
+
 def test_features_are_distinct_grams():
     places, edges = toxicity.features(["aaaa aaaa", "", "ab", "xyz xyz"])
     assert edges[0] == 0 and edges[1] - edges[0] > 0 and edges[2] == edges[1] < edges[3]
@@ -239,6 +246,18 @@ def test_sharding_cuts_a_hot_text(spark):
     assert len(loads) == 24 and max(loads) - min(loads) <= 64
 
 
+def test_sharding_in_small_cells_and_with_clashing_names(spark):
+    rows = [(k if k % 7 else None, "hot text" if k % 3 == 0 else f"text {k % 50}", k, 1, 2, 3, 4) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h int, _e int, _row int, slot int, _Shard int").repartition(3)
+    out = sharding.shard_by_bytes(df, shards=5, replace=True, cell_rows=20)
+    assert out.columns == ["doc_id", "text", "_h", "_e", "_row", "_Shard", "shard", "slot"]
+    slots = {}
+    for r in out.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) == set(range(5)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert [sharding.cell_bits(n, 100) for n in (0, 100, 1600, 1601, 10**9)] == [4, 4, 4, 5, 16]
+
+
 def test_op3_columns(spark, sf_dir):
     out = sharding.op3_sharding(spark, sf_dir).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -281,6 +300,18 @@ def test_cascade_order_never_changes_the_verdict(docs, nothing):
     assert [e.rank for e in estimates] == sorted((e.rank for e in estimates), reverse=True)
 
 
+def test_cascade_sample_is_read_from_few_files(spark, tmp_path):
+    """Any number of files, odd names and clashing columns; the sample holds rows of the table only."""
+    path = str(tmp_path / "a b.parquet")
+    df = spark.createDataFrame([(k, f"text number {k} " * 30, "x") for k in range(300)], "doc_id long, text string, _q_words string")
+    df.repartition(12).write.parquet(path)
+    own = spark.read.parquet(path)
+    sample = quality_rules.sampled(own, sample_rows=50)
+    texts = {r._q_text for r in sample.collect()}
+    assert texts and texts <= {r.text for r in df.collect()}
+    assert quality_rules.quality_rules(own).columns == own.columns
+
+
 # 5 ------------------------------------------------------------------------
 
 
@@ -313,6 +344,24 @@ def test_sampling_follows_the_weights(spark):
     assert abs(counts["big"] - 5000) < 300 and counts["small"] == 5000
 
 
+def test_mixing_with_clashing_names(spark, rows):
+    names = ["_s", "_l", "_t", "_m_mass", "_salt", "_m_kept"]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], SCHEMA + "".join(f", {n} int" for n in names)).repartition(3)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    for most in (mixing.MOST_CELLS, 0):
+        kept = mixing.weighted(df, most_cells=most).where("__m_kept").select(*df.columns)
+        assert sorted((r.shared for r in kept.collect()), key=repr) == sorted((r.shared for r in mixing.mix(plain).collect()), key=repr)
+    assert mixing.mix(df).columns == df.columns
+
+
+def test_shortfalls_of_targets_that_cannot_be_met(spark):
+    rows = [(k, "some words here", "en", "big" if k else "small", 0, 0) for k in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.dimension, r.value): r for r in mixing.shortfalls(df, targets={"source": {"big": 0.5, "small": 0.5}}).collect()}
+    assert got["source", "small"].target == 0.5 and got["source", "small"].reached < 0.1
+    assert abs(got["lang", "en"].reached - 1) < 1e-9
+
+
 # 6 ------------------------------------------------------------------------
 
 
@@ -369,6 +418,45 @@ def test_surrogates_in_other_scripts_and_later_mentions(spark):
     assert pii.collisions(out).count() == 0
 
 
+def test_words_of_names_are_mapped_one_to_one():
+    own = pii.Surrogates("key")
+    names = [x for known in pii.GIVEN.values() for x in known]
+    words = names + ["".join(x) for x in ("Ezqa", "Ejta", "Umma", "Abca", "Idka")] + [a + b + c + d for a in "EIO" for b in "bcd" for c in "fgh" for d in "aeo"]
+    made = [own.of("name", w) for w in words]
+    assert len(set(made)) == len(set(words)) and all(a != b for a, b in zip(words, made))
+    for known in pii.GIVEN.values():
+        assert {own.of("name", w) for w in known} == set(known)
+    full = own.of("name", "Anna Schmidt").split(" ")
+    assert full == [own.of("name", "Anna"), own.of("name", "Schmidt")]
+    assert pii.collided([("name", "a", "x"), ("name", "b", "x"), ("name", "a", "x")]) == 1
+    assert pii.collided([("name", "a", "x"), ("name", "a", "y"), ("ip", "b", "x")]) == 1
+
+
+def test_long_secrets_and_many_entities():
+    import time
+
+    own = pii.Surrogates("key")
+    for n in (32, 128, 160, 5000):
+        secret = "0123456789abcdef" * (n // 16)
+        text, made = pii.replaced(f"key={secret}.", own)
+        assert len(made) == 1 and secret not in text and len(text) == len(secret) + 5
+    many = " ".join(f"u{k}@h{k % 7}.org and Mr. Ab{'abcdefghij'[k % 10]}c Xy{chr(97 + k // 10 % 26)}z" for k in range(6000))
+    began = time.perf_counter()
+    text, made = pii.replaced(many, own)
+    assert len(made) >= 12000 and time.perf_counter() - began < 30
+
+
+def test_the_key_is_the_sessions(spark):
+    df = spark.createDataFrame([(1, "mail jane.doe@mail.org")], "doc_id long, text string")
+    with pytest.warns(UserWarning):
+        plain = pii.surrogate_texts(df).collect()[0].text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.surrogate_texts(df).collect()[0].text == pii.surrogate_texts(df, key="another").collect()[0].text != plain
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_are_distinct(spark):
     rng = random.Random(9)
     texts = [f"call +1 ({rng.randrange(1000):03d}) 555-{rng.randrange(10000):04d} or mail u{k}@h{k % 7}.org from 10.{k % 250}.3.{k // 250}" for k in range(2000)]
