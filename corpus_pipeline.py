@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the shard and the slot of each document."""
-    return sharding.shard_by_bytes(docs)
+    """Adds the shard and the slot of each document, in place of columns of these names."""
+    return sharding.shard_by_bytes(docs, replace=True)
 
 
 STAGES = [
