@@ -111,3 +111,42 @@ ARABIC_SIGNALS = [
 ]
 # Signs of table debris in a list's item, and its greatest number of bars and equals signs.
 ITEM_NOISE, ITEM_LEAST, ITEM_SYMBOLS = ["authentifications", "designations", "cachet signature", "soumissionnaire reg p", "fu 3"], 8, 3
+
+# Markers of a page's quality and their weights; hints of a document whose Arabic was not read, and their penalty.
+QUALITY_MARKERS = [
+    "appel d'offres", "appel d offres", "cahier des charges", "date limite", "soumission", "offre technique", "offre financiere",
+    "offre financière", "bordereau des prix", "caracteristiques techniques", "caractéristiques techniques",
+]
+ARABIC_QUALITY_MARKERS = ["كراس الشروط", "طلب عروض", "العروض", "الصفقة", "الضمان", "آخر أجل", "منظومة تونابس", "تونابس", "منظومة الشراء"]
+SMALL_QUALITY_MARKERS = ["tuneps", "www.tuneps.tn", "prix", "qte", "qté", "minimum demandé"]
+UNREAD_ARABIC_HINTS = ["tuneps", "republique tunisienne", "république tunisienne", "ministere", "ministère", "office de"]
+QUALITY_WEIGHTS, UNREAD_PENALTY, UNREAD_ARABIC = (16, 18, 8), -35, 0.01
+# Eight of the nine Arabic markers count twice: the score is defined on a list that has them twice.
+ARABIC_MARKERS_TWICE = ["كراس الشروط", "طلب عروض", "العروض", "الصفقة", "الضمان", "آخر أجل", "منظومة تونابس", "تونابس"]
+
+# What recognition makes of Arabic words, and the words, in the order in which they are replaced.
+ARABIC_OCR = [
+    ("منظومق", "منظومة"), ("العموميه", "العمومية"), ("علو الخط", "على الخط"), ("علو الشرف", "على الشرف"), ("لسجل الوطني", "السجل الوطني"),
+    ("توزيبس", "تونبس"), ("توزيهبس", "تونبس"), ("غرامق", "غرامة"), ("الت خير", "التأخير"), ("مدق", "مدة"), ("صلويته", "صلاحيته"),
+    ("صلوية", "صلاحية"), ("سنق", "سنة"), ("وشيقة", "وثيقة"), ("وشائق", "وثائق"), ("بطاقق", "بطاقة"), ("الفنيق", "الفنية"),
+    ("الفني6", "الفنية"), ("المال ية", "المالية"), ("جلسق", "جلسة"), ("واحدق", "واحدة"), ("لجنق", "لجنة"), ("الإدارق", "الإدارة"),
+    ("اإعلامية", "الإعلامية"), ("االستلام", "الاستلام"), ("لنهائي", "النهائي"), ("االنهائي", "النهائي"), ("الأشمان", "الأثمان"),
+    ("الشركق", "الشركة"), ("الصتفقق", "الصفقة"), ("الصتفقة", "الصفقة"), ("المسلوق", "المسلمة"),
+]
+# Misread percentages, and what must follow them.
+ARABIC_PERCENT = [("903", "3 96", "القيمة|القيم|المبلغ|مبلغ"), ("965", "5 96", "مبلغ|المبلغ|الحساب")]
+
+# Least number of evidence pages by group of fields, in general and by a text's quality mode.
+GROUP_PAGES = {"documents": 8, "guarantees": 7, "execution": 8}
+MODE_GROUP_PAGES = {
+    "arabic_noisy": {"submission": 12, "documents": 16, "guarantees": 14, "execution": 14},
+    "noisy_ocr": {"submission": 8, "documents": 12, "guarantees": 10, "execution": 10},
+    "partial_pages": {"submission": 8, "documents": 10, "guarantees": 10, "execution": 10},
+}
+NARROW_PAGES = 5
+
+# Keys of a record of facts that are no facts.
+NO_FACTS = ["summary", "tender_profile", "extraction_warning"]
+# By language, the answer where nothing is found and the instruction to answer in it.
+MISSING_ANSWERS = {"ar": "غير مذكور في هذه الوثيقة.", "en": "Not mentioned in this document.", "fr": "Non mentionne dans ce document."}
+LANGUAGE_INSTRUCTIONS = {"ar": "Reponds uniquement en arabe.", "en": "Answer only in English.", "fr": "Reponds uniquement en francais."}

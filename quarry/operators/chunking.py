@@ -11,9 +11,8 @@ from ..functions import text as T
 
 def hard_slices(text: Column, size: int) -> Column:
     """Pieces of ``size`` characters, stripped, without empty ones."""
-    n = F.char_length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda s: T.strip(F.substring(text, s, F.lit(size)))), lambda x: x != "")
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.filter(F.transform(pieces, T.strip), lambda x: x != "")
 
 
 def packed(blocks: Column, size: int, joiner: str = "\n\n") -> Column:
@@ -100,13 +99,12 @@ def page_gaps(pages: DataFrame, key: str, number: str, expected: str | None = No
     """Missing pages of each key as ranges, from 1 to the greatest observed or expected."""
     last = F.max(number) if expected is None else F.greatest(F.max(number), F.coalesce(F.max(expected), F.lit(0)))
     own = pages.where(F.col(number).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(number)).alias("_p"), last.alias("_last"))
-    edges = F.concat(F.array(F.lit(0)), "_p", F.array(F.col("_last") + 1))
-    gaps = F.filter(
-        F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct((F.get(edges, i - 1) + 1).alias("a"), (F.get(edges, i) - 1).alias("b"))),
-        lambda g: g["a"] <= g["b"],
-    )
-    shown = F.transform(gaps, lambda g: F.when(g["a"] == g["b"], g["a"].cast("string")).otherwise(F.concat_ws("-", g["a"], g["b"])))
-    total = F.aggregate(gaps, F.lit(0), lambda n, g: n + (g["b"] - g["a"] + 1).cast("int"))
+    # each page with the one before, the end of the document behind the last
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(0)), "_p").alias("before"), F.concat("_p", F.array(F.col("_last") + 1)).alias("after"))
+    found = F.filter(pairs, lambda g: g["after"] - g["before"] > 1)
+    own = own.select(key, F.transform(found, lambda g: F.struct((g["before"] + 1).alias("a"), (g["after"] - 1).alias("b"))).alias("_g"))
+    shown = F.transform("_g", lambda g: F.when(g["a"] == g["b"], g["a"].cast("string")).otherwise(F.concat_ws("-", g["a"], g["b"])))
+    total = F.aggregate("_g", F.lit(0), lambda n, g: n + (g["b"] - g["a"] + 1).cast("int"))
     return own.select(key, F.array_join(shown, ",").alias("missing"), total.alias("n_missing"))
 
 

@@ -28,31 +28,41 @@ def combined(entries: DataFrame, by: list[str]) -> DataFrame:
 
 
 def best_by_page(candidates: DataFrame, score: Callable[[Column], Column] = T.quality_score) -> DataFrame:
-    """Texts of pages (doc_id, page, extractor, text) -> per page the best, and others that add a table.
+    """Texts of pages (doc_id, page, extractor, text) -> per page the best, and others that add a table or an Arabic signal.
 
     Candidates of a page are few, one for each extractor, so a page is folded in
     order of score; ties go to the extractor that comes first by name.
     """
     rated = candidates.withColumn("_score", score(F.col("text")))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("_score")).alias("s"), "extractor", T.clean_text(F.col("text")).alias("t"))))
+    rated = rated.withColumns({"_t": T.clean_text(F.col("text")), "_m": T.arabic_matching(F.col("text"))})
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("_score")).alias("s"), "extractor", F.col("_t").alias("t"), F.col("_m").alias("m"))))
 
-    def fold(best: Column, other: Column) -> Column:
+    def fold(state: Column, other: Column) -> Column:
+        best, matched = state["best"], state["matched"]
         folded, whole = T.fold(other["t"]), T.fold(best)
         table = F.lit(False)
         for word in TABLE_WORDS:
             table = table | F.contains(folded, F.lit(word))
-        return F.when(best == "", other["t"]).when(table & ~F.contains(whole, folded), F.concat(best, F.lit("\n"), other["t"])).otherwise(best)
+        adds = (table & ~F.contains(whole, folded)) | T.adds_arabic_signal(matched, other["m"])
+        joined = F.struct(F.concat(best, F.lit("\n"), other["t"]).alias("best"), F.concat(matched, F.lit("\n"), other["m"]).alias("matched"))
+        first = F.struct(other["t"].alias("best"), other["m"].alias("matched"))
+        return F.when(best == "", first).when(adds, joined).otherwise(state)
 
     grouped = rated.groupBy("doc_id", "page").agg(listed.alias("_l"))
-    return grouped.select("doc_id", "page", F.aggregate("_l", F.lit(""), fold).alias("text")).where("text <> ''")
+    empty = F.struct(F.lit("").alias("best"), F.lit("").alias("matched"))
+    return grouped.select("doc_id", "page", F.aggregate("_l", empty, fold, lambda state: state["best"]).alias("text")).where("text <> ''")
 
 
 def merged_by_page(existing: DataFrame, recognised_pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page, text) of two sources: recognised text where there is any, else the existing."""
+    """Pages (doc_id, page, text) of two sources: recognised text where there is any, else the existing.
+
+    An existing text that has an Arabic signal which the recognised one lacks is added to it.
+    """
     a = existing.select("doc_id", "page", T.clean_text(F.col("text")).alias("_a"))
     b = recognised_pages.select("doc_id", "page", T.clean_text(F.col("text")).alias("_b"))
     joined = a.join(b, ["doc_id", "page"], "full_outer")
-    text = F.coalesce(F.nullif("_b", F.lit("")), F.nullif("_a", F.lit("")))
+    adds = T.adds_arabic_signal(T.arabic_matching(F.col("_b")), T.arabic_matching(F.col("_a")))
+    text = F.when((F.col("_a") != "") & (F.col("_b") != "") & adds, F.concat_ws("\n", "_b", "_a")).otherwise(F.coalesce(F.nullif("_b", F.lit("")), F.nullif("_a", F.lit(""))))
     source = F.when(F.coalesce("_b", F.lit("")) != "", "recognised").otherwise("existing")
     return joined.select("doc_id", "page", text.alias("text"), source.alias("source")).where(F.col("text").isNotNull())
 

@@ -26,11 +26,21 @@ SUFFIXES = (".pdf", ".txt", ".md", ".csv", ".json", ".docx", ".xlsx")
 MOST_BYTES = 50 * 1024 * 1024
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """Files (path, modificationTime, length, content, suffix, sha256) of the accepted kinds and size."""
+def _found(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return read.where(F.col("length") <= MOST_BYTES).withColumn("suffix", suffix).where(suffix.isin(*SUFFIXES)).withColumn("sha256", F.sha2("content", 256))
+    return read.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """Files (path, modificationTime, length, content, suffix, sha256) of the accepted kinds and size; ``rejected`` lists the others."""
+    read = _found(spark, path)
+    return read.where((F.col("length") <= MOST_BYTES) & F.col("suffix").isin(*SUFFIXES)).withColumn("sha256", F.sha2("content", 256))
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """Files (path, length, reason) that ``files`` leaves out; their contents are not read."""
+    reason = F.when(~F.col("suffix").isin(*SUFFIXES), F.concat(F.lit("no reader for "), "suffix")).when(F.col("length") > MOST_BYTES, F.lit(f"over {MOST_BYTES} bytes"))
+    return _found(spark, path).select("path", "length", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def decoded(data: bytes) -> str:

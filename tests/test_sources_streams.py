@@ -41,6 +41,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"x")
     found = readers.files(spark, str(tmp_path))
     assert found.count() == 5
+    assert [(r.path[-5:], r.reason) for r in readers.rejected(spark, str(tmp_path)).collect()] == [("f.bin", "no reader for .bin")]
     got = {(r.path[-6:].split("/")[-1], r.page_seq): r.text for r in readers.page_entries(found).collect()}
     assert got[("a.txt", 0)] == "un\n\ndeux" and got[("b.csv", 0)] == "x | y\n1\n2 | 3" and '"k": [' in got[("c.json", 0)]
     assert got[("d.docx", 0)] == "before" and got[("d.docx", 1)] == "Title\ntext\na | b"
