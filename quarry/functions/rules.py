@@ -150,3 +150,8 @@ NO_FACTS = ["summary", "tender_profile", "extraction_warning"]
 # By language, the answer where nothing is found and the instruction to answer in it.
 MISSING_ANSWERS = {"ar": "غير مذكور في هذه الوثيقة.", "en": "Not mentioned in this document.", "fr": "Non mentionne dans ce document."}
 LANGUAGE_INSTRUCTIONS = {"ar": "Reponds uniquement en arabe.", "en": "Answer only in English.", "fr": "Reponds uniquement en francais."}
+# Words by which a question is English.
+ENGLISH_MARKERS = [
+    "what", "which", "when", "where", "who", "whom", "whose", "how", "does", "do", "is", "are", "deadline", "warranty", "payment",
+    "penalties", "documents required", "bid", "tender", "offer validity", "opening of bids",
+]

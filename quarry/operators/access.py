@@ -77,6 +77,22 @@ def can_delete(policy: Policy) -> Column:
     return F.lit(policy.role in ("admin", "manager")) | (F.col("uploaded_by") == policy.user_id)
 
 
+def can_change_visibility(policy: Policy) -> Column:
+    return F.lit(policy.is_admin) | (F.col("uploaded_by") == policy.user_id)
+
+
+def has_role(policy: Policy, *roles: str) -> bool:
+    return policy.role in roles
+
+
+def can_upload(policy: Policy) -> bool:
+    return has_role(policy, "admin", "manager", "analyst")
+
+
+def can_manage_users(policy: Policy) -> bool:
+    return policy.is_admin
+
+
 def can_access_universe(policy: Policy) -> Column:
     return F.lit(policy.is_admin) | (F.col("department_id") == policy.department_id)
 

@@ -61,7 +61,8 @@ def merged_by_page(existing: DataFrame, recognised_pages: DataFrame) -> DataFram
     a = existing.select("doc_id", "page", T.clean_text(F.col("text")).alias("_a"))
     b = recognised_pages.select("doc_id", "page", T.clean_text(F.col("text")).alias("_b"))
     joined = a.join(b, ["doc_id", "page"], "full_outer")
-    adds = T.adds_arabic_signal(T.arabic_matching(F.col("_b")), T.arabic_matching(F.col("_a")))
+    joined = joined.withColumns({"_am": T.arabic_matching(F.col("_a")), "_bm": T.arabic_matching(F.col("_b"))})
+    adds = T.adds_arabic_signal(F.col("_bm"), F.col("_am"))
     text = F.when((F.col("_a") != "") & (F.col("_b") != "") & adds, F.concat_ws("\n", "_b", "_a")).otherwise(F.coalesce(F.nullif("_b", F.lit("")), F.nullif("_a", F.lit(""))))
     source = F.when(F.coalesce("_b", F.lit("")) != "", "recognised").otherwise("existing")
     return joined.select("doc_id", "page", text.alias("text"), source.alias("source")).where(F.col("text").isNotNull())

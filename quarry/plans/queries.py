@@ -6,7 +6,7 @@ The tables have no departments, uploaders or chunks, so a registry is derived fr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -299,15 +299,15 @@ def orphan_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("page_gaps", """
-WITH m AS (SELECT l_orderkey, max(l_linenumber) AS last FROM lineitem WHERE l_quantity > 20 GROUP BY 1),
-g AS (SELECT l_orderkey, unnest(range(1, last + 1)) AS p FROM m),
-x AS (SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = g.l_orderkey AND l.l_linenumber = p AND l_quantity > 20)),
-i AS (SELECT l_orderkey, p, p - row_number() OVER (PARTITION BY l_orderkey ORDER BY p) AS island FROM x),
-r AS (SELECT l_orderkey, min(p) AS a, max(p) AS b FROM i GROUP BY l_orderkey, island)
-SELECT m.l_orderkey, coalesce(string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a), '') AS missing, CAST(coalesce(sum(b - a + 1), 0) AS INTEGER) AS n_missing
-FROM m LEFT JOIN r ON m.l_orderkey = r.l_orderkey GROUP BY m.l_orderkey""")
+WITH m AS (SELECT DISTINCT o_custkey, CAST(month(o_orderdate) AS INTEGER) AS p FROM orders), l AS (SELECT o_custkey, max(p) AS last FROM m GROUP BY 1),
+g AS (SELECT o_custkey, unnest(range(1, last + 1)) AS p FROM l),
+x AS (SELECT g.* FROM g ANTI JOIN m USING (o_custkey, p)),
+i AS (SELECT o_custkey, p, p - row_number() OVER (PARTITION BY o_custkey ORDER BY p) AS island FROM x),
+r AS (SELECT o_custkey, min(p) AS a, max(p) AS b FROM i GROUP BY o_custkey, island)
+SELECT l.o_custkey, coalesce(string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a), '') AS missing, CAST(coalesce(sum(b - a + 1), 0) AS INTEGER) AS n_missing
+FROM l LEFT JOIN r ON l.o_custkey = r.o_custkey GROUP BY l.o_custkey""")
 def page_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.page_gaps(table(spark, sf_dir, "lineitem").where("l_quantity > 20"), "l_orderkey", "l_linenumber")
+    return chunking.page_gaps(table(spark, sf_dir, "orders").select("o_custkey", F.month("o_orderdate").alias("month")), "o_custkey", "month")
 
 
 @register("paginated_orders", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 40")
@@ -358,14 +358,16 @@ def evaluate_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("quote_overlap", r"""
-WITH d AS (SELECT doc_id, text, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, text AS q, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda x: x <> '') AS w FROM benchmark),
-j AS (SELECT d.doc_id, b.item_id, contains(lower(d.text), lower(b.q)) AS exact, round(len(list_intersect(b.w, d.w)) / len(b.w), 3) AS share FROM d JOIN b ON d.doc_id = b.item_id)
-SELECT doc_id, CASE WHEN exact THEN 'exact' WHEN share >= 0.55 THEN 'approximate' ELSE 'missing' END AS state, share FROM j""")
+WITH c AS (SELECT conv_id, turn, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS page FROM conversations),
+w AS (SELECT *, list_filter(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')), lambda x: x <> '') AS q,
+  list_filter(list_distinct(string_split_regex(lower(page), '[^a-z0-9]+')), lambda x: x <> '') AS p FROM c),
+j AS (SELECT conv_id, turn, contains(lower(page), lower(text)) AS exact, CASE WHEN len(q) = 0 THEN 0.0 ELSE round(len(list_intersect(q, p)) / len(q), 3) END AS share FROM w)
+SELECT conv_id, turn, CASE WHEN exact THEN 'exact' WHEN share >= 0.55 THEN 'approximate' ELSE 'missing' END AS state, CAST(share AS DOUBLE) AS share FROM j""")
 def quote_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    joined = docs.join(items.select(F.col("item_id").alias("doc_id"), F.col("text").alias("quote")), "doc_id")
-    return joined.select("doc_id", reports.quote_check(F.col("quote"), F.col("text")).alias("c")).select("doc_id", "c.state", "c.share")
+    """Every turn held against the one before it."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("page", F.coalesce(F.lag("text").over(before), F.lit("")))
+    return turns.select("conv_id", "turn", reports.quote_check(F.col("text"), F.col("page")).alias("c")).select("conv_id", "turn", "c.state", "c.share")
 
 
 @register("best_fact", "SELECT user_id, event_type, arg_max(event_id, struct_pack(v := value, e := -event_id)) AS event_id, max(value) AS value FROM events GROUP BY user_id, event_type")
@@ -463,13 +465,16 @@ def profile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("agreement", r"""
-WITH a AS (SELECT doc_id, lower(regexp_replace(trim(lang), '\s+', ' ', 'g')) AS a FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, lower(source) AS b FROM documents WHERE doc_id % 2 = 0)
-SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, 'f' AS field, a IS NOT NULL AS in_first, b IS NOT NULL AS in_second, coalesce(a = b OR contains(a, b) OR contains(b, a), false) AS agree
+WITH a AS (SELECT doc_id, CASE WHEN contains(text, '!!') OR contains(text, '##') THEN 'loud' ELSE 'calm' END AS a FROM documents),
+b AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'calm' ELSE 'loud' END AS b FROM labels)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, 'tone' AS field, a IS NOT NULL AS in_first, b IS NOT NULL AS in_second, coalesce(a = b OR contains(a, b) OR contains(b, a), false) AS agree
 FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id""")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    first = docs.where("doc_id % 3 <> 0").select("doc_id", F.lit("f").alias("field"), F.col("lang").alias("text"))
-    return reports.compared(first, docs.where("doc_id % 2 = 0").select("doc_id", F.lit("f").alias("field"), F.col("source").alias("text")))
+    """A rule's finding for every document against the labels."""
+    loud = F.contains("text", F.lit("!!")) | F.contains("text", F.lit("##"))
+    first = table(spark, sf_dir, "documents").select("doc_id", F.lit("tone").alias("field"), F.when(loud, "loud").otherwise("calm").alias("text"))
+    second = table(spark, sf_dir, "labels").select("doc_id", F.lit("tone").alias("field"), F.when(F.col("quality") == 1, "calm").otherwise("loud").alias("text"))
+    return reports.compared(first, second)
 
 
 @register("answer_cascade")

@@ -101,3 +101,12 @@ def test_index_and_answer(spark, tmp_path):
     best = engine.cached_answers(cached, "Quelle caution en dinars ?").collect()
     assert [(r.filename, r.page) for r in best] == [("f", "2")]
     assert readers.SUFFIXES[0] == ".pdf"
+
+
+def test_pages_keep_arabic_signals_of_the_other_text(spark):
+    old = spark.createDataFrame([("d", "1", "غرامة التأخير 5%"), ("d", "2", "غرامة التأخير")], "doc_id string, page string, text string")
+    new = spark.createDataFrame([("d", "1", "نص آخر"), ("d", "2", "نص آخر")], "doc_id string, page string, text string")
+    got = {r.page: r.text for r in P.merged_by_page(old, new).collect()}
+    assert got == {"1": "نص آخر\nغرامة التأخير 5%", "2": "نص آخر"}
+    candidates = spark.createDataFrame([("d", "1", "a", "نص " * 200), ("d", "1", "b", "غرامة التأخير 5%")], "doc_id string, page string, extractor string, text string")
+    assert "5%" in P.best_by_page(candidates).collect()[0].text
