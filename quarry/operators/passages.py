@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import rules
 from ..functions import text as T
 from .chunking import passages
 
 
-def score(passage: Column, terms: list[str], article: str | None = None) -> Column:
-    """Hits of terms in a normalised passage, less for numbers, more for the article; long passages lose a point."""
+#: Questions that are sent to every task; more are joined.
+MOST_QUESTIONS = 5000
+
+
+def score(passage: Column, terms: list[str], article: str | None = None, long: bool = True) -> Column:
+    """Hits of terms in a normalised passage, less for numbers, more for the article; long passages lose a point, if ``long``."""
 
     def total(normal: Column) -> Column:
         out = F.lit(0.0)
@@ -24,34 +33,75 @@ def score(passage: Column, terms: list[str], article: str | None = None) -> Colu
             out = out + F.when(normal.rlike(rf"\barticle\s*{article}\b"), rules.ARTICLE_BONUS).otherwise(0.0)
         return out
 
-    return T.let(T.normalize_query(passage), total) - F.when(F.char_length(passage) > 2600, 1.0).otherwise(0.0)
+    hits = T.let(T.normalize_query(passage), total)
+    return hits - F.when(F.char_length(passage) > 2600, 1.0).otherwise(0.0) if long else hits
 
 
 def search(documents: DataFrame, terms: list[str], article: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The best passage of each document that reaches the least score; ties by place."""
     least = rules.ARTICLE_LEAST if article else rules.PASSAGE_LEAST
-    own = documents.select(key, F.posexplode(passages(F.col(text))).alias("place", "passage"))
+    # a passage has no more hits than its document; only documents with enough of them are split
+    some = documents.where(score(F.col(text), terms, article, long=False) >= least)
+    own = some.select(key, F.posexplode(passages(F.col(text))).alias("place", "passage"))
     # let() keeps the filter from computing the score a second time
     scored = own.select(key, "place", "passage", F.explode(F.array(F.round(score(F.col("passage"), terms, article), 4))).alias("score")).where(F.col("score") >= least)
     best = F.max_by(F.struct("passage", "place"), F.struct("score", -F.col("place")))
     return scored.groupBy(key).agg(F.max("score").alias("score"), best.alias("_b")).select(key, "score", "_b.place", "_b.passage")
 
 
-def search_many(documents: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every question (query_id, question) its best passage of all documents.
+def search_many(documents: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST_QUESTIONS) -> DataFrame:
+    """For every question (query_id, question) its best passage of all documents; ties to the smallest key and place.
 
-    Terms are joined to the distinct words of passages, so only passages that
-    share a word with a question are scored.
+    Up to ``most`` questions go to every task, which keeps its best passage of each;
+    of more, the terms are joined to the distinct words of the passages, so that only
+    passages that share a word with a question are scored.
     """
     asked = questions.select("query_id", F.explode(T.terms_of(F.col("question"))).alias("term"))
     own = documents.select(key, F.posexplode(passages(F.col(text))).alias("place", "passage"))
-    words = own.select(key, "place", F.explode(F.array_distinct(F.split(T.normalize_query(F.col("passage")), " "))).alias("term"))
+    words = own.select(key, "place", F.array_distinct(F.split(T.normalize_query(F.col("passage")), " ")).alias("words"))
     weight = F.when(F.col("term").rlike("^[0-9]+$"), rules.NUMBER_HIT).otherwise(1.0)
-    scored = words.join(asked, "term").groupBy("query_id", key, "place").agg(F.round(F.sum(weight), 4).alias("score")).where(F.col("score") >= rules.PASSAGE_LEAST)
+    if questions.count() <= most:
+        scored = _best_of_tasks(words, asked.select("query_id", "term", weight.alias("weight")), key)
+    else:
+        joined = words.select(key, "place", F.explode("words").alias("term")).join(asked, "term")
+        scored = joined.groupBy("query_id", key, "place").agg(F.round(F.sum(weight), 4).alias("score")).where(F.col("score") >= rules.PASSAGE_LEAST)
     best = scored.groupBy("query_id").agg(F.max_by(F.struct(key, "place", "score"), F.struct("score", -F.col(key), -F.col("place"))).alias("_b"))
     return best.select("query_id", "_b.*")
 
 
+def _best_of_tasks(words: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Passages (key, place, words) -> each task's best (query_id, key, place, score) for every question (query_id, term, weight)."""
+    spark = words.sparkSession
+    # bounded: the terms of at most MOST_QUESTIONS questions
+    rows = asked.collect()
+    ids = list(dict.fromkeys(r[0] for r in rows))
+    number = {q: n for n, q in enumerate(ids)}
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for q, term, weight in rows:
+        by_term.setdefault(term, []).append((number[q], weight))
+    shared = spark.sparkContext.broadcast({t: (np.array([n for n, _ in own]), np.array([w for _, w in own])) for t, own in by_term.items()})
+    n_asked, least = len(ids), rules.PASSAGE_LEAST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, best = shared.value, {}
+        for batch in batches:
+            for k, place, own in zip(batch.column("k").to_pylist(), batch.column("place").to_pylist(), batch.column("words").to_pylist()):
+                known = [terms[w] for w in own if w in terms]
+                if not known:
+                    continue
+                total = np.round(np.bincount(np.concatenate([n for n, _ in known]), np.concatenate([w for _, w in known]), n_asked), 4)
+                for n in np.flatnonzero(total >= least).tolist():
+                    found = (float(total[n]), -k, -place)
+                    if n not in best or found > best[n]:
+                        best[n] = found
+        out = [(n, -k, -place, score) for n, (score, k, place) in best.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("n", "k", "place", "score"), r)) for r in out], schema=pa.schema([("n", pa.int32()), ("k", pa.int64()), ("place", pa.int32()), ("score", pa.float64())]))
+
+    found = words.select(F.col(key).cast("long").alias("k"), "place", "words").mapInArrow(run, "n int, k long, place int, score double")
+    names = spark.createDataFrame(list(enumerate(ids)), StructType([StructField("n", IntegerType()), asked.schema["query_id"]]))
+    return found.join(F.broadcast(names), "n").select("query_id", F.col("k").alias(key), "place", "score")
+
+
 def grep(documents: DataFrame, terms: list[str], most: int = 8, width: int = 240, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The first lines of each document that contain each term."""
     found = documents.select(key, F.posexplode(F.split(text, "\n")).alias("_n", "line"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import rules
 from ..functions import text as T
@@ -31,26 +37,61 @@ def top_k(items: DataFrame, query: list[float], k: int, where: Column | None = N
 def top_k_many(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
     """The k items most like each query vector.
 
-    Each slice of items keeps its own k best by query before anything is
-    shuffled, so what moves grows with slices times queries, not with items times
-    queries. Queries go out in parts of at most MOST_QUERIES.
+    Scores are matrix products of batches of items with all queries of a part. Each
+    task keeps its own k best by query, so what moves grows with tasks times queries,
+    not with items times queries. Queries go out in parts of at most MOST_QUERIES;
+    items without a direction have no score and come last.
     """
-    parts = -(-queries.count() // MOST_QUERIES) or 1
+    parts, spark = -(-queries.count() // MOST_QUERIES) or 1, items.sparkSession
+    schema = StructType([StructField("_n", IntegerType()), StructField("_k", items.schema[key].dataType), StructField("score", DoubleType())])
     out = None
     for p in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == p)
-        # bounded: MOST_QUERIES vectors in one row
-        packed = own.agg(F.collect_list(F.struct(F.col(query_key).alias("q"), F.col(query_vector).alias("v"))).alias("_qs"))
-        scored = items.join(F.broadcast(packed)).select(key, F.inline(F.transform("_qs", lambda x: F.struct(x["q"].alias(query_key), F.round(cosine(F.col(vector), x["v"]), 6).alias("score")))))
-        local = scored.withColumn("_slice", F.spark_partition_id())
-        inner = Window.partitionBy(query_key, "_slice").orderBy(F.col("score").desc(), key)
-        best = local.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= k)
-        outer = Window.partitionBy(query_key).orderBy(F.col("score").desc(), key)
-        ranked = best.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k).select(query_key, key, "score", "rank")
+        # bounded: MOST_QUERIES vectors
+        asked = own.select(query_key, query_vector).collect()
+        width = len(asked[0][1]) if asked else 0
+        shared = spark.sparkContext.broadcast((np.array([r[1] for r in asked], float).reshape(len(asked), width), k))
+        local = items.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).mapInArrow(_best_of_task(shared), schema)
+        names = spark.createDataFrame([(n, r[0]) for n, r in enumerate(asked)], StructType([StructField("_n", IntegerType()), own.schema[query_key]]))
+        outer = Window.partitionBy("_n").orderBy(F.col("score").desc(), "_k")
+        ranked = local.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k).join(F.broadcast(names), "_n")
+        ranked = ranked.select(query_key, F.col("_k").alias(key), "score", "rank")
         out = ranked if out is None else out.unionByName(ranked)
     return out
 
 
+def _best_of_task(shared):
+    """(_k, _v) -> (_n, _k, score): a task's best items for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, k = shared.value
+        size = np.sqrt((asked * asked).sum(axis=1))
+        held: pa.Table | None = None
+        scores = np.empty((0, len(asked)))
+        for batch in batches:
+            rows = [v if v is not None and len(v) == asked.shape[1] else None for v in batch.column("_v").to_pylist()]
+            items = np.array([np.full(asked.shape[1], np.nan) if v is None else v for v in rows], float).reshape(len(rows), asked.shape[1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = np.round(items @ asked.T / (np.sqrt((items * items).sum(axis=1))[:, None] * size), 6)
+            keys = pa.Table.from_batches([batch.select(["_k"])])
+            held = keys if held is None else pa.concat_tables([held, keys])
+            scores = np.concatenate([scores, found])
+            # ties by key; what no query ranks among its k best is not kept
+            by_key = pc.sort_indices(held.column("_k")).to_numpy()
+            held, scores = held.take(by_key), scores[by_key]
+            best = np.argsort(-np.nan_to_num(scores, nan=-9.0), axis=0, kind="stable")[:k]
+            kept = np.unique(best)
+            held, scores = held.take(kept), scores[kept]
+        if held is None or not len(asked):
+            return
+        best = np.argsort(-np.nan_to_num(scores, nan=-9.0), axis=0, kind="stable")[:k]
+        number = np.tile(np.arange(len(asked), dtype=np.int32), len(best))
+        value = np.take_along_axis(scores, best, axis=0).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(number), held.column("_k").combine_chunks().take(pa.array(best.ravel())), pa.array(value, mask=np.isnan(value))], names=["_n", "_k", "score"])
+
+    return run
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in an order."""
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
