@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import rules
 from ..functions import text as T
@@ -31,6 +33,34 @@ def packed(blocks: Column, size: int, joiner: str = "\n\n") -> Column:
     return F.aggregate(blocks, empty, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
 
 
+def _packing(size: int, joiner: str = "\n\n"):
+    """``packed`` for whole columns: blocks, and whether to pack them, in one pass over a text's blocks."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def pack(blocks: pd.Series, wanted: pd.Series) -> pd.Series:
+        def one(own, pack_them: bool) -> list[str] | None:
+            if own is None or not pack_them:
+                return own
+            done: list[str] = []
+            held: list[str] = []
+            length = 0
+            for block in own:
+                if held and length + len(joiner) + len(block) <= size:
+                    held.append(block)
+                    length += len(joiner) + len(block)
+                    continue
+                if held:
+                    done.append(joiner.join(held))
+                held, length = ([block], len(block)) if len(block) <= size else ([], 0)
+                if not held:
+                    done += [piece for k in range(0, len(block), size) if (piece := block[k : k + size].strip())]
+            return [*done, joiner.join(held)] if held else done
+
+        return pd.Series([one(b, w) for b, w in zip(blocks, wanted)])
+
+    return pack
+
+
 def _blocks(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern), T.strip), lambda x: x != "")
 
@@ -38,19 +68,18 @@ def _blocks(text: Column, pattern: str) -> Column:
 def split_large(text: Column, size: int = rules.MAX_CHUNK_CHARS) -> Column:
     """A text's pieces: itself, or packed paragraphs, or packed sentences, or slices."""
 
-    def by_sentences(own: Column) -> Column:
-        return T.let(_blocks(own, r"(?U)(?<=[.!?؟؛:])\s+"), lambda x: F.when(F.size(x) > 1, packed(x, size)).otherwise(hard_slices(own, size)))
-
-    def pieces(own: Column) -> Column:
-        paragraphs = T.let(_blocks(own, r"\n{2,}"), lambda x: F.when(F.size(x) > 1, packed(x, size)).otherwise(by_sentences(own)))
-        return F.when(F.char_length(own) <= size, F.array(own)).otherwise(paragraphs)
-
-    return T.let(T.strip(text), pieces)
+    own = T.strip(text)
+    paragraphs, sentences = _blocks(own, r"\n{2,}"), _blocks(own, r"(?U)(?<=[.!?؟؛:])\s+")
+    whole = F.char_length(own) <= size
+    cut = F.when(whole, F.array(own)).otherwise(
+        T.let(paragraphs, lambda p: F.when(F.size(p) > 1, p).otherwise(T.let(sentences, lambda x: F.when(F.size(x) > 1, x).otherwise(hard_slices(own, size)))))
+    )
+    return _packing(size)(cut, ~whole)
 
 
 def plain_entries(text: Column, size: int = rules.PLAIN_ENTRY_CHARS) -> Column:
     """Pseudo-pages of a plain text: paragraphs packed up to ``size``."""
-    return packed(_blocks(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\s*\n"), size)
+    return _packing(size)(_blocks(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\s*\n"), F.lit(True))
 
 
 def embedded_pages(text: Column, fallback: Column) -> Column:
@@ -79,16 +108,43 @@ def merged(entries: Column, target: int = rules.MERGE_TARGET_CHARS, most: int =
     return F.aggregate(entries, start, step)
 
 
+def _merging(target: int = rules.MERGE_TARGET_CHARS, most: int = rules.MAX_CHUNK_CHARS):
+    """``merged`` for whole columns (pages, texts), in one pass over a document's entries."""
+
+    @F.pandas_udf(StructType([StructField("pages", ArrayType(StringType())), StructField("texts", ArrayType(StringType()))]))
+    def merge(pages: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out: dict[str, list] = {"pages": [], "texts": []}
+        for own_pages, own_texts in zip(pages, texts):
+            labels: list = []
+            parts: list[list[str]] = []
+            length = 0
+            for page, text in zip(own_pages, own_texts):
+                n = len(text)
+                if labels and page is not None and labels[-1] == page and length + n + 2 <= most and (length < target or n < target):
+                    parts[-1].append(text)
+                    length += 1 + n
+                else:
+                    labels.append(page)
+                    parts.append([text])
+                    length = n
+            out["pages"].append(labels)
+            out["texts"].append(["\n".join(p) for p in parts])
+        return pd.DataFrame(out)
+
+    return merge
+
+
 def chunks(entries: DataFrame, size: int = rules.MAX_CHUNK_CHARS, least: int = rules.MIN_USEFUL_CHARS) -> DataFrame:
     """Entries (doc_id, page_seq, page, text) -> chunks with running index and id.
 
     Entries of a document are collected in order, as merging depends on what was
     merged before; a document is the unit of work.
     """
-    listed = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_seq", "page", "text"))).alias("_e"))
-    plain = F.transform("_e", lambda x: F.struct(x["page"].alias("page"), x["text"].alias("text")))
-    pieces = listed.select("doc_id", F.posexplode(merged(plain)).alias("_i", "_m"))
-    pieces = pieces.select("doc_id", "_i", F.col("_m.page").alias("page"), F.posexplode(split_large(F.col("_m.text"), size)).alias("_j", "_t"))
+    listed = entries.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_seq", "page", "text"))).alias("_e"))
+    plain = listed.select("doc_id", _merging()(F.col("_e.page").cast("array<string>"), F.col("_e.text")).alias("_m"))
+    pieces = plain.select("doc_id", F.posexplode(F.arrays_zip("_m.pages", "_m.texts")).alias("_i", "_x"))
+    pieces = pieces.select("doc_id", "_i", F.col("_x.pages").alias("page"), split_large(F.col("_x.texts"), size).alias("_s"))
+    pieces = pieces.select("doc_id", "_i", "page", F.posexplode("_s").alias("_j", "_t"))
     cleaned = pieces.withColumn("text", T.clean_text(F.col("_t"))).where((F.char_length("text") >= least) & ~T.is_noise(F.col("text")))
     order = Window.partitionBy("doc_id").orderBy("_i", "_j")
     numbered = cleaned.withColumn("chunk_index", F.row_number().over(order) - 1)
@@ -123,7 +179,8 @@ def offsets(pages: DataFrame, by: str, order: str, text: str = "text", gap: int
 
 def articles(text: Column) -> Column:
     """Pieces of a text that begin at ``ARTICLE n``."""
-    return F.filter(F.transform(F.split(text, r"(?i)(?=\bARTICLE\s+\d{1,3}\b)"), T.strip), lambda x: x != "")
+    cut = F.when(F.contains(F.lower(text), F.lit("article")), F.split(text, r"(?i)(?=\bARTICLE\s+\d{1,3}\b)")).otherwise(F.array(text))
+    return F.filter(F.transform(cut, T.strip), lambda x: x != "")
 
 
 def passages(text: Column, most: int = rules.PASSAGE_CHARS, target: int = rules.PASSAGE_TARGET) -> Column:

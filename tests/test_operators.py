@@ -263,3 +263,27 @@ def test_mined_scores(spark):
     mined = spark.createDataFrame([("d", "lot", "Serveurs rack", "prix unitaire"), ("d", "metric", "zz", "5")], "doc_id string, type string, label string, value string")
     asked = spark.createDataFrame([(1, "d", "Quel lot de serveurs ?")], "query_id int, doc_id string, question string")
     assert [(r.label, r.score, r["rank"]) for r in facts.mined_scores(mined, asked).collect()] == [("Serveurs rack", 5, 1)]
+
+
+def test_whole_columns_are_packed_and_merged_like_expressions(spark):
+    """The linear forms against the expressions, which stay the definition inside lambdas."""
+    import random
+
+    rng = random.Random(3)
+    rows = [([("x" * rng.randrange(1, 40)) for _ in range(rng.randrange(12))], [str(rng.randrange(3)) for _ in range(12)]) for _ in range(60)]
+    df = spark.createDataFrame([(b, p[: len(b)]) for b, p in rows], "b array<string>, p array<string>")
+    got = df.select(chunking.packed(F.col("b"), 30).alias("x"), chunking._packing(30)(F.col("b"), F.lit(True)).alias("y")).collect()
+    assert all(r.x == r.y for r in got)
+    entries = F.zip_with("p", "b", lambda p, b: F.struct(p.alias("page"), b.alias("text")))
+    both = df.select(chunking.merged(entries, 20, 60).alias("x"), chunking._merging(20, 60)(F.col("p"), F.col("b")).alias("y")).collect()
+    assert all([(e.page, e.text) for e in r.x] == list(zip(r.y.pages, r.y.texts)) for r in both)
+
+
+def test_a_very_long_document_is_chunked_in_linear_time(spark):
+    import time
+
+    text = "\n\n".join(f"Paragraph {k} with a few words in it, and no more than that." for k in range(40_000))
+    df = spark.createDataFrame([("d", 0, "1", text)], "doc_id string, page_seq int, page string, text string")
+    began = time.perf_counter()
+    assert chunking.chunks(df).count() > 1000
+    assert time.perf_counter() - began < 20
