@@ -155,3 +155,119 @@ ENGLISH_MARKERS = [
     "what", "which", "when", "where", "who", "whom", "whose", "how", "does", "do", "is", "are", "deadline", "warranty", "payment",
     "penalties", "documents required", "bid", "tender", "offer validity", "opening of bids",
 ]
+
+# Phrases by which a normalised question is of a kind, as whole words.
+QUESTION_KINDS = {
+    "subject": [
+        "sujet", "objet", "l'objet", "l objet", "objet de la consultation", "intitule", "titre", "de quoi s agit", "de quoi s'agit",
+        "de quoi parle", "c'est quoi", "c est quoi", "concerne quoi", "what is this about", "what is the tender about",
+        "what is the document about", "what does this concern", "purpose", "subject", "title",
+    ],
+    "deadline": [
+        "date limite", "date de remise", "remise des offres", "delai de remise", "dernier delai", "dernier jour", "au plus tard",
+        "quand deposer", "quand soumettre", "quand envoyer", "submit the offer", "submit offers", "submission date", "submission deadline",
+        "last date", "last day", "deadline", "due date", "closing date",
+    ],
+    "summary": [
+        "resume", "resumer", "resumee", "summary", "summarize", "summarise", "points cles", "points cle", "key points", "main points",
+        "overview", "tell me about", "explique", "explain", "de quoi parle",
+    ],
+    "organization": [
+        "quelle est ce societe", "quelle est cette societe", "quel est ce societe", "c est quelle societe", "c'est quelle societe",
+        "quelle societe", "nom de la societe", "quelle entreprise", "nom de l entreprise", "quelle banque", "quel organisme",
+        "quelle organisme", "quelle institution", "what company", "which company", "what is this company", "company name", "which bank",
+        "what organization", "which organization",
+    ],
+    "assistant": [
+        "qui es tu", "qui etes vous", "t es qui", "tu es qui", "c est qui", "c'est qui", "presente toi", "presentez vous",
+        "quel est ton nom", "comment tu t appelles", "comment vous appelez vous", "who are you", "who are u", "who r u", "who r you",
+        "what are you", "what are u", "what r u", "what r you", "your name", "introduce yourself", "chkoun enti", "chkun enti", "chnowa enti",
+    ],
+}
+# A word of the first list together with a phrase of the second asks for the organization.
+ORGANIZATION_WORDS = ["societe", "soci", "entreprise", "organisme", "company"]
+ORGANIZATION_SHAPES = ["quelle est ce", "quelle est cette", "c est quelle", "c'est quelle", "what is this", "which"]
+# Words, one of each list of which together ask who answers.
+ASSISTANT_WORDS = [["who", "what"], ["u", "you"], ["are", "r"]]
+
+# What ends an answer taken from a text, and what stands before it, in order.
+ANSWER_STOP = r"(?:\.\s+[A-Z][^a-z]|\.\s+Messieurs\b|\.\s+Madame\b|\.\s+\d+\b|\s+\d+\.\s+[A-Z]|\n|$)"
+_ARTICLE_HEAD = r"\barticle\s*\d+\s*[:\-]?\s*objet(?:\s+(?:du|de\s+la|de\s+l['’])\s+(?:march[eé]|consultation|cahier\s+des\s+charges))?\s*[:\-]?\s*"
+_PURPOSE = r"\b(?:la\s+)?(?:pr[eé]sente\s+)?consultation\s+a\s+pour\s+objet\s+"
+_TENDER_PURPOSE = r"\b(?:le\s+)?(?:pr[eé]sent\s+)?(?:march[eé]|appel\s+d['’]offres?|cahier\s+des\s+charges)\s+a\s+pour\s+objet\s+"
+_OBJECT = r"\bobjet(?:\s+de\s+la\s+consultation)?\s*[:\-]\s*"
+_CONSULTATION = r"\bconsultation\s+pour\s+"
+_PURCHASE = r"\bmarch[eé]\s+d[' ]acquisition\s+"
+_RENEWAL = r"\brenouvellement\s+des\s+licences\s+"
+DIRECT_HEADS = {
+    "subject": [
+        _ARTICLE_HEAD, _PURPOSE, _TENDER_PURPOSE, r"\bporte\s+sur\s+", _OBJECT, _CONSULTATION, r"\bdemande d[' ]offre de prix\s+",
+        _PURCHASE, _RENEWAL,
+    ],
+    "deadline": [r"\bdate\s+limite(?:\s+de\s+remise\s+des\s+offres)?\s*[:\-]\s*", r"\bremise\s+des\s+offres\s*[:\-]\s*"],
+}
+# Heads of a summary's first part, and what is put before what follows them.
+SUMMARY_HEADS = [
+    (_ARTICLE_HEAD, ""), (_PURPOSE, ""), (_TENDER_PURPOSE, ""), (_OBJECT, ""), (_CONSULTATION, "Consultation pour "),
+    (_PURCHASE, "Marche d'acquisition "), (_RENEWAL, "Renouvellement des licences "),
+]
+SUMMARY_ITEMS, SUMMARY_ITEM_LEAST, SUMMARY_SENTENCE_LEAST, SUMMARY_PARTS = 3, 3, 20, 2
+SUMMARY_LISTED, SUMMARY_DEADLINE = "Elements cites : ", "Date limite : "
+
+# What speaks for a subject, all words of an entry together, in lower case and folded; and what against it.
+SUBJECT_SIGNS = [(100, ["se propose", "acqu"]), (120, ["a pour objet"]), (80, ["consultation pour"])]
+SUBJECT_FOLDED_SIGNS = [
+    (170, ["tsb envisage"]), (90, ["infrastructure systeme"]), (180, ["topnet", "solution antivirale"]),
+    (100, ["securite des infrastructures informatiques"]), (60, ["edr"]), (90, ["fourniture et la livraison"]),
+    (180, ["solution d'impression", "multifonction"]),
+]
+SUBJECT_TENDER, SUBJECT_TENDER_WEIGHT = ["lance le present appel d'offres", "en lot unique pour l'acquisition"], 80
+SUBJECT_REFUSED, SUBJECT_REFUSED_WEIGHT = [
+    "je joins", "presente soumission", "présente soumission", "cahier des clauses", "attestation fiscale", "attestation d'affiliation",
+    "fixent les procedures", "procedures de l'appel d'offres", "stipulent les conditions du marche", "definissent les conditions",
+    "regissent les rapports", "precisent les obligations", "determinent les modalites", "fixent les conditions",
+    "definissent les droits", "approuver les rapports", "delivrer les certificats",
+], -160
+SUBJECT_CONTENTS, SUBJECT_CONTENTS_WEIGHT = [
+    "etcompositiondel", "compositiondelappeld", "composition de l appel d offres", "table des matieres", "sommaire",
+], -260
+SUBJECT_DIGIT, SUBJECT_SHORT, SUBJECT_EARLY, SUBJECT_ARTICLES, SUBJECT_ANNEX, SUBJECT_LEADERS, SUBJECT_LIST = 30, -40, 60, -300, -180, -220, -260
+
+# The questions of the checklist, their fields, and whether the answer is yes or no first.
+CHECKLIST = [
+    ("Quel est l'objet du cahier des charges / de la presente consultation ?", "subject", False),
+    ("Quel est le mode d'envoi ou de depot de la soumission ?", "submission_method", False),
+    ("Quelle est la date limite reelle de soumission ?", "deadline", False),
+    ("Quelle est la duree de validite de l'offre ?", "validity", False),
+    ("Quelle est la date / modalite d'ouverture des plis ?", "opening", False),
+    ("Les variantes sont-elles autorisees ?", "variants", False),
+    ("Quel est le montant / l'exigence de la caution provisoire ?", "caution", False),
+    ("Une fiche de renseignements est-elle exigee ?", "information_sheet", True),
+    ("Une attestation d'affiliation a la CNSS est-elle exigee ?", "cnss", True),
+    ("Une attestation de solde / situation fiscale est-elle exigee ?", "fiscal_certificate", True),
+    ("Un extrait du registre de commerce / certificat RNE est-il exige ?", "rne", True),
+    ("Quels sont les documents administratifs exiges ?", "administrative_documents", False),
+    ("Quelle documentation technique est exigee ?", "technical_documents", False),
+    ("Une autorisation du constructeur / fabricant est-elle exigee ?", "manufacturer_authorization", True),
+    ("Une liste de references est-elle exigee ?", "references", True),
+    ("Quels sont les documents financiers exiges ?", "financial_documents", False),
+    ("Quelle est la periode de garantie exigee ?", "guarantee", False),
+    ("Quelles sont les modalites / types de reception ?", "reception", False),
+    ("Une caution definitive est-elle exigee ?", "definitive_caution", True),
+    ("Existe-t-il des penalites de retard ?", "penalties", True),
+    ("Quelles sont les modalites de paiement ?", "payment", False),
+]
+# Long values of the checklist are told short from these lengths on, by these words.
+RECEPTION_LEAST, GUARANTEE_LEAST, GUARANTEE_MOST = 350, 260, 4
+RECEPTION_TYPES = ["reception quantitative", "reception provisoire", "reception definitive"]
+RECEPTION_DETAILS = [
+    ("apres livraison", ["livraison"]),
+    ("apres verification de conformite", ["verification", "conformite", "specifications techniques", "tests"]),
+    ("a l'expiration du delai de garantie", ["delai de garantie", "expiration du delai"]),
+]
+DURATION = r"\b(?:\d{1,3}|un|une|deux|trois|six|douze|vingt\s+quatre|trente\s+six)(?:\s*\(\s*\d{1,3}\s*\))?\s*(?:mois|ans?|ann[ée]es?)\b"
+
+# A row of a price schedule, what a page with one has, and how a fact ends before the next section.
+PRICE_ROW = r"\b(\d{1,2})\s+([A-ZÀ-ÖØ-öø-ÿ][\wÀ-ÖØ-öø-ÿ'’()./+&\-\s]{4,220}?)\s+Unit[eé]\s+(\d+(?:[.,]\d+)?)\b"
+PRICE_PAGES, PRICE_LOT = ["bordereau des prix", "prix u"], r"\bLOT\s*(\d+)\s*:?\s*[^:]{0,120}?(?=\s+Item|\s*$)"
+SECTION_STARTS = r"ARTICLE\s+\d+|(?:LA\s+)?DATE\s+LIMITE|OUVERTURE\s+DES\s+(?:PLIS|OFFRES)|MODALIT[EÉ]S?\s+DE\s+PAIEMENT|P[EÉ]NALIT[EÉ]S?"

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
 from . import facts as facts_of
+from . import questions as asks
 
 #: Words of a question that ask for a field, in order of priority.
 FIELD_WORDS = [
@@ -16,16 +18,16 @@ FIELD_WORDS = [
     ("definitive_caution", ["caution definitive", "cautionnement definitif"]),
     ("caution", ["caution", "cautionnement"]),
     ("validity", ["validite", "valable", "validity"]),
-    ("opening", ["ouverture", "opening"]),
+    ("opening", ["ouverture", "l'ouverture", "d'ouverture", "opening"]),
     ("guarantee", ["garantie", "warranty"]),
     ("penalties", ["penalite", "penalites", "penalty", "penalties"]),
     ("payment", ["paiement", "payment"]),
     ("reception", ["reception"]),
     ("variants", ["variante", "variantes"]),
     ("references", ["reference", "references"]),
-    ("subject", ["objet", "subject", "projet", "project"]),
+    ("subject", ["objet", "l'objet", "sujet", "subject", "projet", "project"]),
 ]
-IDENTITY = ["who are you", "qui es tu", "qui etes vous", "what can you do"]
+IDENTITY = ["what can you do"]
 #: Texts of fixed answers by language.
 WHO = {"fr": "Je réponds aux questions sur vos documents.", "en": "I answer questions about your documents.", "ar": "أجيب عن الأسئلة حول وثائقك."}
 NOT_FOUND = {"fr": "Information non mentionnée dans le document.", "en": "Not mentioned in the document.", "ar": "غير مذكور في الوثيقة."}
@@ -54,7 +56,7 @@ def answered(
     text for what is not found. ``strict`` stops after the facts.
     """
     rows = questions.withColumns({"_field": field_of(F.col("question")), "_language": T.answer_language(F.col("question"))})
-    rows = rows.withColumn("_who", T.has_any(T.normalize_query(F.col("question")), IDENTITY))
+    rows = rows.withColumn("_who", asks.kind_flags(F.col("question"))["assistant"] | T.has_any(T.normalize_query(F.col("question")), IDENTITY))
     known = facts.select("doc_id", F.col("field").alias("_field"), F.col("text").alias("_fact"), F.col("page").alias("_page"))
     rows = rows.join(known, ["doc_id", "_field"], "left")
     if passages is not None:
@@ -82,6 +84,12 @@ def checklist(facts: DataFrame, documents: DataFrame, items: list[tuple[str, str
     return joined.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("checklist"))
 
 
+def full_checklist(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """The checklist of all fixed questions, long values of receptions and guarantees told short."""
+    told = facts.withColumn("text", asks.short_value(F.col("field"), F.col("text")))
+    return checklist(told, documents, [(question, field) for question, field, _ in rules.CHECKLIST])
+
+
 def prompts(questions: DataFrame, context: str = "context") -> DataFrame:
     """Prompts from questions and their context."""
     head = F.lit("Answer only from the context. If it does not say, answer so.\n\nContext:\n")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules as fixed
 from ..functions import text as T
 
 
@@ -219,3 +220,72 @@ def mined_scores(mined: DataFrame, questions: DataFrame, least: int = 4) -> Data
     kept = joined.withColumn("score", score).where(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "type", "label", "value")
     return kept.withColumn("rank", F.row_number().over(order)).select("query_id", "doc_id", "type", "label", "value", "score", "rank")
+
+
+def fact_text(text: Column) -> Column:
+    """A fact's text without control characters, up to the next section's start; a guarantee's may name a caution."""
+    plain = T.compact(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "))
+    cut = lambda x, starts: F.get(F.split(x, rf"(?isU)\s+\b(?:{starts})\b", 2), F.lit(0))
+    about = lambda x: x.rlike(r"(?isU)^(?:(?:un|une|la)\s+)?(?:caution|cautionnement|garantie)\s+")
+    own = T.let(plain, lambda x: F.when(about(x), cut(x, fixed.SECTION_STARTS)).otherwise(cut(x, fixed.SECTION_STARTS + "|CAUTION")))
+    return T.compact(F.regexp_replace(T.compact(own), r"(?iU)\b(?:article|lot|chapitre)\s+\d+\b.*$", ""))
+
+
+def pricing_items(pages: DataFrame) -> DataFrame:
+    """(doc_id, type, label, value, page): the rows of price schedules, distinct by folded label and value, the first wins."""
+    rows = pages.select("doc_id", "page_seq", "page", T.compact(F.col("text")).alias("_x"), T.fold(F.col("text")).alias("_f"))
+    priced = F.exists(F.array(*map(F.lit, fixed.PRICE_PAGES)), lambda m: F.contains(F.col("_f"), m))
+    part = lambda g: F.regexp_extract_all("_x", F.lit("(?iU)" + fixed.PRICE_ROW), F.lit(g))
+    lot = F.regexp_extract("_x", "(?isU)" + fixed.PRICE_LOT, 1)
+    head = F.when(lot == "", "Bordereau").otherwise(F.concat(F.lit("Lot "), lot))
+    found = rows.where(priced).select("doc_id", "page_seq", "page", head.alias("_h"), F.posexplode(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"))).alias("_i", "_r"))
+    made = found.select(
+        "doc_id", "page_seq", "page", "_i", F.lit("pricing_item").alias("type"), F.concat("_h", F.lit(" item "), "_r.a").alias("label"),
+        T.compact(F.concat(fact_text(F.col("_r.b")), F.lit(" - Unite "), F.col("_r.c"))).alias("value"),
+    )
+    order = Window.partitionBy("doc_id", T.fold(F.col("label")), T.fold(F.col("value"))).orderBy("page_seq", "_i")
+    return made.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", "type", "label", "value", "page")
+
+
+def subject_score(text: Column, page: Column, pattern: Column) -> Column:
+    """(explicit, pattern, length, page) by which candidates for the subject are compared; a null text counts as empty."""
+    own = F.coalesce(text, F.lit(""))
+    number = F.regexp_extract(F.coalesce(page.cast("string"), F.lit("")), r"(?U)^\s*([+-]?\d+)(?:\s|$)", 1).try_cast("int")
+    early = F.coalesce(-number, F.lit(-999))
+    some = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    every = lambda c, words: F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    give = lambda cond, weight: F.when(cond, weight).otherwise(0)
+
+    def explicit(forms: Column) -> Column:
+        low, folded = forms["low"], forms["folded"]
+        out = F.lit(0)
+        for weight, words in fixed.SUBJECT_SIGNS:
+            out = out + give(every(low, words), weight)
+        for weight, words in fixed.SUBJECT_FOLDED_SIGNS:
+            out = out + give(every(folded, words), weight)
+        out = out + give(some(folded, fixed.SUBJECT_TENDER), fixed.SUBJECT_TENDER_WEIGHT) + give(own.rlike(r"(?U)\d"), fixed.SUBJECT_DIGIT)
+        # an early page helps only what nothing else speaks for
+        helped = T.let(out, lambda x: x + give((early >= -3) & (x < 50) & F.contains(folded, F.lit("objet")), fixed.SUBJECT_EARLY))
+        return (
+            helped + give(F.char_length(own) < 25, fixed.SUBJECT_SHORT)
+            + give(some(low, fixed.SUBJECT_REFUSED), fixed.SUBJECT_REFUSED_WEIGHT)
+            + give(some(folded, fixed.SUBJECT_CONTENTS), fixed.SUBJECT_CONTENTS_WEIGHT)
+            + give(F.regexp_count(own, F.lit(r"(?iU)\bARTICLE\s*\d+\b")) >= 3, fixed.SUBJECT_ARTICLES)
+            + give(folded.rlike(r"(?U)^\s*annexe\s+(?:n[°o]\s*)?\d+") | some(folded, ["modele de soumission", "formulaire de reponse"]), fixed.SUBJECT_ANNEX)
+            + give(own.rlike(r"(?U)\.{2,}\s*,?\s*\d+\s*="), fixed.SUBJECT_LEADERS)
+            + give(((F.regexp_count(own, F.lit(", 1 =")) >= 2) | F.contains(folded, F.lit("composition du marche"))) & ~F.contains(folded, F.lit("a pour objet")), fixed.SUBJECT_LIST)
+        )
+
+    forms = F.struct(F.lower(F.replace(own, F.lit("’"), F.lit("'"))).alias("low"), T.fold(own).alias("folded"))
+    return F.struct(
+        T.let(forms, explicit).cast("int").alias("explicit"), (20 - F.coalesce(pattern, F.lit(20))).cast("int").alias("pattern"),
+        F.least(F.char_length(own), F.lit(240)).alias("length"), early.cast("int").alias("page"),
+    )
+
+
+def best_subject(candidates: DataFrame) -> DataFrame:
+    """Candidates (doc_id, text, page, pattern) -> (doc_id, text, page, score): the highest score, of equals the least text."""
+    score = subject_score(F.col("text"), F.col("page"), F.col("pattern"))
+    scored = candidates.select("doc_id", "text", "page", score.alias("score"))
+    first = F.min_by(F.struct("text", "page", "score"), F.struct(*[(-F.col(f"score.{k}")).alias(k) for k in ("explicit", "pattern", "length", "page")], F.col("text").alias("_t")))
+    return scored.groupBy("doc_id").agg(first.alias("_b")).select("doc_id", "_b.*")

@@ -5,7 +5,7 @@ Every listing has a total order. Functions that change a table return its new co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -141,3 +141,13 @@ def group_pages(group: Column, base: Column, mode: Column, arabic: Column | None
     for name, own in rules.MODE_GROUP_PAGES.items():
         wider = F.when(kind == name, of(own)).otherwise(wider)
     return F.when(base < rules.NARROW_PAGES, base).otherwise(F.greatest(base, of(rules.GROUP_PAGES), wider))
+
+
+def health(chunks: DataFrame | None, database: bool = True, llm: bool = True, embeddings: str = "local") -> DataFrame:
+    """One row (status, store, database, llm, embeddings, chunks) from the parts' states; without chunks the store is disconnected."""
+    state = lambda up: "connected" if up else "disconnected"
+    parts = {"store": state(chunks is not None), "database": state(database), "llm": state(llm)}
+    well = set(parts.values()) == {"connected"} and embeddings in ("connected", "local")
+    counted = chunks.agg(F.count("*").alias("chunks")) if chunks is not None else SparkSession.active().range(1).select(F.lit(0).cast("long").alias("chunks"))
+    named = {"status": "healthy" if well else "degraded", **parts, "embeddings": embeddings}
+    return counted.select(*[F.lit(v).alias(k) for k, v in named.items()], "chunks")

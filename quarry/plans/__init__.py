@@ -1,3 +1,3 @@
 """quarry.plans"""
 
-from . import queries, registry_queries  # noqa: E402,F401  registers the queries
+from . import queries, question_queries, registry_queries  # noqa: E402,F401  registers the queries

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -68,6 +68,26 @@ def answered(chunks: DataFrame, known: DataFrame, questions: DataFrame, policy:
     return answers.answered(questions, known, context)
 
 
+def analysed_documents(documents: DataFrame, known: DataFrame, policy: access.Policy, kind: str, at: Column, chunks: DataFrame | None = None, instruction: str = "", make: Callable[[], models.Generate] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Analyses (doc_id, answer) of the documents (id, filename, ...) that the user sees, and their audit rows.
+
+    ``tender_checklist`` needs facts only and gives no row to documents without any;
+    every other kind asks the model for all chunks of a document.
+    """
+    seen = documents.where(access.registry_filter(policy)).select(F.col("id").alias("doc_id"), "filename")
+    if kind == "tender_checklist":
+        made = answers.full_checklist(known, seen.join(known.select("doc_id").distinct(), "doc_id", "left_semi")).withColumnRenamed("checklist", "answer")
+    elif chunks is None or make is None:
+        raise ValueError(f"{kind} needs chunks and a model")
+    else:
+        made = models.analysed(chunks.join(seen, "doc_id", "left_semi"), instruction, make)
+    audit = made.join(seen, "doc_id").select(
+        F.lit(policy.user_id).alias("user_id"), F.lit("analyze_document").alias("action"), F.col("filename").alias("resource"),
+        F.lit(policy.department_id).alias("department_id"), F.to_json(F.struct(F.lit(kind).alias("analysis_type"))).alias("metadata"), at.alias("created_at"),
+    )
+    return made, audit
+
+
 def cached_answers(pages: DataFrame, question: str) -> DataFrame:
     """The best passage of cached pages (filename, page_seq, page, text) for one question."""
     spark = pages.sparkSession
