@@ -94,12 +94,11 @@ def _places(sets: np.ndarray) -> list[np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text[, print]) -> (doc, n, key, cid[, print]), and at the end this task's part of the sketch."""
+    """(doc, text, print) -> (doc, n, key, cid, print), and at the end this task's part of the sketch."""
     counts = np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64)
-    own = [("doc", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("cid", pa.int64())]
+    own = [("doc", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("cid", pa.int64()), ("print", pa.int64())]
+    schema = pa.schema([*own, ("part", pa.int32()), ("counts", pa.binary())])
     for batch in rows_of(batches):
-        prints = [batch.column("print")] if "print" in batch.schema.names else []
-        schema = pa.schema([*own, *[("print", pa.int64()) for _ in prints], ("part", pa.int32()), ("counts", pa.binary())])
         sets = _sets_of(batch)
         for r, place in enumerate(_places(np.concatenate(sets))):
             counts[r] += np.bincount(place, minlength=SKETCH_WIDTH)
@@ -107,7 +106,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         cids = [k and int.from_bytes(k[:8], "little", signed=True) for k in keys]
         nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cids, pa.int64()), *prints, *nothing], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cids, pa.int64()), batch.column("print"), *nothing], schema=schema)
     if counts.any():
         parts = np.split(counts.ravel().astype(np.uint32 if counts.max() < 2**32 else np.uint64), SKETCH_PARTS)
         packed = [bytes([p.itemsize]) + pa.compress(p.tobytes(), "zstd", asbytes=True) + len(p).to_bytes(4, "little") for p in parts]
@@ -310,21 +309,29 @@ def _sharing(pairs: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cid, tokens) of the classes in the pairs (a, b); a repeated row may bring a class twice."""
+    """(cid, tokens) of the classes in the pairs (a, b), one row for each.
+
+    A class is told by the id and the print of one of its rows, since many rows may share
+    an id or have none; rows that repeat both are the same class.
+    """
     cids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    owners = keys.join(cids, "cid", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"), F.first("cid").alias("cid"))
-    owners = stored(owners.select("doc", "cid"))
+    owners = keys.join(cids, "cid", "left_semi").groupBy("key").agg(F.min(F.struct("doc", "print")).alias("row"), F.first("cid").alias("cid"))
+    owners = stored(owners.select("row.doc", "row.print", "cid"))
     few = owners.count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(owners) if few else owners, "doc").select("cid", "text")
+    rows = docs.join(F.broadcast(owners) if few else owners, ["doc", "print"]).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in rows_of(batches):
-            cid, sets = batch.column("cid").to_numpy(), _sets_of(batch)
+            cid = batch.column("cid").to_pylist()
+            first = [k for k, x in enumerate(cid) if not (x in seen or seen.add(x))]
+            sets = [shingles(w) for w in word_hashes(texts(batch.column("text").take(first)), lower=True)]
             own = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
-            keep = [k for k, x in enumerate(own) if x == cid[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(cid[keep]), int64_lists([sets[k] for k in keep])], names=["cid", "tokens"])
+            keep = [k for k, x in enumerate(own) if x == cid[first[k]]]
+            yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in keep], pa.int64()), int64_lists([sets[k] for k in keep])], names=["cid", "tokens"])
 
-    return stored(rows.mapInArrow(run, "cid long, tokens array<long>"))
+    made = rows.mapInArrow(run, "cid long, tokens array<long>")
+    return stored(made.groupBy("cid").agg(F.first("tokens").alias("tokens")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,13 +352,13 @@ def _hot_leaders(postings: DataFrame) -> DataFrame:
     )
 
 
-def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", prints: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Components over classes (node, label), and each row's class (doc, n, key, cid), if asked for with a print of its text."""
+def links_and_keys(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Components over classes (node, label), and each row's class (doc, n, key, cid) with a print of its text."""
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(id_or_last(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.withColumn("print", F.xxhash64("text")) if prints else docs
-    made = stored(rows.mapInArrow(_keys, f"doc long, n long, key binary, cid long, {'print long, ' * prints}part int, counts binary"))
+    docs = docs.withColumn("print", F.xxhash64("text"))
+    made = stored(docs.mapInArrow(_keys, "doc long, n long, key binary, cid long, print long, part int, counts binary"))
     keys = made.where("part is null").drop("part", "counts")
     table = spark.sparkContext.broadcast(levels(_sketch(made)))
     buckets = 2 * partitions(spark)
@@ -427,7 +434,7 @@ def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     one for each component. Blank texts are linked with nothing: one stays for each
     id, and all that have none.
     """
-    labels, keys = links_and_keys(df, text_col, id_col, prints=True)
+    labels, keys = links_and_keys(df, text_col, id_col)
     classes = keys.where("key is not null").groupBy("key").agg(F.min(F.struct("doc", "print")).alias("row"), F.first("cid").alias("cid"))
     labelled = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = labelled.groupBy("label").agg(F.min("row").alias("row")).select("row.doc", "row.print")
