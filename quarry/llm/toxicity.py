@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _ODD, mixed, rows_of, small_batches
+from .common import _ODD, mixed, rows_of, small_batches, stored
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -176,7 +176,8 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], allowed: Column) -> DataFrame:
     """(label, text) of at most ``most[c]`` allowed rows of each class c, by the least hashed ids.
 
-    Ids with different labels are left out.
+    Ids with different labels are left out. Rows that repeat an id and a text are one; an id
+    that comes with many texts counts with each, so the bound holds for rows, not only for ids.
     """
     own = labels.where(F.col("doc_id").isNotNull() & allowed).select("doc_id", F.col(label).cast("int").alias("label"))
     own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
@@ -186,7 +187,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
         chosen = chosen.unionByName(part)
     # bounded: as many ids as the sample has rows
     ids = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, label int")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    # one row for each id and text, then as many as are asked for; only these are collected
+    rows = texts.groupBy("doc_id", "label", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("print")).agg(F.first("text").alias("text"))
+    rows = stored(rows)  # read once for each class
+    least = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "print").limit(n) for c, n in most.items()]
+    sample = least[0]
+    for part in least[1:]:
+        sample = sample.unionByName(part)
+    return sample.select("label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[np.ndarray, float]:
