@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as fixed
 from ..functions import text as T
+from ..functions.phrases import judged, phrases_in
+from ..functions.reliability import PATTERNS, RELIABLE
 
 
 @dataclass(frozen=True)
 class FieldRule:
-    """The first page on which ``pattern`` matches gives the field; group 1, or the match if 0."""
+    """The first page on which ``pattern`` matches gives the field; group 1, or the match if 0.
+
+    ``needs``: a match has one of these phrases in its folded text, so that the pattern is
+    tried only on pages that hold one.
+    """
 
     field: str
     pattern: str
     group: int = 1
     most: int = 1200
+    needs: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -44,18 +51,18 @@ class MinedRule:
 
 
 DEFAULT_FIELDS = [
-    FieldRule("subject", r"(?isu)\bobjet\s*(?:de\s+[^:]{0,60})?:\s*(.{15,600}?)(?:\.\s|\n\s*\n|$)"),
-    FieldRule("deadline", r"(?isu)date\s+limite[^.]{0,160}?(\d{1,2}(?:er)?\s+\p{L}+\s+\d{4}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})"),
-    FieldRule("validity", r"(?isu)((?:offres?|soumissions?)[^.]{0,120}valab\w*[^.]{0,120}\d+[^.]{0,40}jours)"),
-    FieldRule("caution", r"(?isu)(caution(?:nement)?\s+provisoire[^.]{0,200}(?:\d[\d .]*\s*(?:dinars|dt|%)|\d+\s*%))"),
-    FieldRule("definitive_caution", r"(?isu)(caution(?:nement)?\s+d[ée]finiti\w+[^.]{0,200}\d+\s*%)"),
-    FieldRule("guarantee", r"(?isu)(garantie[^.]{0,160}\d+\s*(?:\([^)]*\)\s*)?(?:mois|ans?|années?))"),
-    FieldRule("penalties", r"(?isu)(p[ée]nalit[ée]s?[^.]{0,220}(?:retard|jour|mille)[^.]{0,120})"),
-    FieldRule("payment", r"(?isu)(paiement[^.]{0,300}(?:jours|facture|r[ée]ception|%)[^.]{0,120})"),
-    FieldRule("opening", r"(?isu)(ouverture\s+des\s+(?:plis|offres)[^.]{0,220})"),
-    FieldRule("reception", r"(?isu)(r[ée]ception\s+(?:provisoire|d[ée]finitive|quantitative)[^.]{0,220})"),
-    FieldRule("variants", r"(?isu)(variantes?[^.]{0,160}(?:admis\w*|accept\w*|interdit\w*|autoris\w*)[^.]{0,60})"),
-    FieldRule("references", r"(?isu)(r[ée]f[ée]rences?[^.]{0,200}(?:projets?|ann[ée]es|liste|similaires)[^.]{0,100})"),
+    FieldRule("subject", r"(?isu)\bobjet\s*(?:de\s+[^:]{0,60})?:\s*(.{15,600}?)(?:\.\s|\n\s*\n|$)", needs=("objet",)),
+    FieldRule("deadline", r"(?isu)date\s+limite[^.]{0,160}?(\d{1,2}(?:er)?\s+\p{L}+\s+\d{4}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})", needs=("date limite",)),
+    FieldRule("validity", r"(?isu)((?:offres?|soumissions?)[^.]{0,120}valab\w*[^.]{0,120}\d+[^.]{0,40}jours)", needs=("valab",)),
+    FieldRule("caution", r"(?isu)(caution(?:nement)?\s+provisoire[^.]{0,200}(?:\d[\d .]*\s*(?:dinars|dt|%)|\d+\s*%))", needs=("caution provisoire", "cautionnement provisoire")),
+    FieldRule("definitive_caution", r"(?isu)(caution(?:nement)?\s+d[ée]finiti\w+[^.]{0,200}\d+\s*%)", needs=("caution definiti", "cautionnement definiti")),
+    FieldRule("guarantee", r"(?isu)(garantie[^.]{0,160}\d+\s*(?:\([^)]*\)\s*)?(?:mois|ans?|années?))", needs=("garantie",)),
+    FieldRule("penalties", r"(?isu)(p[ée]nalit[ée]s?[^.]{0,220}(?:retard|jour|mille)[^.]{0,120})", needs=("penalite",)),
+    FieldRule("payment", r"(?isu)(paiement[^.]{0,300}(?:jours|facture|r[ée]ception|%)[^.]{0,120})", needs=("paiement",)),
+    FieldRule("opening", r"(?isu)(ouverture\s+des\s+(?:plis|offres)[^.]{0,220})", needs=("ouverture des",)),
+    FieldRule("reception", r"(?isu)(r[ée]ception\s+(?:provisoire|d[ée]finitive|quantitative)[^.]{0,220})", needs=("reception provisoire", "reception definitive", "reception quantitative")),
+    FieldRule("variants", r"(?isu)(variantes?[^.]{0,160}(?:admis\w*|accept\w*|interdit\w*|autoris\w*)[^.]{0,60})", needs=("variante",)),
+    FieldRule("references", r"(?isu)(r[ée]f[ée]rences?[^.]{0,200}(?:projets?|ann[ée]es|liste|similaires)[^.]{0,100})", needs=("reference",)),
 ]
 DEFAULT_LISTS = [
     ListRule("administrative_documents", r"(?iu)documents?\s+administratifs?\s*:?", r"(?iu)documents?\s+(?:techniques?|financiers?)|offre\s+(?:technique|financi[eè]re)"),
@@ -74,11 +81,15 @@ CORE_FIELDS = "subject deadline validity opening caution definitive_caution guar
 def field_facts(pages: DataFrame, rules: list[FieldRule] | None = None) -> DataFrame:
     """Pages (doc_id, page_seq, page, text) -> (doc_id, field, text, page): per field the first page, the first rule."""
     rules = rules or DEFAULT_FIELDS
-    tried = F.array(*[
-        F.struct(F.lit(r.field).alias("field"), F.lit(k).alias("rule"), F.left(T.compact(F.regexp_extract(F.col("text"), r.pattern, r.group)), F.lit(r.most)).alias("text"))
-        for k, r in enumerate(rules)
-    ])
-    found = pages.select("doc_id", "page_seq", "page", F.inline(F.filter(tried, lambda x: x["text"] != "")))
+    needs = list(dict.fromkeys(x for r in rules for x in r.needs))
+    own = pages.withColumn("_held", phrases_in(F.col("text"), needs)) if needs else pages
+
+    def value(r: FieldRule) -> Column:
+        found = F.left(T.compact(F.regexp_extract(F.col("text"), r.pattern, r.group)), F.lit(r.most))
+        return F.when(F.arrays_overlap("_held", F.array(*[F.lit(needs.index(x)) for x in r.needs])), found).otherwise("") if r.needs else found
+
+    tried = F.array(*[F.struct(F.lit(r.field).alias("field"), F.lit(k).alias("rule"), value(r).alias("text")) for k, r in enumerate(rules)])
+    found = own.select("doc_id", "page_seq", "page", F.inline(F.filter(tried, lambda x: x["text"] != "")))
     best = F.min_by(F.struct("text", "page"), F.struct("page_seq", "rule"))
     return found.groupBy("doc_id", "field").agg(best.alias("_b")).select("doc_id", "field", "_b.text", "_b.page")
 
@@ -135,20 +146,8 @@ def placeholders(pages: DataFrame, pattern: str = r"\b(IM|DPAO)\s*\(?(\d{1,3})\)
 
 
 def reliable(field: Column, text: Column) -> Column:
-    """Whether a fact's text carries what its field must show; lines of a table of contents never do."""
-    low = T.fold(text)
-    contents = F.startswith(low, F.lit("article")) & (F.char_length(text) <= 140) & ~low.rlike(r"\b(doit|est|sont|sera|seront|peut|peuvent)\b")
-    rule = (
-        F.when(field == "deadline", T.date_value(text).isNotNull())
-        .when(field == "validity", T.has_duration(text) | F.contains(low, F.lit("valable")))
-        .when(field.isin("caution", "definitive_caution"), low.rlike(r"\d\s*(?:%|dinars|dt)|\d{3}|exige") & ~F.contains(low, F.lit("restitution")))
-        .when(field == "guarantee", T.has_duration(text))
-        .when(field == "penalties", F.contains(low, F.lit("penalite")) & low.rlike("retard|jour|pour mille") & ~F.contains(low, F.lit("resiliation")))
-        .when(field == "reception", low.rlike("reception (provisoire|definitive|quantitative)"))
-        .when(field == "references", low.rlike("liste|similaire|projet|annee"))
-        .otherwise(F.lit(True))
-    )
-    return ~contents & rule
+    """Whether a fact's text carries what its field must show, by the table ``reliability.RELIABLE``; an empty text never does."""
+    return (T.strip(F.coalesce(text, F.lit(""))) != "") & judged(field, text, RELIABLE, PATTERNS)
 
 
 def preferred(current: DataFrame, other: DataFrame) -> DataFrame:
@@ -172,14 +171,15 @@ def profile(facts: DataFrame, core: list[str] | None = None) -> DataFrame:
 
 def evidence_pages(pages: DataFrame, keywords: list[str], most: int = 5, chars: int = 1800) -> DataFrame:
     """Pages (doc_id, page_seq, text, heading, section) by keyword hits, at most ``most``; one without hits only if it is the first."""
-    score = F.when(F.col("page_seq") <= 2, 4).otherwise(0)
+    # every text is folded and read once for all keywords
+    found = pages.withColumns({"_t": phrases_in(F.col("text"), keywords), "_h": phrases_in(F.coalesce("heading", F.lit("")), keywords)})
+    early = F.when(F.col("page_seq") <= 2, 4).otherwise(0)
+    named = F.lit(0)
     for word in keywords:
-        w = T.fold(F.lit(word))
-        score = score + F.when(F.contains(T.fold(F.col("text")), w), 10).otherwise(0)
-        score = score + F.when(F.contains(T.fold(F.coalesce("heading", F.lit(""))), w), 25).otherwise(0)
-        score = score + F.when(F.contains(F.coalesce("section", F.lit("")), w), 8).otherwise(0)
+        named = named + F.when(F.contains(F.coalesce("section", F.lit("")), T.fold(F.lit(word))), 8).otherwise(0)
+    score = early + 10 * F.coalesce(F.size("_t"), F.lit(0)) + 25 * F.size("_h") + named
     order = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "page_seq")
-    ranked = pages.withColumn("score", score).withColumn("rank", F.row_number().over(order))
+    ranked = found.withColumn("score", score).drop("_t", "_h").withColumn("rank", F.row_number().over(order))
     return ranked.where((F.col("rank") <= most) & ((F.col("score") > 0) | (F.col("rank") == 1))).withColumn("text", F.left("text", F.lit(chars)))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import articles
+from ..operators import articles, facts
 from ..session import table
 from .registry import register
 
@@ -134,3 +134,54 @@ def offset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_seq"), F.col("turn").cast("string").alias("page"), "text")
     stops = articles.offsets(turns, "conv_id", "page_seq").where(F.contains("text", F.lit("."))).select("conv_id", (F.col("start") + F.instr("text", F.lit(".")) - 1).cast("long").alias("offset"))
     return articles.page_at(stops, turns, "conv_id")
+
+
+FIELDS = ["deadline", "caution", "definitive_caution", "guarantee"]
+
+
+@register("contract_fields", SQL_LINES + " " + " UNION ALL ".join([
+    "SELECT v.doc_id, 'deadline' AS field, day AS text, page FROM values_of v JOIN lines l ON l.doc_id = v.doc_id AND n = 5",
+    "SELECT v.doc_id, 'caution', 'caution provisoire est de ' || total || ' dinars', page FROM values_of v JOIN lines l ON l.doc_id = v.doc_id AND n = 9",
+    "SELECT v.doc_id, 'definitive_caution', 'cautionnement définitif est fixé à ' || percent || ' %', page FROM values_of v JOIN lines l ON l.doc_id = v.doc_id AND n = 10",
+    # with its heading, where both stand on one page
+    "SELECT v.doc_id, 'guarantee', CASE WHEN h.page = l.page THEN 'GARANTIE Le délai de ' ELSE '' END || 'garantie est fixé à ' || months || ' mois', l.page "
+    "FROM values_of v JOIN lines h ON h.doc_id = v.doc_id AND h.n = 11 JOIN lines l ON l.doc_id = v.doc_id AND l.n = 12",
+]))
+def contract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default rules of four fields, their patterns tried only on pages that hold the rule's phrases."""
+    return facts.field_facts(contract_pages(spark, sf_dir), [r for r in facts.DEFAULT_FIELDS if r.field in FIELDS])
+
+
+@register("believed_lines", SQL_LINES + r""",
+f AS (SELECT doc_id, n, text AS t, strip_accents(lower(text)) AS x FROM lines),
+c AS (
+  SELECT *, x LIKE 'article%' AND length(x) <= 140
+    AND NOT regexp_matches(x, ' est | sont | sera | seront | doit | doivent | fixe | pay| par jour|reception (quantitative|provisoire|definitive)') AS contents FROM f),
+r AS (
+  SELECT doc_id, n, 'deadline' AS field, NOT contents AND regexp_matches(t, '\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}') AS good FROM c
+  UNION ALL
+  SELECT doc_id, n, 'penalties', NOT contents AND NOT starts_with(x, 'resiliation') AND contains(x, 'penalite') AND regexp_matches(x, 'retard|jour|pour mille') FROM c
+  UNION ALL
+  SELECT doc_id, n, 'validity', NOT contents AND NOT (regexp_matches(x, 'caution|garantie|execution|contrat|marche|bancaire') AND NOT regexp_matches(x, 'offre|soumission|valable'))
+    AND (regexp_matches(x, 'validite de la soumission|validite de l''offre|validite des offres|valable')
+         OR regexp_matches(x, '\b(\d+ ?(jours?|mois|ans?)|90|120|60|180|quatre[- ]vingt[- ]dix|trois mois|six mois)\b')) FROM c
+  UNION ALL
+  SELECT doc_id, n, 'definitive_caution', NOT contents AND regexp_matches(x, 'definit|bonne fin|bonne execution')
+    AND NOT regexp_matches(x, 'annexe|modele|formulaire')
+    AND (regexp_matches(t, '(?i)\b\d[\d\s.,()]*\s*(DT|TND|dinars?)\b') OR regexp_matches(t, '\b\d+([.,]\d+)?\s*%(\s|$|[.;,)])')
+         OR regexp_matches(x, '\b(douze|cinq|dix|vingt) mille\b|exige|doit fournir|doit constituer')) FROM c)
+SELECT doc_id, field, count(*) AS n_lines, count(*) FILTER (good) AS n_good, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (good), '') AS good
+FROM r GROUP BY doc_id, field""")
+def believed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of every document the rule table believes as facts of four fields."""
+    lines = contract_lines(spark, sf_dir)
+    # the place in LINES, found by the line's beginning, since null lines are left out
+    place = F.lit(None).cast("int")
+    for n, (line, _) in reversed(list(enumerate(LINES))):
+        place = F.when(F.startswith("text", F.lit(line.split("{0}")[0])), n).otherwise(place)
+    tried = lines.select("doc_id", place.alias("n"), "text", F.explode(F.array(*map(F.lit, ["deadline", "penalties", "validity", "definitive_caution"]))).alias("field"))
+    read = tried.withColumn("good", facts.reliable(F.col("field"), F.col("text")))
+    numbers = F.array_sort(F.collect_list(F.when(F.col("good"), F.col("n"))))
+    return read.groupBy("doc_id", "field").agg(
+        F.count("*").alias("n_lines"), F.count(F.when(F.col("good"), 1)).alias("n_good"), F.array_join(numbers.cast("array<string>"), ",").alias("good")
+    )
