@@ -25,11 +25,15 @@ _WORD = regex.compile(rf"[\p{{Alphabetic}}\p{{M}}\p{{Nd}}\p{{Pc}}‌‍ '{T.ARAB
 _MARK = regex.compile(r"\p{M}")
 
 
+# names of this module's own, since functions that go to workers take whole modules with them
+_FROM, _TO = T.MARKED + "`’" + T.WHITE, T.PLAIN + "''" + " " * len(T.WHITE)
+
+
 class _Table(dict):
     """What each code point of a lower-case text becomes, as in ``fold`` or, without punctuation, in ``normalize_query``."""
 
     def __init__(self, punctuation: bool) -> None:
-        super().__init__({ord(a): b for a, b in zip(T.MARKED + "`’" + T.WHITE, T.PLAIN + "''" + " " * len(T.WHITE))})
+        super().__init__({ord(a): b for a, b in zip(_FROM, _TO)})
         self.punctuation = punctuation
 
     def __missing__(self, point: int) -> str:

@@ -61,28 +61,30 @@ PAGE_BONUS, TITLE_BONUS = ((1, 0.45), (2, 0.30), (4, 0.15), (None, -0.05)), 0.25
 RERANK_FLOOR = 0.01
 
 # Words left out of a question, and words added for others.
-STOPWORDS = (
-    "a about an and are as at au aux avec be by ce ces comment dans de des do does du en est et for from how is it la le les leur leurs l "
-    "of on or ou par pour que quel quelle quels quelles qui sont sur the this to un une what when where which who why with"
-).split()
+STOPWORDS = [
+    "a", "about", "an", "and", "are", "as", "at", "au", "aux", "avec", "be", "by", "ce", "ces", "comment", "dans", "de", "des", "do", "does", "du",
+    "en", "est", "et", "for", "from", "how", "is", "it", "la", "le", "les", "leur", "leurs", "l", "of", "on", "or", "ou", "par", "pour", "que",
+    "quel", "quelle", "quels", "quelles", "qui", "sont", "sur", "the", "this", "to", "un", "une", "what", "when", "where", "which", "who", "why",
+    "with",
+]
 SYNONYMS = {
-    "address": "adresse rue bp siege contact".split(),
-    "adresse": "address rue bp siege contact".split(),
-    "amount": "montant prix dinars dinar".split(),
-    "bank": "banque tsb".split(),
-    "buyer": "acheteur maitre ouvrage tsb".split(),
-    "client": "maitre ouvrage acheteur beneficiaire tsb".split(),
-    "contact": "email mail telephone tel fax adresse".split(),
-    "delivery": "livraison installation delai execution".split(),
-    "manager": "responsable chef maitre ouvrage".split(),
-    "owner": "maitre ouvrage acheteur beneficiaire".split(),
-    "price": "prix montant bordereau financier".split(),
-    "project": "projet marche objet maitre ouvrage".split(),
-    "qualification": "participation certification reference references".split(),
-    "required": "exige exiges obligatoire demande demandes".split(),
-    "requirements": "exigences exige obligatoire conditions".split(),
-    "say": "article stipule prevoit indique".split(),
-    "who": "qui maitre ouvrage fournisseur".split(),
+    "address": ["adresse", "rue", "bp", "siege", "contact"],
+    "adresse": ["address", "rue", "bp", "siege", "contact"],
+    "amount": ["montant", "prix", "dinars", "dinar"],
+    "bank": ["banque", "tsb"],
+    "buyer": ["acheteur", "maitre", "ouvrage", "tsb"],
+    "client": ["maitre", "ouvrage", "acheteur", "beneficiaire", "tsb"],
+    "contact": ["email", "mail", "telephone", "tel", "fax", "adresse"],
+    "delivery": ["livraison", "installation", "delai", "execution"],
+    "manager": ["responsable", "chef", "maitre", "ouvrage"],
+    "owner": ["maitre", "ouvrage", "acheteur", "beneficiaire"],
+    "price": ["prix", "montant", "bordereau", "financier"],
+    "project": ["projet", "marche", "objet", "maitre", "ouvrage"],
+    "qualification": ["participation", "certification", "reference", "references"],
+    "required": ["exige", "exiges", "obligatoire", "demande", "demandes"],
+    "requirements": ["exigences", "exige", "obligatoire", "conditions"],
+    "say": ["article", "stipule", "prevoit", "indique"],
+    "who": ["qui", "maitre", "ouvrage", "fournisseur"],
 }
 PASSAGE_LEAST, ARTICLE_LEAST, ARTICLE_BONUS, NUMBER_HIT = 2.0, 4.0, 8.0, 0.8
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,30 +35,30 @@ def packed(blocks: Column, size: int, joiner: str = "\n\n") -> Column:
     return F.aggregate(blocks, empty, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
 
 
+def packed_blocks(blocks: list[str], size: int, joiner: str = "\n\n") -> list[str]:
+    """``packed`` of a Python list, in one pass over the blocks."""
+    done: list[str] = []
+    held: list[str] = []
+    length = 0
+    for block in blocks:
+        if held and length + len(joiner) + len(block) <= size:
+            held.append(block)
+            length += len(joiner) + len(block)
+            continue
+        if held:
+            done.append(joiner.join(held))
+        held, length = ([block], len(block)) if len(block) <= size else ([], 0)
+        if not held:
+            done += [piece for k in range(0, len(block), size) if (piece := block[k : k + size].strip())]
+    return [*done, joiner.join(held)] if held else done
+
+
 def _packing(size: int, joiner: str = "\n\n"):
-    """``packed`` for whole columns: blocks, and whether to pack them, in one pass over a text's blocks."""
+    """``packed`` for whole columns: blocks, and whether to pack them."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def pack(blocks: pd.Series, wanted: pd.Series) -> pd.Series:
-        def one(own, pack_them: bool) -> list[str] | None:
-            if own is None or not pack_them:
-                return own
-            done: list[str] = []
-            held: list[str] = []
-            length = 0
-            for block in own:
-                if held and length + len(joiner) + len(block) <= size:
-                    held.append(block)
-                    length += len(joiner) + len(block)
-                    continue
-                if held:
-                    done.append(joiner.join(held))
-                held, length = ([block], len(block)) if len(block) <= size else ([], 0)
-                if not held:
-                    done += [piece for k in range(0, len(block), size) if (piece := block[k : k + size].strip())]
-            return [*done, joiner.join(held)] if held else done
-
-        return pd.Series([one(b, w) for b, w in zip(blocks, wanted)])
+        return pd.Series([packed_blocks(list(b), size, joiner) if b is not None and w else b for b, w in zip(blocks, wanted)])
 
     return pack
 
@@ -183,9 +185,32 @@ def articles(text: Column) -> Column:
     return F.filter(F.transform(cut, T.strip), lambda x: x != "")
 
 
+_ARTICLE = re.compile(r"(?i)(?=\bARTICLE[ \t\n\x0b\f\r]+[0-9]{1,3}\b)")
+_SENTENCE = re.compile(r"(?<=[.!?:;])[ \t\n\x0b\f\r]+")
+#: A name of this module's own, since functions that go to workers take whole modules with them.
+_WHITE = T.WHITE
+
+
+def passages_of(text: str, most: int = rules.PASSAGE_CHARS, target: int = rules.PASSAGE_TARGET) -> list[str]:
+    """A text's articles; those longer than ``most`` packed by sentences."""
+    cut = _ARTICLE.split(text) if "article" in text.lower() else [text]
+    out: list[str] = []
+    for own in filter(None, (x.strip(_WHITE) for x in cut)):
+        if len(own) <= most:
+            out.append(own)
+        else:
+            out += packed_blocks([x for x in (b.strip(_WHITE) for b in _SENTENCE.split(own)) if x], target, " ")
+    return out
+
+
 def passages(text: Column, most: int = rules.PASSAGE_CHARS, target: int = rules.PASSAGE_TARGET) -> Column:
-    """A text's articles; long ones packed by sentences."""
-    return F.flatten(F.transform(articles(text), lambda x: F.when(F.char_length(x) <= most, F.array(x)).otherwise(packed(_blocks(x, r"(?<=[.!?:;])\s+"), target, " "))))
+    """``passages_of`` in Arrow batches; null for a null text."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else passages_of(x, most, target))
+
+    return cut(text)
 
 
 def listed_items(segment: Column, most: int = 12) -> Column:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as T
 from ..operators import access, answers, chunking, facts, passages, reports, retrieval, tables
-from ..session import table
+from ..session import spread, table
 from ..streaming import streams
 from .registry import register
 
@@ -136,7 +137,7 @@ WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower
 SELECT doc_id, round(CAST((CASE WHEN contains(t, 'the and') THEN 0.22 ELSE 0 END) + (CASE WHEN contains(t, 'license') THEN 0.22 ELSE 0 END)
   + (CASE WHEN contains(t, 'ing') THEN 0.08 ELSE 0 END) - (CASE WHEN contains(t, 'copyright') THEN 0.25 ELSE 0 END) AS DOUBLE), 4) AS bonus FROM n""")
 def focus_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.focus(table(spark, sf_dir, "documents"), "text", **FOCUS).select("doc_id", "bonus")
+    return retrieval.focus(spread(table(spark, sf_dir, "documents")), "text", **FOCUS).select("doc_id", "bonus")
 
 
 @register("section_detect", """
@@ -144,7 +145,7 @@ SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'general' WHEN a >= b AND a
 FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '(license|copyright|apache)')) AS a,
              len(regexp_extract_all(lower(text), '(mail|example)')) AS b, len(regexp_extract_all(lower(text), '(!!|###)')) AS c FROM documents)""")
 def section_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.detect_section(F.col("text"), SECTIONS, PRIORITY).alias("section"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.detect_section(F.col("text"), SECTIONS, PRIORITY).alias("section"))
 
 
 @register("char_ratios", r"""
@@ -155,7 +156,7 @@ FROM (SELECT doc_id, length(regexp_replace(text, '[\s]+', '', 'g')) AS n, length
              length(regexp_replace(text, '[^0-9]+', '', 'g')) AS digits FROM documents)""")
 def char_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.round(T.readable_ratio(text), 4).alias("readable_ratio"), F.round(T.arabic_ratio(text), 4).alias("arabic_ratio"), T.quality_score(text).alias("quality")
     )
 
@@ -164,7 +165,7 @@ def char_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, round(CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda x: length(x) <= 6 AND regexp_matches(x, '[A-Za-zÀ-ÖØ-öø-ÿ]'))) / len(l) END, 6) AS ratio
 FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)""")
 def short_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.short_fragment_ratio(F.col("text")), 6).alias("ratio"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.round(T.short_fragment_ratio(F.col("text")), 6).alias("ratio"))
 
 
 @register("noise_filter", r"""
@@ -184,7 +185,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("fold_text", r"""
 SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[`’]', '''', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("digest"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("digest"))
 
 
 @register("hard_slices", r"""
@@ -199,7 +200,7 @@ def hard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("chunk_documents")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_seq"), F.lit("1").alias("page"), "text")
+    entries = spread(table(spark, sf_dir, "documents")).select("doc_id", F.lit(0).alias("page_seq"), F.lit("1").alias("page"), "text")
     return chunking.chunks(entries).select("doc_id", "chunk_index", "id", F.char_length("text").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
@@ -330,18 +331,62 @@ WITH n AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(strip_accents
 SELECT doc_id, round(CAST(CASE WHEN contains(t, 'license') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'apache') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'version') THEN 1.0 ELSE 0 END
    + CASE WHEN regexp_matches(t, '\b2\b') THEN 0.8 ELSE 0 END - CASE WHEN length(text) > 2600 THEN 1.0 ELSE 0 END AS DOUBLE), 4) AS score FROM n""")
 def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(passages.score(F.col("text"), ["license", "apache", "version", "2"]), 4).alias("score"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.round(passages.score(F.col("text"), ["license", "apache", "version", "2"]), 4).alias("score"))
+
+
+#: The passages of all documents as SQL: articles, long ones packed by sentences step by step. (doc_id, place, passage)
+PASSAGES_SQL = r"""
+WITH RECURSIVE art AS (
+  SELECT doc_id, unnest(parts) AS x, unnest(range(0, len(parts))) AS a
+  FROM (SELECT doc_id, list_filter(list_transform(
+          string_split(regexp_replace(text, '(?i)\b(ARTICLE\s+\d{1,3}\b)', chr(1) || '\1', 'g'), chr(1)),
+          lambda y: trim(y, e' \t\n\x0b\f\r')), lambda y: y <> '') AS parts FROM documents WHERE text IS NOT NULL)),
+long AS (
+  SELECT doc_id, a, list_filter(list_transform(string_split(regexp_replace(x, '([.!?:;])\s+', '\1' || chr(1), 'g'), chr(1)),
+         lambda y: trim(y, e' \t\n\x0b\f\r')), lambda y: y <> '') AS blocks FROM art WHERE length(x) > 1800),
+pack AS (
+  SELECT doc_id, a, blocks, 0 AS i, '' AS held, CAST([] AS VARCHAR[]) AS done FROM long
+  UNION ALL
+  SELECT doc_id, a, blocks, i + 1,
+         CASE WHEN i = len(blocks) THEN '' WHEN joins THEN held || ' ' || b WHEN length(b) <= 1600 THEN b ELSE '' END,
+         CASE WHEN i = len(blocks) THEN list_filter([held], lambda y: y <> '') WHEN joins THEN []
+              ELSE list_filter([held], lambda y: y <> '') || CASE WHEN length(b) <= 1600 THEN [] ELSE list_filter(list_transform(
+                range(0, (length(b) + 1599) // 1600), lambda k: trim(substr(b, k * 1600 + 1, 1600), e' \t\n\x0b\f\r')), lambda y: y <> '') END END
+  FROM (SELECT *, blocks[i + 1] AS b, held <> '' AND length(held) + 1 + length(blocks[i + 1]) <= 1600 AS joins FROM pack) WHERE i <= len(blocks)),
+piece AS (
+  SELECT doc_id, a, 0 AS i, 0 AS j, x AS passage FROM art WHERE length(x) <= 1800
+  UNION ALL
+  SELECT doc_id, a, i, unnest(range(0, len(done))), unnest(done) FROM pack WHERE len(done) > 0),
+own AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, i, j) - 1 AS place, passage,
+         trim(regexp_replace(regexp_replace(strip_accents(lower(passage)), '[^\p{L}\p{N}_\s'']', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM piece)
+"""
 
 
-@register("best_passages")
+@register("best_passages", PASSAGES_SQL + r""",
+scored AS (
+  SELECT *, round(CAST(CASE WHEN contains(t, 'license') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'apache') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, 'version') THEN 1.0 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '\b2\b') THEN 0.8 ELSE 0 END - CASE WHEN length(passage) > 2600 THEN 1.0 ELSE 0 END AS DOUBLE), 4) AS score FROM own)
+SELECT doc_id, score, CAST(place AS INT) AS place, CAST(length(passage) AS INT) AS n FROM scored WHERE score >= 2
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) = 1""")
 def best_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.search(table(spark, sf_dir, "documents"), ["license", "apache", "version", "2"]).select("doc_id", "score", "place", F.char_length("passage").alias("n"))
-
-
-@register("question_passages")
+    return passages.search(spread(table(spark, sf_dir, "documents")), ["license", "apache", "version", "2"]).select("doc_id", "score", "place", F.char_length("passage").alias("n"))
+
+
+@register("question_passages", PASSAGES_SQL + rf""",
+word AS (SELECT DISTINCT doc_id, place, unnest(string_split(t, ' ')) AS term FROM own),
+q AS (SELECT item_id AS query_id, string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}_\s'']', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+plain AS (SELECT query_id, term FROM (SELECT query_id, unnest(w) AS term FROM q) WHERE term NOT IN ({", ".join(map(_said, rules.STOPWORDS))}) AND (length(term) > 2 OR regexp_matches(term, '^[0-9]+$'))),
+syn(term, more) AS (VALUES {", ".join(f"({_said(k)}, {_said(m)})" for k, own in rules.SYNONYMS.items() for m in own)}),
+asked AS (SELECT query_id, term FROM plain UNION SELECT query_id, more FROM plain JOIN syn USING (term)),
+scored AS (
+  SELECT query_id, doc_id, place, round(sum(CASE WHEN regexp_matches(term, '^[0-9]+$') THEN 0.8::DOUBLE ELSE 1 END), 4) AS score
+  FROM word JOIN asked USING (term) WHERE term <> '' GROUP BY ALL)
+SELECT query_id, doc_id, CAST(place AS INT) AS place, score FROM scored WHERE score >= 2
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, place) = 1""")
 def question_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return passages.search_many(table(spark, sf_dir, "documents"), asked)
+    return passages.search_many(spread(table(spark, sf_dir, "documents")), asked)
 
 
 @register("term_grep", """
@@ -492,7 +537,7 @@ SELECT doc_id || '-' || k AS query_id,
   CASE WHEN k = 0 THEN 'identity' WHEN (k = 1 AND o <> '') OR (k = 2 AND d <> '') THEN 'fact' WHEN k = 3 AND doc_id % 2 = 0 THEN 'passage' ELSE 'missing' END AS stage FROM q""")
 def answer_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five questions about every document, which reach every stage; a passage that is guesswork gives no answer."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     asked = docs.select("doc_id", "source", F.posexplode(F.array(*map(F.lit, _QUESTIONS))).alias("k", "question")).withColumn("query_id", F.concat_ws("-", "doc_id", "k"))
     pages = docs.select("doc_id", F.lit(1).alias("page_seq"), F.lit("1").alias("page"), "text")
     known = facts.field_facts(pages, [facts.FieldRule("subject", r"(Licensed under the [A-Z][a-z]+)"), facts.FieldRule("deadline", r"(\+1 \(\d{3}\) \d{3}-\d{4})")])

@@ -35,3 +35,12 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it is read by fewer tasks than there are, as one small file is.
+
+    A table of many parts is left as it is, so nothing is shuffled where there is much to read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
