@@ -34,13 +34,14 @@ def top_k(items: DataFrame, query: list[float], k: int, where: Column | None = N
     return rows.withColumn("score", F.round(cosine(F.col(vector), target), 6)).orderBy(F.col("score").desc(), key).limit(k)
 
 
-def top_k_many(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
+def top_k_many(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query", cells: str | None = None) -> DataFrame:
     """The k items most like each query vector.
 
     Scores are matrix products of batches of items with all queries of a part. Each
     task keeps its own k best by query, so what moves grows with tasks times queries,
     not with items times queries. Queries go out in parts of at most MOST_QUERIES;
-    items without a direction have no score and come last.
+    items without a direction have no score and come last. ``cells`` names a column of the
+    queries with the cells of the items (their column ``cell``) that a query may find.
     """
     parts, spark = -(-queries.count() // MOST_QUERIES) or 1, items.sparkSession
     schema = StructType([StructField("_n", IntegerType()), StructField("_k", items.schema[key].dataType), StructField("score", DoubleType())])
@@ -48,23 +49,28 @@ def top_k_many(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
     for p in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == p)
         # bounded: MOST_QUERIES vectors
-        asked = own.select(query_key, query_vector).collect()
+        asked = own.select(query_key, query_vector, *([cells] if cells else [])).collect()
         width = len(asked[0][1]) if asked else 0
-        shared = spark.sparkContext.broadcast((np.array([r[1] for r in asked], float).reshape(len(asked), width), k))
-        local = items.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).mapInArrow(_best_of_task(shared), schema)
+        probing: dict[int, list[int]] = {}
+        for n, r in enumerate(asked):
+            for cell in r[2] if cells else ():
+                probing.setdefault(cell, []).append(n)
+        shared = spark.sparkContext.broadcast((np.array([r[1] for r in asked], float).reshape(len(asked), width), k, probing if cells else None))
+        plain = items.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"), *(["cell"] if cells else []))
+        local = plain.mapInArrow(_best_of_task(shared), schema)
         names = spark.createDataFrame([(n, r[0]) for n, r in enumerate(asked)], StructType([StructField("_n", IntegerType()), own.schema[query_key]]))
         outer = Window.partitionBy("_n").orderBy(F.col("score").desc(), "_k")
-        ranked = local.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k).join(F.broadcast(names), "_n")
+        ranked = (local.where(F.col("score").isNotNull()) if cells else local).withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k).join(F.broadcast(names), "_n")
         ranked = ranked.select(query_key, F.col("_k").alias(key), "score", "rank")
         out = ranked if out is None else out.unionByName(ranked)
     return out
 
 
 def _best_of_task(shared):
-    """(_k, _v) -> (_n, _k, score): a task's best items for each query."""
+    """(_k, _v[, cell]) -> (_n, _k, score): a task's best items for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, k = shared.value
+        asked, k, probing = shared.value
         size = np.sqrt((asked * asked).sum(axis=1))
         held: pa.Table | None = None
         scores = np.empty((0, len(asked)))
@@ -72,7 +78,15 @@ def _best_of_task(shared):
             rows = [v if v is not None and len(v) == asked.shape[1] else None for v in batch.column("_v").to_pylist()]
             items = np.array([np.full(asked.shape[1], np.nan) if v is None else v for v in rows], float).reshape(len(rows), asked.shape[1])
             with np.errstate(divide="ignore", invalid="ignore"):
-                found = np.round(items @ asked.T / (np.sqrt((items * items).sum(axis=1))[:, None] * size), 6)
+                length = np.sqrt((items * items).sum(axis=1))[:, None]
+                if probing is None:
+                    found = np.round(items @ asked.T / (length * size), 6)
+                else:
+                    # the items of a cell only with the queries that probe it
+                    found, cell = np.full((len(items), len(asked)), np.nan), batch.column("cell").to_numpy()
+                    for c in np.unique(cell):
+                        own, by = np.flatnonzero(cell == c), probing.get(int(c), [])
+                        found[np.ix_(own, by)] = np.round(items[own] @ asked[by].T / (length[own] * size[by]), 6)
             keys = pa.Table.from_batches([batch.select(["_k"])])
             held = keys if held is None else pa.concat_tables([held, keys])
             scores = np.concatenate([scores, found])

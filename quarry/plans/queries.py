@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import access, answers, chunking, facts, passages, reports, retrieval, tables
+from ..operators import access, answers, chunking, facts, passages, reports, retrieval, tables, vector_index
 from ..session import spread, table
 from ..streaming import streams
 from .registry import register
@@ -93,6 +93,15 @@ def multi_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_many(items, queries, 6)
 
 
+@register("indexed_topk")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As multi_query_topk, ten for each, from the cells of an index that the query fits and assigns itself."""
+    items = table(spark, sf_dir, "embeddings")
+    queries = items.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    centroids = vector_index.fit(items)
+    return vector_index.search(vector_index.assigned(items, centroids), centroids, queries, 10, vector_index.probes_for(items, centroids))
+
+
 _PROBES = f"""
 p AS (SELECT e.vec_id, e.label, {_COSINE.format(a='e.embedding', b='q.embedding')} AS score
       FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
