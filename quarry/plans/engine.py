@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +38,48 @@ def indexed(found: DataFrame, policy: access.Policy, make: Callable[[], models.E
     return models.embedded(stamped, make), facts.document_facts(pages)
 
 
-def index_folder(spark: SparkSession, folder: str, store: str, policy: access.Policy, make: Callable[[], models.Embed]) -> int:
-    """Indexes the files of a folder that are not indexed yet; appends chunks and facts to the store."""
-    found = readers.files(spark, folder)
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of the store; None before its first write."""
     try:
-        found = readers.not_indexed(found, spark.read.parquet(f"{store}/chunks"))
-    except Exception as problem:  # the first run has no store yet
-        if "PATH_NOT_FOUND" not in str(problem):
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    chunks, known = indexed(found, policy, make)
-    chunks.write.mode("append").parquet(f"{store}/chunks")
-    known.write.mode("append").parquet(f"{store}/facts")
-    return found.count()
+    return None
+
+
+def committed(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """The rows of a table of the store (``files``, ``chunks``, ``facts``) whose batch has a commit record; None without any."""
+    rows, commits = _table(spark, f"{store}/{name}"), _table(spark, f"{store}/commits")
+    if rows is None or commits is None:
+        return None
+    return rows.join(commits.select("batch"), "batch", "left_semi")
+
+
+def index_folder(spark: SparkSession, folder: str, store: str, policy: access.Policy, make: Callable[[], models.Embed]) -> int:
+    """Indexes the files of a folder that are not indexed yet; how many these were.
+
+    A run writes its files, chunks and facts under a batch of its own and a commit record
+    last, in one small file. Only committed batches are read (``committed``), so a run that
+    fails anywhere leaves nothing to be seen and its files are indexed by the next one.
+    Files that give no chunks are recorded too and not read again.
+    """
+    found, done, batch = readers.files(spark, folder), committed(spark, store, "files"), uuid.uuid4().hex
+    if done is not None:
+        found = readers.not_indexed(found, done)
+    names = document_ids(found).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "doc_id", "sha256")
+    _put(names, store, "files", batch)
+    recorded = spark.read.parquet(f"{store}/files").where(F.col("batch") == batch).count()
+    if recorded:
+        chunks, known = indexed(found, policy, make)
+        _put(chunks, store, "chunks", batch)
+        _put(known, store, "facts", batch)
+        spark.createDataFrame([(batch, recorded)], "batch string, n_files long").coalesce(1).write.mode("append").parquet(f"{store}/commits")
+    return recorded
+
+
+def _put(rows: DataFrame, store: str, name: str, batch: str) -> None:
+    rows.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{store}/{name}")
 
 
 def searched(chunks: DataFrame, questions: DataFrame, policy: access.Policy, make: Callable[[], models.Embed], k: int = 6) -> DataFrame:
