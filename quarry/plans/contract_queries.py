@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import articles, facts
-from ..session import table
+from ..operators import articles, facts, nearby
+from ..session import spread, table
 from .registry import register
 
 #: The lines of a document: a null column leaves its line out. {0} is the customer's value.
@@ -185,3 +185,28 @@ def believed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("doc_id", "field").agg(
         F.count("*").alias("n_lines"), F.count(F.when(F.col("good"), 1)).alias("n_good"), F.array_join(numbers.cast("array<string>"), ",").alias("good")
     )
+
+
+@register("near_deadlines", SQL_LINES + " SELECT v.doc_id, day AS text, page FROM values_of v JOIN lines l ON l.doc_id = v.doc_id AND n = 5")
+def near_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearby.deadlines(contract_pages(spark, sf_dir))
+
+
+@register("near_numbers", r"""
+WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents),
+a AS (
+  SELECT doc_id, sum(length(b) + 6) OVER (PARTITION BY doc_id ORDER BY i) - 6 AS p
+  FROM (SELECT doc_id, unnest(string_split(t, 'licens')) AS b, generate_subscripts(string_split(t, 'licens'), 1) AS i, len(string_split(t, 'licens')) AS n FROM d)
+  QUALIFY i < n),
+v AS (
+  SELECT doc_id, sum(length(b) + length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS p, x
+  FROM (SELECT doc_id, unnest(string_split_regex(text, '[0-9]+')) AS b, unnest(regexp_extract_all(text, '[0-9]+')) AS x,
+               generate_subscripts(string_split_regex(text, '[0-9]+'), 1) AS i FROM d WHERE regexp_matches(text, '[0-9]'))
+  WHERE x IS NOT NULL),
+j AS (SELECT a.doc_id, a.p, v.p AS v_p, x FROM a LEFT JOIN v ON v.doc_id = a.doc_id AND v.p >= a.p QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.p ORDER BY v.p) = 1)
+SELECT doc_id, CAST(p AS BIGINT) AS "at", CASE WHEN v_p + length(x) <= p + 60 THEN x END AS value FROM j""")
+def near_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each mention of a licence in a document the next number within 60 characters."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    anchors = nearby.matches(docs, ["doc_id"], "text", "(?i)licens")
+    return nearby.next_values(anchors, nearby.matches(docs, ["doc_id"], "text", "[0-9]+"), ["doc_id"], 60)
