@@ -261,6 +261,8 @@ CHECKLIST = [
 ]
 # Long values of the checklist are told short from these lengths on, by these words.
 RECEPTION_LEAST, GUARANTEE_LEAST, GUARANTEE_MOST = 350, 260, 4
+# Signs that variants are refused, in a text without punctuation.
+VARIANTS_REFUSED = ["ne sont pas", "pas autorise", "interdite", "non autorise", "sans variante"]
 RECEPTION_TYPES = ["reception quantitative", "reception provisoire", "reception definitive"]
 RECEPTION_DETAILS = [
     ("apres livraison", ["livraison"]),

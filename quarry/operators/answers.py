@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..functions.phrases import phrases_in
 from . import facts as facts_of
 from . import questions as asks
 
@@ -90,6 +91,27 @@ def full_checklist(facts: DataFrame, documents: DataFrame) -> DataFrame:
     return checklist(told, documents, [(question, field) for question, field, _ in rules.CHECKLIST])
 
 
+def flagged_checklist(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, number, question, field, answer): one row for each document and fixed question.
+
+    Answers to questions of presence begin with a yes, that about variants with a no where
+    its text refuses them; a question without a fact, or with an empty one, is answered as not
+    found. A document has its rows whether it has facts or not; of several facts of a field
+    (ties) the least text is taken.
+    """
+    items = F.array(*[F.struct(F.lit(k + 1).alias("number"), F.lit(q).alias("question"), F.lit(f).alias("field"), F.lit(p).alias("presence")) for k, (q, f, p) in enumerate(rules.CHECKLIST)])
+    told = facts.withColumn("value", T.compact(asks.short_value(F.col("field"), F.col("text")))).where("value <> ''").groupBy("doc_id", "field").agg(F.min("value").alias("value"))
+    refused = F.size(phrases_in(F.col("value"), rules.VARIANTS_REFUSED, punctuation=False)) > 0
+    answer = (
+        F.when(F.col("value").isNull(), F.lit(NOT_FOUND["fr"]))
+        .when(F.col("field") == "variants", F.concat(F.when(refused, "Non - ").otherwise("Oui / a verifier - "), F.col("value")))
+        .when(F.col("presence"), F.concat(F.lit("Oui - "), F.col("value")))
+        .otherwise(F.col("value"))
+    )
+    asked = documents.select("doc_id").distinct().select("doc_id", F.inline(items))
+    return asked.join(told, ["doc_id", "field"], "left").select("doc_id", "number", "question", "field", answer.alias("answer"))
+
+
 def prompts(questions: DataFrame, context: str = "context") -> DataFrame:
     """Prompts from questions and their context."""
     head = F.lit("Answer only from the context. If it does not say, answer so.\n\nContext:\n")

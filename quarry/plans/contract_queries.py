@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import articles, facts, nearby
+from ..functions import rules
+from ..operators import answers, articles, facts, nearby
 from ..session import spread, table
 from .registry import register
 
@@ -97,7 +98,7 @@ def _fact(field: str, head: int, line: int, text: str) -> str:
     )
 
 
-ARTICLE_SQL = SQL_LINES + " " + " UNION ALL ".join([
+FACTS_SQL = " UNION ALL ".join([
     _fact("subject", 1, 2, "rtrim(l.text, '.')"),
     _fact("deadline", 3, 5, "day"),
     _fact("submission_method", 3, 4, "rtrim(l.text, '.')"),
@@ -108,6 +109,7 @@ ARTICLE_SQL = SQL_LINES + " " + " UNION ALL ".join([
     _fact("penalties", 13, 13, "'ARTICLE 6 : PENALITES DE RETARD La pénalité de retard est de ' || balance || ' dinars par jour'"),
     _fact("payment", 15, 16, "rtrim(l.text, '.')"),
 ])
+ARTICLE_SQL = SQL_LINES + " " + FACTS_SQL
 
 
 @register("article_facts", ARTICLE_SQL)
@@ -210,3 +212,19 @@ def near_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     anchors = nearby.matches(docs, ["doc_id"], "text", "(?i)licens")
     return nearby.next_values(anchors, nearby.matches(docs, ["doc_id"], "text", "[0-9]+"), ["doc_id"], 60)
+
+
+#: The fixed questions with their numbers.
+_CHECKED = [(n + 1, question, field, presence) for n, (question, field, presence) in enumerate(rules.CHECKLIST)]
+
+
+@register("contract_checklist", SQL_LINES + ", told AS (" + FACTS_SQL + "), asked(number, question, field, presence) AS (VALUES "
+    + ", ".join(f"({n}, {_said(q)}, {_said(f)}, {str(p).lower()})" for n, q, f, p in _CHECKED) + f""")
+SELECT v.doc_id, CAST(number AS INT) AS number, question, field,
+       CASE WHEN t.text IS NULL THEN {_said(answers.NOT_FOUND["fr"])} WHEN presence THEN 'Oui - ' || t.text
+            ELSE t.text END AS answer
+FROM (SELECT doc_id FROM values_of) v CROSS JOIN asked LEFT JOIN told t USING (doc_id, field)""")
+def contract_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed questions answered from the articles of every document, with their yes or no."""
+    pages = contract_pages(spark, sf_dir)
+    return answers.flagged_checklist(articles.article_facts(pages), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")))

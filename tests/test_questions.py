@@ -90,3 +90,20 @@ def test_analyses_and_their_audit(spark):
     assert {r.doc_id for r in made.collect()} == {"1", "3"} and audit.count() == 2
     with pytest.raises(ValueError):
         engine.analysed_documents(docs, known, me, "summary", F.current_timestamp())
+
+
+def test_checklist_with_flags(spark):
+    from quarry.operators import answers
+
+    facts = spark.createDataFrame([
+        ("d", "variants", "Les variantes ne sont pas admises"), ("e", "variants", "Les variantes sont admises"), ("d", "cnss", "Attestation CNSS"),
+        ("d", "deadline", "3 mai 2024"), ("d", "deadline", "4 mai 2024"), ("d", "rne", None), ("d", "fiscal_certificate", " - "), ("other", "cnss", "x"),
+    ], "doc_id string, field string, text string")
+    docs = spark.createDataFrame([("d",), ("e",), ("none",), ("d",)], "doc_id string")
+    rows = {(r["doc_id"], r["field"]): r["answer"] for r in answers.flagged_checklist(facts, docs).collect()}
+    missing = answers.NOT_FOUND["fr"]
+    assert len(rows) == 63 and answers.flagged_checklist(facts, docs).count() == 63
+    assert rows["d", "variants"] == "Non - Les variantes ne sont pas admises" and rows["e", "variants"] == "Oui / a verifier - Les variantes sont admises"
+    assert rows["d", "cnss"] == "Oui - Attestation CNSS" and rows["d", "deadline"] == "3 mai 2024"
+    assert rows["d", "rne"] == rows["d", "fiscal_certificate"] == missing
+    assert {a for (d, _), a in rows.items() if d == "none"} == {missing}
