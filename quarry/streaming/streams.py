@@ -64,31 +64,57 @@ def flush(held: str, inside: bool) -> str:
     return "" if inside else held
 
 
-def stripped_stream(deltas: DataFrame, idle: str = "PT10S") -> DataFrame:
-    """Token deltas (stream_id, seq, delta, last) without reasoning blocks, with state by stream."""
+#: Milliseconds without a delta until a ping, and pings until a stream counts as lost (a day).
+IDLE_MS, MOST_PINGS = 10_000, 8640
+
+
+def event_stream(deltas: DataFrame, idle_ms: int = IDLE_MS, most_pings: int = MOST_PINGS) -> DataFrame:
+    """Token deltas (stream_id, seq, delta, last) -> events (stream_id, number, event, seq, text), with state by stream.
+
+    A stream's events are numbered from 0: ``start``, then ``token`` with what may be shown
+    of the deltas of a batch, ``ping`` after each idle time, ``done`` after the last delta.
+    Whatever a stream was in the middle of, a half tag or a reasoning block, stays in its
+    state over any number of pings; only after ``most_pings`` in a row what is held is shown
+    and the stream is ``lost``. ``seq`` is that of the last delta so far. Null deltas are
+    empty; a delta after the last one begins the stream anew.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, inside = state.get if state.exists else ("", False)
-        shown, number, done = [], -1, state.hasTimedOut
-        if not done:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for seq, delta, last in zip(rows["seq"], rows["delta"], rows["last"]):
+        fresh = not state.exists
+        held, inside, number, pings, seq = ("", False, 0, 0, -1) if fresh else state.get
+        events: list[tuple[str, str]] = [("start", "")] if fresh else []
+        if state.hasTimedOut:
+            pings += 1
+            over = pings >= most_pings
+            events += [("token", flush(held, inside)), ("lost", "")] if over else [("ping", "")]
+        else:
+            rows, shown, over, pings = pd.concat(list(batches)).sort_values("seq"), [], False, 0
+            for at, delta, last in zip(rows["seq"], rows["delta"], rows["last"]):
                 text, held, inside = feed(held, inside, delta or "")
                 shown.append(text)
-                number, done = int(seq), done or bool(last)
-        if done:
-            shown.append(flush(held, inside))
+                seq, over = int(at), over or bool(last)
+            if over:
+                shown.append(flush(held, inside))
+            events += [("token", "".join(shown))] + ([("done", "")] if over else [])
+        events = [e for e in events if e[0] != "token" or e[1]]
+        if over:
             state.remove()
         else:
-            state.update((held, inside))
-            state.setTimeoutDuration(10_000)
-        text = "".join(shown)
-        if text:
-            yield pd.DataFrame({"stream_id": [key[0]], "seq": [number], "text": [text]})
+            state.update((held, inside, number + len(events), pings, seq))
+            state.setTimeoutDuration(idle_ms)
+        if events:
+            n = len(events)
+            yield pd.DataFrame({"stream_id": [key[0]] * n, "number": range(number, number + n), "event": [e for e, _ in events], "seq": [seq] * n, "text": [t for _, t in events]})
 
     return deltas.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id string, seq int, text string", "held string, inside boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+        step, "stream_id string, number long, event string, seq int, text string", "held string, inside boolean, number long, pings int, seq int",
+        "append", GroupStateTimeout.ProcessingTimeTimeout,
+    )
+
+
+def stripped_stream(deltas: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Token deltas (stream_id, seq, delta, last) without reasoning blocks: (stream_id, seq, text)."""
+    return event_stream(deltas, idle_ms).where("event = 'token'").select("stream_id", "seq", "text")
 
 
 def stripped_batch(deltas: DataFrame) -> DataFrame:
