@@ -1,3 +1,3 @@
 """quarry.plans"""
 
-from . import contract_queries, queries, question_queries, registry_queries  # noqa: E402,F401  registers the queries
+from . import contract_queries, queries, question_queries, registry_queries, tender_list_queries  # noqa: E402,F401  registers the queries
