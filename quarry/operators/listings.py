@@ -233,7 +233,8 @@ def _over_pages(own: DataFrame, rules: list[tuple[int, Listing]]) -> DataFrame:
         begun = F.when(F.col("page_seq") == F.col("first"), _after(text, r.open)).otherwise(text)
         piece = F.when(F.col("page_seq") == F.col("last"), _until(begun, r.close)).otherwise(begun)
         items = F.when(F.col("rule") == k, items_of(piece, r)).otherwise(items)
-    return read.select("doc_id", "page_seq", "page", "rule", items.alias("items"))
+    # by way of a generator, behind which no filter repeats the search for items
+    return read.select("doc_id", "page_seq", "page", F.inline(F.array(F.struct("rule", items.alias("items")))))
 
 
 def listings(pages: DataFrame, rules: list[Listing] | None = None) -> DataFrame:
@@ -263,9 +264,9 @@ def listings(pages: DataFrame, rules: list[Listing] | None = None) -> DataFrame:
     # at most ``most`` pages come together here, as each has an item
     lists = kept.groupBy("doc_id", "rule").agg(F.array_sort(F.collect_list(F.struct("page_seq", "page", "items"))).alias("_l"))
     told = F.flatten(F.transform("_l", lambda p: F.transform(p["items"], lambda x: F.struct(T.clean_item(x).alias("text"), p["page"].alias("page")))))
-    cut = lists.select("doc_id", "rule", F.filter(F.slice(told, 1, most), lambda x: x["text"] != "").alias("items"))
-    keys = cut.withColumn("_k", F.transform("items", lambda x: T.fold(x["text"])))
-    once = keys.withColumn("items", F.filter("items", lambda x, i: F.array_position("_k", F.get("_k", i)) == i + 1)).where(F.size("items") >= least)
+    once = T.let(F.filter(F.slice(told, 1, most), lambda x: x["text"] != ""), lambda own: T.let(
+        F.transform(own, lambda x: T.fold(x["text"])), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+    once = lists.select("doc_id", F.inline(F.array(F.struct("rule", once.alias("items"))))).where(F.size("items") >= least)
     best = once.select("doc_id", "rule", field.alias("field"), "items").groupBy("doc_id", "field").agg(F.min_by("items", "rule").alias("items"))
     return best.select("doc_id", "field", "items", F.get("items", F.lit(0))["page"].alias("page"))
 
