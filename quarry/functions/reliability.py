@@ -69,6 +69,15 @@ REFERENCES = (
     "attestation de bonne execution", "certificats", "contrats", "pvs de reception", "pv de reception", "justificatifs", "مشاريع مماثلة",
     "مراجع مماثلة", "أعمال مماثلة", "اعمال مماثلة",
 )
+MAKER_WARRANTY = ("attestation de garantie", "garantie constructeur", "garantie du constructeur", "garantie de constructeur")
+MAKER_LETTER = (
+    "autorisation", "agrement", "lettre", "habilite", "partenariat", "partenaire", "service delivery partner", "canal officiel", "commercialiser",
+    "represent", "originalite", "certification",
+)
+MAKER = ("constructeur", "fabricant", "editeur", "hpe")
+MAKER_PROOF = (
+    "autorisation", "attestation", "certification", "certificat", "partenariat", "originalite", "service delivery partner", "habilite", "canal officiel",
+)
 
 _MANY = 10_000
 
@@ -130,4 +139,7 @@ RELIABLE = [
     Verdict("validity", False),
     Verdict("references", True, any_of=(REFERENCES,)),
     Verdict("references", False),
+    Verdict("manufacturer_authorization", False, any_of=(MAKER_WARRANTY,), forbid=MAKER_LETTER),
+    Verdict("manufacturer_authorization", True, any_of=(MAKER, MAKER_PROOF)),
+    Verdict("manufacturer_authorization", False),
 ]

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import listings, requested
+from ..functions.bidi import visual_lines as turned
+from ..operators import list_evidence, listings, requested
 from ..session import table
 from .registry import register
 
@@ -142,3 +143,72 @@ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 3 = 0 GROUP
 def mined_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of every order's table as mined facts."""
     return requested.mined_items(item_pages(spark, sf_dir)).select("doc_id", "type", "label", "value")
+
+
+@register("visual_lines", f"""
+SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey || chr(10) || o_orderkey || reverse('- ' || {_cases("o_orderstatus", ARABIC_ITEMS)} || ' ') AS text
+FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""")
+def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's item in visual order below a line that stays as it is."""
+    said = F.lit(None).cast("string")
+    for status, words in ARABIC_ITEMS.items():
+        said = F.when(F.col("o_orderstatus") == status, words).otherwise(said)
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin(list(FIELDS)))
+    text = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit("\n- "), said, F.lit(" "), F.col("o_orderkey"))
+    return orders.select(F.col("o_orderkey").alias("doc_id"), turned(text).alias("text"))
+
+
+#: What an order's item says in the French lists, by its status.
+EVIDENCE = {"F": "Documentation technique du dossier", "O": "Autorisation du constructeur pour le dossier", "P": "Caution provisoire en dinars :"}
+
+
+def evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, field, items, source): each customer's orders as technical documents, the urgent ones as administrative ones."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin(list(FIELDS)))
+    said = F.lit(None).cast("string")
+    for status, words in EVIDENCE.items():
+        said = F.when(F.col("o_orderstatus") == status, words).otherwise(said)
+    amount = F.when(F.col("o_orderstatus") == "P", F.concat(F.col("o_orderkey"), F.lit(" dinars"))).otherwise(F.col("o_orderkey").cast("string"))
+    item = lambda text: F.array_sort(F.collect_list(F.struct("o_orderkey", text.alias("text"), F.lit("1").alias("page"))))
+    lists = lambda rows, field, text: rows.groupBy(F.col("o_custkey").alias("doc_id")).agg(item(text).alias("_l")).select(
+        "doc_id", F.lit(field).alias("field"), F.transform("_l", lambda x: F.struct(x["text"].alias("text"), x["page"].alias("page"))).alias("items"), F.lit("list").alias("source"))
+    urgent = orders.where("o_orderpriority LIKE '1%'")
+    technical = lists(orders, "technical_documents", F.concat(F.lit("- "), said, F.lit(" "), amount))
+    return technical.unionByName(lists(urgent, "administrative_documents", F.concat(F.lit("2) Attestation de bonne execution "), F.col("o_orderkey"))))
+
+
+@register("promoted_facts", """
+WITH o AS (SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')),
+f AS (
+  SELECT o_custkey AS doc_id, 'manufacturer_authorization' AS field, 'Autorisation du constructeur pour le dossier ' || min(o_orderkey) AS text, 'technical_documents' AS derived_from
+  FROM o WHERE o_orderstatus = 'O' GROUP BY o_custkey
+  UNION ALL SELECT o_custkey, 'caution', 'Caution provisoire en dinars : ' || min(o_orderkey) || ' dinars', 'technical_documents' FROM o WHERE o_orderstatus = 'P' GROUP BY o_custkey
+  UNION ALL SELECT o_custkey, 'references', 'Attestation de bonne execution ' || min(o_orderkey), 'administrative_documents' FROM o WHERE o_orderpriority LIKE '1%' GROUP BY o_custkey)
+SELECT doc_id, field, text, '1' AS page, derived_from FROM f JOIN customer ON c_custkey = doc_id WHERE NOT (field = 'caution' AND c_acctbal > 3000)""")
+def promoted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every customer's lists tell of three fields; who has an account of more than 3000 has a caution already."""
+    known = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), F.lit("caution").alias("field"),
+        F.when(F.col("c_acctbal") > 3000, F.concat(F.lit("Caution provisoire de "), F.floor("c_acctbal"), F.lit(" dinars"))).otherwise("Caution provisoire").alias("text"),
+    )
+    return list_evidence.promoted(evidence_lists(spark, sf_dir), known)
+
+
+@register("merged_lists", """
+WITH n AS (
+  SELECT o_custkey AS doc_id, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b
+  FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey)
+SELECT doc_id, CASE WHEN b > 0 AND (a < 2 OR b > a) THEN 'candidate' ELSE 'current' END AS source, CASE WHEN b > 0 AND (a < 2 OR b > a) THEN b ELSE a END AS n_items, a + b AS n_united
+FROM n""")
+def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's list of filled orders against that of open ones: which is taken, and how many items both have."""
+    orders = table(spark, sf_dir, "orders")
+
+    def lists(status: str, source: str) -> DataFrame:
+        item = F.struct(F.concat(F.lit(EVIDENCE[status] + " "), F.col("o_orderkey")).alias("text"), F.lit("1").alias("page"))
+        own = orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        return own.select("doc_id", F.lit("technical_documents").alias("field"), "items", F.lit(source).alias("source"))
+
+    current, candidate = lists("F", "current"), lists("O", "candidate")
+    both = list_evidence.united(current, candidate).select("doc_id", F.size("items").cast("long").alias("n_united"))
+    return list_evidence.merged(current, candidate).select("doc_id", "source", F.size("items").cast("long").alias("n_items")).join(both, "doc_id")
