@@ -75,7 +75,10 @@ DEFAULT_MINED = [
     MinedRule("requirement", r"(?imu)^\s*[-•]?\s*([\p{L}][\p{L} ]{2,40})\s*:\s*([^\n:]{2,120})$"),
 ]
 #: The fields of a profile that count as its core.
-CORE_FIELDS = "subject deadline validity opening caution definitive_caution guarantee reception penalties payment submission_method variants".split()
+CORE_FIELDS = [
+    "subject", "deadline", "validity", "opening", "caution", "definitive_caution", "guarantee", "reception",
+    "penalties", "payment", "submission_method", "variants",
+]
 
 
 def field_facts(pages: DataFrame, rules: list[FieldRule] | None = None) -> DataFrame:
