@@ -5,7 +5,7 @@ Every listing has a total order. Functions that change a table return its new co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -109,6 +109,19 @@ def claimed(documents: DataFrame, n: int = 1) -> DataFrame:
     return documents.join(taken, "id", "left").withColumn("status", status).select(documents.columns)
 
 
+def claims(documents: DataFrame, workers: list[str], n: int = 1) -> DataFrame:
+    """(worker, id, place) of the oldest queued documents, dealt to the workers in turn, ``n`` for each: none goes to two.
+
+    Rows of equal time (ties) go by id; a worker that is named twice counts once.
+    """
+    names = list(dict.fromkeys(workers))
+    oldest = documents.where(F.col("status") == "queued").select("created_at", "id").orderBy("created_at", "id").limit(n * len(names))
+    # one window over as many rows as are claimed
+    place = F.row_number().over(Window.orderBy("created_at", "id")) - 1
+    turn = oldest.withColumn("_p", place)
+    return turn.select(F.get(F.array(*map(F.lit, names)), F.col("_p") % len(names)).alias("worker"), "id", F.floor(F.col("_p") / len(names)).cast("int").alias("place"))
+
+
 def processed(documents: DataFrame, results: DataFrame) -> DataFrame:
     """The table after jobs ended (id, chunks, error): indexed with their chunks, or failed; only what is processing changes."""
     ended = results.select("id", F.col("chunks").alias("_n"), F.col("error").alias("_e"), F.lit(True).alias("_ended"))

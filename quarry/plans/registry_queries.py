@@ -104,6 +104,14 @@ def claimed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.claimed(_documents(spark, sf_dir), 3).select("id", "status")
 
 
+@register("worker_claims", f"""
+WITH {REGISTRY}, t AS (SELECT id, row_number() OVER (ORDER BY created, id) - 1 AS p FROM registry WHERE status = 'queued')
+SELECT CASE p % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS worker, id, CAST(p // 3 AS INT) AS place FROM t WHERE p < 12""")
+def worker_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four oldest queued documents for each of three workers."""
+    return registry.claims(_documents(spark, sf_dir), ["a", "b", "c"], 4)
+
+
 @register("processed_documents", f"""
 WITH {REGISTRY} SELECT id, CASE WHEN status = 'queued' THEN CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'indexed' ELSE 'failed' END ELSE status END AS status,
   CASE WHEN status = 'queued' AND CAST(id AS BIGINT) % 2 = 0 THEN 5 ELSE chunk_count END AS chunk_count FROM registry""")
