@@ -36,20 +36,21 @@ LINES = [
     ("Le règlement de {0} factures suit.", "n_orders"),
 ]
 
-#: The columns of the lines, over the customers and their orders.
+#: The columns of the lines, over the customers and their orders. {total}: a sum of doubles depends on the order of
+#: its rows, which a shuffle does not keep; the documents are written from exact sums.
 VALUES = """
 values_of AS (
   SELECT c_custkey AS doc_id, c_name, c_mktsegment, n_orders, day, total, {whole}(c_custkey % 90 + 30) AS days,
          CASE WHEN total IS NOT NULL THEN {whole}(c_custkey % 9 + 1) END AS percent, {whole}(c_nationkey + 6) AS months,
          {whole}(abs(floor(c_acctbal))) AS balance, c_custkey % 3 + 1 AS a_page
   FROM {customer} LEFT JOIN (
-    SELECT o_custkey, {whole}(count(*)) AS n_orders, {day} AS day, {whole}(floor(sum(o_totalprice) / 1000)) AS total
+    SELECT o_custkey, {whole}(count(*)) AS n_orders, {day} AS day, {whole}(floor({total} / 1000)) AS total
     FROM {orders} GROUP BY o_custkey) ON o_custkey = c_custkey)"""
 
 
 def contract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line, text, a_page): the lines of each customer's document, and how many of them stand on a page."""
-    values = VALUES.format(whole="bigint", day="date_format(max(o_orderdate), 'dd/MM/yyyy')", customer="{customer}", orders="{orders}")
+    values = VALUES.format(whole="bigint", day="date_format(max(o_orderdate), 'dd/MM/yyyy')", total="sum(CAST(o_totalprice AS DECIMAL(20, 6)))", customer="{customer}", orders="{orders}")
     rows = spark.sql(f"WITH {values} SELECT * FROM values_of", customer=table(spark, sf_dir, "customer"), orders=table(spark, sf_dir, "orders"))
     made = []
     for line, column in LINES:
@@ -78,7 +79,7 @@ def _text(line: str, column: str | None) -> str:
 
 #: The same lines as SQL for the oracles: (doc_id, n, line, text, page), n the place in LINES.
 SQL_LINES = (
-    "WITH " + VALUES.format(whole="CAST", day="strftime(max(o_orderdate), '%d/%m/%Y')", customer="customer", orders="orders")
+    "WITH " + VALUES.format(whole="CAST", day="strftime(max(o_orderdate), '%d/%m/%Y')", total="sum(o_totalprice)", customer="customer", orders="orders")
     .replace("CAST(c_custkey % 90 + 30)", "CAST(c_custkey % 90 + 30 AS BIGINT)").replace("CAST(c_custkey % 9 + 1)", "CAST(c_custkey % 9 + 1 AS BIGINT)")
     .replace("CAST(c_nationkey + 6)", "CAST(c_nationkey + 6 AS BIGINT)").replace("CAST(abs(floor(c_acctbal)))", "CAST(abs(floor(c_acctbal)) AS BIGINT)")
     .replace("CAST(count(*))", "count(*)").replace("CAST(floor(sum(o_totalprice) / 1000))", "CAST(floor(sum(o_totalprice) / 1000) AS BIGINT)")
