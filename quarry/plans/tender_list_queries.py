@@ -95,8 +95,10 @@ UNION ALL SELECT doc_id, 'opening', 'الفصل 8: فتح الظروف في جل
 UNION ALL SELECT doc_id, 'definitive_caution', 'الضمان النهائي ' || (n % 10 + 1) || '% من قيمة الصفقة', '3' FROM o""")
 def arabic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five facts of every customer's Arabic tender, each with its page."""
+    # a sum of doubles depends on the order of its rows
+    total = F.floor(F.sum(F.col("o_totalprice").cast("decimal(20,6)")) / 1000).cast("bigint")
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(
-        F.count("*").alias("n"), F.date_format(F.max("o_orderdate"), "dd/MM/yyyy").alias("day"), F.floor(F.sum("o_totalprice") / 1000).alias("total")
+        F.count("*").alias("n"), F.date_format(F.max("o_orderdate"), "dd/MM/yyyy").alias("day"), total.alias("total")
     )
     pages = F.array(
         F.format_string("آخر أجل لقبول العروض يوم %s\nعلى الساعة العاشرة", "day"),

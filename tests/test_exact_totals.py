@@ -22,7 +22,7 @@ def orders_dir(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name, unit", [("article_facts", "dinars"), ("article_sections", "dinars"), ("contract_fields", "dinars")])
+@pytest.mark.parametrize("name, unit", [("article_facts", "dinars"), ("article_sections", "dinars"), ("contract_fields", "dinars"), ("arabic_facts", "دينار")])
 def test_totals_are_exact(spark, orders_dir, name, unit):
     texts = [r["text"] for r in registry.QUERIES[name](spark, orders_dir).collect()]
     assert [x for x in texts if f" 498 {unit}" in x] and not [x for x in texts if "497" in x]
