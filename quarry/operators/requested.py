@@ -31,6 +31,9 @@ LICENCE_ID = r"\b(?=[A-Z0-9][A-Z0-9\-\s]{5,80}\d)(?:[A-Z0-9]{6,}|[A-Z0-9]{4,}(?:
 BEFORE_NAME = (
     r"^.*\b(?:rubriques?|d[eé]signations?|libell[eé]|produits?|articles?|licen[cs]es?|quantit\S*|qte|qt[eé]|nombre|support\s*id|id\s+support|id\s+de\s+licen[cs]e|r[eé]f[eé]rence)\b\s*"
 )
+#: What every match of GENERIC or WITH_SUPPORT holds, and of WITH_SUPPORT too. The patterns try each letter as the
+#: beginning of a name and look from there for a unit, so they are tried only where these are found, which takes one pass.
+HAS_UNIT, HAS_SUPPORT = rf"\s{_NUMBER}\s*{UNIT}\b", r"#[0-9]{4}"
 #: A page without any of these has no items; a heading has one of each of the two groups.
 PAGE_WORDS = ["licence", "license", "quantit", "qte", "support id", "id support", "designation", "libelle"]
 ROW_NAMES, ROW_AMOUNTS = ["designation", "libelle", "article"], ["quantite", "qte", "unite"]
@@ -137,12 +140,16 @@ def windows(compact: Column, folded: Column) -> Column:
 
 
 def _window_items(window: Column, quantity_first: Column) -> Column:
-    support = F.transform(_all(window, WITH_SUPPORT, 1, 2, 3, 4), lambda m: _item(designation(m["g1"]), m["g2"], 3, F.regexp_extract(m["g3"], LICENCE_ID, 0), m["g4"]))
-    first = F.transform(_all(window, QUANTITY_FIRST, 1, 2), lambda m: _item(designation(m["g2"]), m["g1"], 4))
-    generic = F.transform(_all(window, GENERIC, 1, 2), lambda m: _item(designation(m["g1"]), m["g2"], 4))
     none = F.array().cast(f"array<{_ITEM}>")
-    others = lambda: _named(F.concat(F.when(quantity_first, first).otherwise(none), generic))
-    return T.let(_named(support), lambda s: F.when(F.size(s) > 0, s).otherwise(others()))
+
+    def items(unit: Column) -> Column:
+        support = F.transform(_all(window, WITH_SUPPORT, 1, 2, 3, 4), lambda m: _item(designation(m["g1"]), m["g2"], 3, F.regexp_extract(m["g3"], LICENCE_ID, 0), m["g4"]))
+        first = F.transform(_all(window, QUANTITY_FIRST, 1, 2), lambda m: _item(designation(m["g2"]), m["g1"], 4))
+        generic = F.transform(_all(window, GENERIC, 1, 2), lambda m: _item(designation(m["g1"]), m["g2"], 4))
+        others = lambda: _named(F.concat(F.when(quantity_first, first).otherwise(none), F.when(unit, generic).otherwise(none)))
+        return T.let(F.when(unit & window.rlike(HAS_SUPPORT), _named(support)).otherwise(none), lambda s: F.when(F.size(s) > 0, s).otherwise(others()))
+
+    return T.let(window.rlike(f"(?iU){HAS_UNIT}"), items)
 
 
 def _page_items(text: Column) -> Column:
