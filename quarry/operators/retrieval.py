@@ -16,6 +16,8 @@ from ..functions import text as T
 
 #: Up to so many query vectors are broadcast together; more are taken in turns.
 MOST_QUERIES = 1000
+#: So many items are scored at once, which bounds a task's matrices.
+SLICE_ROWS = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,15 +69,19 @@ def top_k_many(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
 
 
 def _best_of_task(shared):
-    """(_k, _v[, cell]) -> (_n, _k, score): a task's best items for each query."""
+    """(_k, _v[, cell]) -> (_n, _k, score): a task's best items for each query.
+
+    Items are scored ``SLICE_ROWS`` at a time; between slices a task holds k scores for each
+    query and the keys of their items, however many items it reads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, k, probing = shared.value
         size = np.sqrt((asked * asked).sum(axis=1))
-        held: pa.Table | None = None
-        scores = np.empty((0, len(asked)))
-        for batch in batches:
-            rows = [v if v is not None and len(v) == asked.shape[1] else None for v in batch.column("_v").to_pylist()]
+        keys: pa.ChunkedArray | None = None  # in order; ``place`` are places in it
+        place, best = np.empty((0, len(asked)), np.int64), np.empty((0, len(asked)))
+        for part in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
+            rows = [v if v is not None and len(v) == asked.shape[1] else None for v in part.column("_v").to_pylist()]
             items = np.array([np.full(asked.shape[1], np.nan) if v is None else v for v in rows], float).reshape(len(rows), asked.shape[1])
             with np.errstate(divide="ignore", invalid="ignore"):
                 length = np.sqrt((items * items).sum(axis=1))[:, None]
@@ -83,25 +89,32 @@ def _best_of_task(shared):
                     found = np.round(items @ asked.T / (length * size), 6)
                 else:
                     # the items of a cell only with the queries that probe it
-                    found, cell = np.full((len(items), len(asked)), np.nan), batch.column("cell").to_numpy()
+                    found, cell = np.full((len(items), len(asked)), np.nan), part.column("cell").to_numpy()
                     for c in np.unique(cell):
                         own, by = np.flatnonzero(cell == c), probing.get(int(c), [])
                         found[np.ix_(own, by)] = np.round(items[own] @ asked[by].T / (length[own] * size[by]), 6)
-            keys = pa.Table.from_batches([batch.select(["_k"])])
-            held = keys if held is None else pa.concat_tables([held, keys])
-            scores = np.concatenate([scores, found])
-            # ties by key; what no query ranks among its k best is not kept
-            by_key = pc.sort_indices(held.column("_k")).to_numpy()
-            held, scores = held.take(by_key), scores[by_key]
-            best = np.argsort(-np.nan_to_num(scores, nan=-9.0), axis=0, kind="stable")[:k]
-            kept = np.unique(best)
-            held, scores = held.take(kept), scores[kept]
-        if held is None or not len(asked):
+            # ties by key: all keys so far are put in order, and what no query ranks among its k best is not kept
+            own_keys = pa.chunked_array([part.column("_k")])
+            by_key = pc.sort_indices(own_keys).to_numpy()
+            found = found[by_key]
+            near = np.argsort(-np.nan_to_num(found, nan=-9.0), axis=0, kind="stable")[:k]
+            before = 0 if keys is None else len(keys)
+            keys = own_keys if keys is None else pa.chunked_array([*keys.chunks, *own_keys.chunks])
+            order = pc.sort_indices(keys).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            place = np.concatenate([rank[place], rank[before + by_key[near]]])
+            best = np.concatenate([best, np.take_along_axis(found, near, axis=0)])
+            first = np.lexsort((place, -np.nan_to_num(best, nan=-9.0)), axis=0)[:k]
+            place, best = np.take_along_axis(place, first, axis=0), np.take_along_axis(best, first, axis=0)
+            used, place = np.unique(place, return_inverse=True)
+            place = place.reshape(best.shape)
+            keys = pa.chunked_array([keys.take(pa.array(order[used])).combine_chunks()])
+        if keys is None or not len(asked):
             return
-        best = np.argsort(-np.nan_to_num(scores, nan=-9.0), axis=0, kind="stable")[:k]
         number = np.tile(np.arange(len(asked), dtype=np.int32), len(best))
-        value = np.take_along_axis(scores, best, axis=0).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(number), held.column("_k").combine_chunks().take(pa.array(best.ravel())), pa.array(value, mask=np.isnan(value))], names=["_n", "_k", "score"])
+        value = best.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(number), keys.take(pa.array(place.ravel())).combine_chunks(), pa.array(value, mask=np.isnan(value))], names=["_n", "_k", "score"])
 
     return run
 
