@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import top_k_many
+from .retrieval import SLICE_ROWS, top_k_many
 
 #: Rows on which the centroids are fitted, rounds of fitting, and the most cells.
 FIT_ROWS, ROUNDS, MOST_CELLS = 20_000, 15, 1024
@@ -93,7 +93,7 @@ def assigned(items: DataFrame, centroids: np.ndarray, vector: str = "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             cell = np.full(batch.num_rows, -1, np.int32)
             if len(own):
                 rows = _matrix(batch.column(vector).to_pylist(), own.shape[1])
