@@ -139,7 +139,10 @@ def _trimmed(text: Column) -> Column:
 
 
 def _ruled(rule: ArticleRule, a: dict[str, Column]) -> tuple[Column, Column]:
-    """(text, what is looked up for its page) of a rule for an article; null where it gives nothing."""
+    """(text, what is looked up for its page) of a rule for an article; null where it gives nothing.
+
+    Both are made only for articles that fit: most rules fit one article of a document.
+    """
     fits = _any(a["title"], rule.title) & _any(a["start"], rule.start) & _any(a["folded"], rule.body)
     if rule.unless:
         fits = fits & (~_any(a["title"], rule.unless) | (_any(a["title"], rule.still) if rule.still else F.lit(False)))
@@ -155,11 +158,12 @@ def _ruled(rule: ArticleRule, a: dict[str, Column]) -> tuple[Column, Column]:
         text = cut
     if rule.field == "definitive_caution":
         text = F.when(F.contains(T.fold(text), F.lit("definit")), text).otherwise(F.concat(F.lit("Cautionnement definitif : "), text))
-    return F.when(fits, text), looked
+    return F.when(fits, text), F.when(fits, looked)
 
 
 def _subject(a: dict[str, Column]) -> tuple[Column, Column]:
-    body = F.regexp_replace(a["text"], SUBJECT_HEAD, "")
+    about = F.contains(a["start"], F.lit("objet"))
+    body = F.regexp_replace(F.when(about, a["text"]), SUBJECT_HEAD, "")
     body = F.trim(F.regexp_replace(body, SUBJECT_PURPOSE, "$1"), F.lit(" .;:-"))
 
     def value(own: Column) -> Column:
@@ -171,8 +175,8 @@ def _subject(a: dict[str, Column]) -> tuple[Column, Column]:
         return _trimmed(F.when(lots, whole).otherwise(out))
 
     text = T.let(body, value)
-    fine = F.contains(a["start"], F.lit("objet")) & ~_any(T.fold(text), SUBJECT_REFUSED)
-    return F.when(fine, text), text
+    fine = about & ~_any(T.fold(text), SUBJECT_REFUSED)
+    return F.when(fine, text), F.when(about, text)
 
 
 def _deadline(a: dict[str, Column]) -> tuple[Column, Column]:
@@ -181,13 +185,13 @@ def _deadline(a: dict[str, Column]) -> tuple[Column, Column]:
     date = F.coalesce(*[F.nullif(F.regexp_extract(a["text"], p, 0), F.lit("")) for p in (LONG_DATE, SHORT_DATE)])
     sentence = _trimmed(_sentence(a["sentences"], ("date limite",), 650))
     text = F.coalesce(_trimmed(date), F.when(F.char_length(sentence) > 12, sentence))
-    return F.when(fits, text), text
+    return F.when(fits, text), F.when(fits, text)
 
 
 def _arrival(a: dict[str, Column]) -> tuple[Column, Column]:
     fits = _any(a["start"], ["date limite", "presentation", "reception de la soumission"])
     text = _trimmed(F.left(F.regexp_extract(a["text"], ARRIVAL, 1), F.lit(650)))
-    return F.when(fits, text), text
+    return F.when(fits, text), F.when(fits, text)
 
 
 def article_facts(pages: DataFrame, marker: str = MARKER, rules: list[ArticleRule] | None = None) -> DataFrame:

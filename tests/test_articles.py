@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
 from quarry.operators import articles
 
 MARK = re.compile(r"\bARTICLE\s*\d+\b", re.IGNORECASE)
@@ -100,3 +103,11 @@ def test_no_facts(spark):
     assert facts_of(spark, "ARTICLE 1 OBJET\nLes dispositions fixent les procédures de passation.") == {}
     empty = spark.createDataFrame([], "doc_id long, page_seq long, page string, text string")
     assert articles.article_facts(empty).count() == 0 and articles.sections(empty).count() == 0
+
+
+def test_articles_that_do_not_fit_are_not_searched(spark):
+    text = F.lit("ARTICLE 9 : DIVERS Les offres doivent parvenir le 12/03/2020. Les offres sont valables 60 jours.")
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.struct(x.alias("plain"), T.fold(x).alias("folded")))
+    a = {"text": text, "folded": T.fold(text), "title": F.lit("article 9 : divers"), "sentences": sentences, "start": T.fold(text)}
+    made = [articles._subject(a), articles._deadline(a), articles._arrival(a), articles._ruled(articles.ARTICLE_RULES[0], a)]
+    assert set(spark.range(1).select(*[x.alias(f"c{k}") for k, x in enumerate(c for pair in made for c in pair)]).first()) == {None}
