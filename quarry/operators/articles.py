@@ -40,13 +40,18 @@ def page_at(points: DataFrame, pages: DataFrame, by: str = "doc_id", order: str
 
 def _cut(own: Column, head: Column, marker: str) -> Column:
     """Pieces (at, text, begins) of a page; ``head`` is what follows on the next page."""
-    parts = F.split(F.concat(own, F.lit("\n" * GAP), head), rf"(?iU)(?={marker})")
-    placed = F.transform(parts, lambda x, i: F.struct(F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + F.char_length(y)).alias("at"), x.rlike(rf"(?iU)^{marker}").alias("begins")))
-    inside = F.filter(placed, lambda x: (x["at"] < F.char_length(own)) & (x["begins"] | (x["at"] == 0)))
-    return F.transform(inside, lambda x, i: F.struct(
-        x["at"].alias("at"), x["begins"].alias("begins"),
-        F.substring(own, x["at"] + 1, F.coalesce(F.get(inside, i + 1)["at"], F.char_length(own)) - x["at"]).alias("text"),
-    ))
+    # each list is made once, not again for each of its pieces
+    def placed(parts: Column) -> Column:
+        at = F.transform(parts, lambda x, i: F.struct(F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + F.char_length(y)).alias("at"), x.rlike(rf"(?iU)^{marker}").alias("begins")))
+        return T.let(F.filter(at, lambda x: (x["at"] < F.char_length(own)) & (x["begins"] | (x["at"] == 0))), texts)
+
+    def texts(inside: Column) -> Column:
+        return F.transform(inside, lambda x, i: F.struct(
+            x["at"].alias("at"), x["begins"].alias("begins"),
+            F.substring(own, x["at"] + 1, F.coalesce(F.get(inside, i + 1)["at"], F.char_length(own)) - x["at"]).alias("text"),
+        ))
+
+    return T.let(F.split(F.concat(own, F.lit("\n" * GAP), head), rf"(?iU)(?={marker})"), placed)
 
 
 def _blanks(text: Column) -> Column:
