@@ -53,14 +53,15 @@ def packed_blocks(blocks: list[str], size: int, joiner: str = "\n\n") -> list[st
     return [*done, joiner.join(held)] if held else done
 
 
+# The two functions below go through whole documents. An Arrow batch holds 10,000 of them however long they are, so
+# they take rows, of which Spark sends about a hundred at a time.
 def _packing(size: int, joiner: str = "\n\n"):
-    """``packed`` for whole columns: blocks, and whether to pack them."""
+    """``packed`` of blocks, row by row, and whether to pack them."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def pack(blocks: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([packed_blocks(list(b), size, joiner) if b is not None and w else b for b, w in zip(blocks, wanted)])
+    def pack(blocks: list[str] | None, wanted: bool | None) -> list[str] | None:
+        return packed_blocks(blocks, size, joiner) if blocks is not None and wanted else blocks
 
-    return pack
+    return F.udf(pack, ArrayType(StringType()), useArrow=False)
 
 
 def _blocks(text: Column, pattern: str) -> Column:
@@ -111,29 +112,24 @@ def merged(entries: Column, target: int = rules.MERGE_TARGET_CHARS, most: int =
 
 
 def _merging(target: int = rules.MERGE_TARGET_CHARS, most: int = rules.MAX_CHUNK_CHARS):
-    """``merged`` for whole columns (pages, texts), in one pass over a document's entries."""
-
-    @F.pandas_udf(StructType([StructField("pages", ArrayType(StringType())), StructField("texts", ArrayType(StringType()))]))
-    def merge(pages: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out: dict[str, list] = {"pages": [], "texts": []}
-        for own_pages, own_texts in zip(pages, texts):
-            labels: list = []
-            parts: list[list[str]] = []
-            length = 0
-            for page, text in zip(own_pages, own_texts):
-                n = len(text)
-                if labels and page is not None and labels[-1] == page and length + n + 2 <= most and (length < target or n < target):
-                    parts[-1].append(text)
-                    length += 1 + n
-                else:
-                    labels.append(page)
-                    parts.append([text])
-                    length = n
-            out["pages"].append(labels)
-            out["texts"].append(["\n".join(p) for p in parts])
-        return pd.DataFrame(out)
-
-    return merge
+    """``merged`` of (pages, texts), row by row, in one pass over a document's entries."""
+
+    def merge(pages: list[str | None], texts: list[str]) -> tuple[list[str | None], list[str]]:
+        labels: list = []
+        parts: list[list[str]] = []
+        length = 0
+        for page, text in zip(pages, texts):
+            n = len(text)
+            if labels and page is not None and labels[-1] == page and length + n + 2 <= most and (length < target or n < target):
+                parts[-1].append(text)
+                length += 1 + n
+            else:
+                labels.append(page)
+                parts.append([text])
+                length = n
+        return labels, ["\n".join(p) for p in parts]
+
+    return F.udf(merge, StructType([StructField("pages", ArrayType(StringType())), StructField("texts", ArrayType(StringType()))]), useArrow=False)
 
 
 def chunks(entries: DataFrame, size: int = rules.MAX_CHUNK_CHARS, least: int = rules.MIN_USEFUL_CHARS) -> DataFrame:
