@@ -15,6 +15,10 @@ ANCHOR = r"(?iU)\b(?:date\s+limite|remise\s+des\s+offres|r[eé]ception\s+des\s+o
 NAMED = r"(?iU)(?:dernier\s+d\S+lai\s+de\s+r\S+ception\s+des\s+offres|date\s+limite\s+(?:fix\S+e\s+pour\s+la\s+)?r\S+ception\s+des\s+offres)\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}(?:\s*-\s*\d{1,2}\s*h\s*\d{0,2})?)"
 CLOSING = r"(?iU)(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s*(?:[^\d\s]\s*|a\s*)?\d{1,2}\s*h\s*\d{0,2})[\s\S]{0,900}?(?:TUNEPS\s+sera\s+ferm\S+e\s+automatiquement|au\s+plus\s+tard\s+d\S+lai\s+rigueur)"
 ARABIC = r"(?:آخر\s+أجل|اخر\s+اجل|لقبول\s+العروض|قبول\s+العروض|موعد)[\s\S]{0,160}?(\d{4}[/-]\d{1,2}[/-]\d{1,2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
+#: Where a text is cut before its anchors, and what begins with one.
+BEFORE, STARTS = ANCHOR.replace(r"(?iU)", r"(?iU)(?=") + ")", ANCHOR.replace(r"(?iU)", r"(?iU)^")
+#: More than the characters of any date in a text with single blanks.
+MARGIN = 64
 #: Both words after an anchor say that it is about questions, not offers; within so many characters.
 QUESTIONS, QUESTION_CHARS = ("demande", "eclaircissement"), 220
 
@@ -44,6 +48,33 @@ def next_values(anchors: DataFrame, values: DataFrame, by: list[str], most: int
     return seen.select(*by, "at", F.when(near, F.col("_n.value")).alias("value"))
 
 
+def _first_dated(text: Column, most: int) -> Column:
+    """The date within ``most`` characters of the first anchor about offers that has one; null without one.
+
+    What follows each anchor is read by itself, so the work grows with the text and its
+    anchors. An anchor begins with a letter that no date holds there, so the next date is
+    the first of what follows; ``MARGIN`` more characters show a date that goes on beyond.
+    """
+    def starts(parts: Column) -> Column:
+        ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array(F.lit(0)), lambda done, x: F.array_append(done, F.element_at(done, -1) + F.char_length(x)))
+        return F.filter(F.zip_with(ends, parts, lambda at, x: F.when(x.rlike(STARTS), at)), lambda at: at.isNotNull())
+
+    def read(after: Column) -> Column:
+        def date(pattern: str) -> Column:
+            before = F.regexp_replace(after, pattern + r"[\s\S]*", "")
+            return T.let(F.regexp_extract(after, pattern, 0), lambda v: F.when((v != "") & (F.char_length(before) + F.char_length(v) <= most), v))
+
+        return F.when(_about_offers(after), F.coalesce(date(LONG_DATE), date(SHORT_DATE)))
+
+    values = T.let(F.split(text, BEFORE), lambda parts: F.transform(starts(parts), lambda at: T.let(F.substring(text, at + 1, F.lit(most + MARGIN)), read)))
+    return F.when(text.rlike(ANCHOR), F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0)))
+
+
+def _about_offers(after: Column) -> Column:
+    start = F.lower(T.fold(F.left(after, F.lit(QUESTION_CHARS))))
+    return ~(F.contains(start, F.lit(QUESTIONS[0])) & F.contains(start, F.lit(QUESTIONS[1])))
+
+
 def _stated(text: Column, pattern: str) -> Column:
     return F.nullif(T.compact(F.regexp_extract(text, pattern, 1)), F.lit(""))
 
@@ -58,15 +89,7 @@ def deadlines(pages: DataFrame, most: int = NEAR) -> DataFrame:
     """
     by = ["doc_id", "page_seq", "page"]
     own = pages.select(*by, T.compact(F.coalesce("text", F.lit(""))).alias("text")).groupBy(*by).agg(F.min("text").alias("text"))
-    anchors = matches(own, by, "text", ANCHOR).drop("value")
-    dated = next_values(anchors, matches(own, by, "text", LONG_DATE), by, most).withColumnRenamed("value", "long")
-    figures = next_values(anchors, matches(own, by, "text", SHORT_DATE), by, most).withColumnRenamed("value", "short")
-    value = F.coalesce("long", "short")
-    found = dated.join(figures, [*by, "at"]).where(value.isNotNull()).join(own, by)
-    start = F.lower(T.fold(F.substring(F.col("text"), (F.col("at") + 1).cast("int"), F.lit(QUESTION_CHARS))))
-    offers = ~(F.contains(start, F.lit(QUESTIONS[0])) & F.contains(start, F.lit(QUESTIONS[1])))
-    near = found.where(offers).groupBy(*by).agg(F.min_by(value, "at").alias("near"))
-    told = own.select(*by, _stated(F.col("text"), NAMED).alias("named"), _stated(F.col("text"), CLOSING).alias("closing"), _stated(F.col("text"), ARABIC).alias("arabic"))
-    text = T.compact(F.coalesce("named", "closing", "near", "arabic"))
-    best = told.join(near, by, "left").withColumn("text", text).where(F.col("text").isNotNull())
+    text = T.compact(F.coalesce(_stated(F.col("text"), NAMED), _stated(F.col("text"), CLOSING), _first_dated(F.col("text"), most), _stated(F.col("text"), ARABIC)))
+    # by way of a generator, behind which no filter repeats the search
+    best = own.select("doc_id", "page_seq", "page", F.inline(F.array(F.struct(text.alias("text"))))).where(F.col("text").isNotNull())
     return best.groupBy("doc_id").agg(F.min_by(F.struct("text", "page"), "page_seq").alias("_b")).select("doc_id", "_b.*")

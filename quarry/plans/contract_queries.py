@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import answers, articles, facts, nearby
-from ..session import spread, table
+from ..session import dealt, spread, table
 from .registry import register
 
 #: The lines of a document: a null column leaves its line out. {0} is the customer's value.
@@ -48,22 +48,29 @@ values_of AS (
     FROM {orders} GROUP BY o_custkey) ON o_custkey = c_custkey)"""
 
 
-def contract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line, text, a_page): the lines of each customer's document, and how many of them stand on a page."""
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, a_page, lines): the lines of each customer's document, and how many of them stand on a page."""
     values = VALUES.format(whole="bigint", day="date_format(max(o_orderdate), 'dd/MM/yyyy')", total="sum(CAST(o_totalprice AS DECIMAL(20, 6)))", customer="{customer}", orders="{orders}")
     rows = spark.sql(f"WITH {values} SELECT * FROM values_of", customer=table(spark, sf_dir, "customer"), orders=table(spark, sf_dir, "orders"))
-    made = []
+    rows, made = dealt(rows, "doc_id"), []
     for line, column in LINES:
         head, *tail = line.split("{0}")
         made.append(F.concat(F.lit(head), F.col(column).cast("string"), F.lit(tail[0])) if tail else F.when(F.col(column).isNotNull(), head) if column else F.lit(line))
-    return rows.select("doc_id", "a_page", F.posexplode(F.array_compact(F.array(*made))).alias("line", "text"))
+    return rows.select("doc_id", "a_page", F.array_compact(F.array(*made)).alias("lines"))
+
+
+def contract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, a_page, line, text): the lines of each customer's document, one by one."""
+    return _documents(spark, sf_dir).select("doc_id", "a_page", F.posexplode("lines").alias("line", "text"))
 
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_seq, page, text): the lines dealt to pages."""
-    lines = contract_lines(spark, sf_dir).withColumn("page_seq", F.floor(F.col("line") / F.col("a_page")) + 1)
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return lines.groupBy("doc_id", "page_seq").agg(texts.alias("text")).select("doc_id", "page_seq", F.col("page_seq").cast("string").alias("page"), "text")
+    size = F.col("a_page").cast("int")
+    last = F.floor((F.size("lines") - 1) / size).cast("int")
+    pages = F.transform(F.sequence(F.lit(0), last), lambda p: F.array_join(F.slice("lines", p * size + 1, size), "\n"))
+    each = _documents(spark, sf_dir).select("doc_id", F.posexplode(pages).alias("_p", "text"))
+    return each.select("doc_id", (F.col("_p") + 1).cast("long").alias("page_seq"), (F.col("_p") + 1).cast("string").alias("page"), "text")
 
 
 def _said(x: str) -> str:

@@ -44,3 +44,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by key to as many tasks as the session shuffles to, and to no fewer where the rows are small.
+
+    For rows from which long texts are made and read: their size, by which Spark puts
+    parts together, says nothing of that work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
