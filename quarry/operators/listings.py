@@ -156,7 +156,8 @@ def _any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
 
 def _after(text: Column, pattern: str) -> Column:
     """What follows the first match; null without one."""
-    return F.get(F.split(text, f"(?iU){pattern}", 2), F.lit(1))
+    # a split compiles its pattern for every text
+    return F.when(_has(text, pattern), F.get(F.split(text, f"(?iU){pattern}", 2), F.lit(1)))
 
 
 def _until(text: Column, pattern: str) -> Column:
@@ -186,22 +187,36 @@ def _owner(item: Column) -> Column:
     return out
 
 
+def _table_items(segment: Column) -> Column:
+    """(text, owner) of the rows of a table."""
+    told = F.filter(F.transform(F.split(segment, r"\r\n|\n|\r"), lambda x: fact_text(_cell(x))), lambda x: x.isNotNull() & (x != ""))
+    return F.transform(told, lambda x: F.struct(x.alias("text"), _owner(x).alias("owner")))
+
+
+def _owned(rows: Column, rule: Listing) -> Column:
+    kept = F.transform(F.filter(rows, lambda x: x["owner"] == rule.field), lambda x: x["text"])
+    return F.slice(F.coalesce(kept, F.array().cast("array<string>")), 1, rule.most)
+
+
+def _table_lists(segment: Column, rules: list[tuple[int, Listing]]) -> Column:
+    """(rule, items) of each rule for one table."""
+    return T.let(_table_items(segment), lambda rows: F.array(*[F.struct(F.lit(k).alias("rule"), _owned(rows, r).alias("items")) for k, r in rules]))
+
+
 def items_of(segment: Column, rule: Listing) -> Column:
     """The items of a piece of text by the rule's way, at most ``rule.most``."""
     if rule.way == "table":
-        own = F.transform(F.split(segment, r"\r\n|\n|\r"), lambda x: fact_text(_cell(x)))
-        kept = F.filter(own, lambda x: x.isNotNull() & (x != "") & (_owner(x) == rule.field))
-    else:
-        parts = F.split(F.regexp_replace(segment, r"(?U)\s+", " "), r"(?U)\s*-\s*") if rule.way == "dashes" else F.split(segment, r"\r\n|\n|\r")
-
-        def plain(x: Column) -> Column:
-            out = fact_text(x)
-            for start in BULLET[rule.way]:
-                out = F.regexp_replace(out, f"(?iU){start}", "")
-            return T.strip(_until(out, DASH_ENDS) if rule.way == "dashes" else out)
-
-        refused = lambda x: _any(x, NO_ITEM[rule.way]) | (_has(x, "^" + NO_START[rule.way]) if rule.way in NO_START else F.lit(False))
-        kept = F.filter(F.transform(parts, plain), lambda x: (F.char_length(x) >= LEAST) & ~refused(x))
+        return T.let(_table_items(segment), lambda rows: _owned(rows, rule))
+    parts = F.split(F.regexp_replace(segment, r"(?U)\s+", " "), r"(?U)\s*-\s*") if rule.way == "dashes" else F.split(segment, r"\r\n|\n|\r")
+
+    def plain(x: Column) -> Column:
+        out = fact_text(x)
+        for start in BULLET[rule.way]:
+            out = F.regexp_replace(out, f"(?iU){start}", "")
+        return T.strip(_until(out, DASH_ENDS) if rule.way == "dashes" else out)
+
+    refused = lambda x: _any(x, NO_ITEM[rule.way]) | (_has(x, "^" + NO_START[rule.way]) if rule.way in NO_START else F.lit(False))
+    kept = F.filter(F.transform(parts, plain), lambda x: (F.char_length(x) >= LEAST) & ~refused(x))
     return F.slice(F.coalesce(kept, F.array().cast("array<string>")), 1, rule.most)
 
 
@@ -248,11 +263,13 @@ def listings(pages: DataFrame, rules: list[Listing] | None = None) -> DataFrame:
     """
     numbered = list(enumerate(LISTINGS if rules is None else rules))
     own = _own(pages)
-    single = [F.struct(F.lit(k).alias("rule"), items_of(F.when(_has(F.col("_m"), r.open), F.col("_m")) if r.way == "table" else _until(_after(F.col("_m"), r.open), r.close), r).alias("items"))
-              for k, r in numbered if r.way != "lines"]
+    # the rows of a page's table are read once for all fields
+    tables = {r.open: [(k, t) for k, t in numbered if t.way == "table" and t.open == r.open] for _, r in numbered if r.way == "table"}
+    owned = [_table_lists(F.when(_has(F.col("_m"), pattern), F.col("_m")), same) for pattern, same in tables.items()]
+    single = [F.struct(F.lit(k).alias("rule"), items_of(_until(_after(F.col("_m"), r.open), r.close), r).alias("items")) for k, r in numbered if r.way not in ("lines", "table")]
     over = [(k, r) for k, r in numbered if r.way == "lines"]
     empty = F.array().cast("array<struct<rule:int,items:array<string>>>")
-    found = own.select("doc_id", "page_seq", "page", F.inline(F.array(*single) if single else empty))
+    found = own.select("doc_id", "page_seq", "page", F.inline(F.concat(empty, F.array(*single), *owned) if single else F.concat(empty, *owned)))
     if over:
         found = found.unionByName(_over_pages(own, over))
     along = Window.partitionBy("doc_id", "rule").orderBy("page_seq")

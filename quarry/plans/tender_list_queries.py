@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bidi import visual_lines as turned
 from ..operators import list_evidence, listings, requested
-from ..session import table
+from ..session import dealt, spread, table
 from .registry import register
 
 #: What stands before an order's number in a list, by the order's status.
@@ -78,7 +78,8 @@ def arabic_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for status, words in {**ARABIC_ITEMS, "O": "الخاصيات الفنية رقم"}.items():
         said = F.when(F.col("o_orderstatus") == status, words).otherwise(said)
     row = F.concat(F.lit("| "), (F.col("o_orderkey") % 90).cast("string"), F.lit(" | "), said, F.lit(" "), F.col("o_orderkey"), F.lit(" | نعم |"))
-    rows = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("_r"))
+    own = dealt(orders.select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey")
+    rows = own.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("_r"))
     text = F.concat(F.lit("الوثائق المكونة للعرض\n| عدد | الوثيقة | الختم |\n|---|---|---|\n"), F.array_join(F.transform("_r", lambda x: x["row"]), "\n"))
     found = listings.listings(rows.select("doc_id", F.lit(1).alias("page_seq"), F.lit("1").alias("page"), text.alias("text")))
     return found.select("doc_id", "field", F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda x: x["text"]), "; ").alias("items"))

@@ -33,3 +33,12 @@ def test_deadlines_without_joins_equal_brute_force(spark):
         found = {r["doc_id"]: r["text"] for r in nearby.deadlines(df, most).collect()}
         assert found == {k: x for k, t in enumerate(texts) if (x := expected_date(t, most))}
     assert "Join" not in plan_of(nearby.deadlines(df))
+
+
+def test_rows_of_a_table_are_read_once_for_all_fields(spark):
+    df = spark.createDataFrame([(1, 1, "1", "الوثائق المكونة للعرض\n| 1 | جدول الأثمان رقم 5 |\n| 2 | جدول الأثمان رقم 6 |")], "doc_id long, page_seq long, page string, text string")
+    rules = [r for r in listings.LISTINGS if r.way == "table"]
+    found = listings.listings(df, rules)
+    assert [(r["field"], [x["text"] for x in r["items"]]) for r in found.collect()] == [("financial_documents", ["جدول الأثمان رقم 5", "جدول الأثمان رقم 6"])]
+    reads = lambda of: plan_of(listings.listings(df, of)).count("split(")
+    assert reads(rules) <= reads(rules[:1]) + 2
