@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as fixed
 from ..functions import text as T
-from ..functions.phrases import judged, phrases_in
+from ..functions.phrases import fields_judged, judged, phrases_in
 from ..functions.reliability import PATTERNS, RELIABLE
 
 
@@ -153,6 +153,12 @@ def reliable(field: Column, text: Column) -> Column:
     return (T.strip(F.coalesce(text, F.lit(""))) != "") & judged(field, text, RELIABLE, PATTERNS)
 
 
+def reliable_fields(text: Column, fields: list[str]) -> Column:
+    """Which of the fields a text is a ``reliable`` fact of."""
+    good = fields_judged(text, fields, RELIABLE, PATTERNS)
+    return F.when(T.strip(F.coalesce(text, F.lit(""))) != "", good).otherwise(F.array().cast("array<string>"))
+
+
 def preferred(current: DataFrame, other: DataFrame) -> DataFrame:
     """Of two facts (doc_id, field, text, confidence) of a field the surer, then the longer; ties keep the current."""
     both = current.withColumn("_s", F.lit(1)).unionByName(other.withColumn("_s", F.lit(0)))

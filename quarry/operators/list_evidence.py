@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .facts import reliable
+from .facts import reliable, reliable_fields
 
 # The words of strong lists, the fields that items may tell and the lists they are looked for in, in order.
 TARGETS = ["caution", "manufacturer_authorization", "references"]
@@ -91,8 +91,8 @@ def promoted(lists: DataFrame, facts: DataFrame, targets: list[str] | None = Non
     rank = F.array_position(F.array(*map(F.lit, sources)), F.col("field"))
     each = lists.where(F.col("field").isin(sources)).select("doc_id", "field", rank.alias("_s"), F.posexplode("items").alias("_i", "_x"))
     items = each.select("doc_id", F.col("field").alias("derived_from"), "_s", "_i", T.strip(F.regexp_replace("_x.text", BULLET, "")).alias("text"), F.coalesce("_x.page", F.lit("?")).alias("page")).where("text != ''")
-    tried = items.select("*", F.explode(F.array(*map(F.lit, targets))).alias("field"))
-    told = tried.where(reliable(F.col("field"), F.col("text")))
+    # each item is read once for all targets
+    told = items.select("*", F.explode(reliable_fields(F.col("text"), targets)).alias("field"))
     first = told.groupBy("doc_id", "field").agg(F.min_by(F.struct("text", "page", "derived_from"), F.struct("_s", "_i", "text", "page")).alias("_b")).select("doc_id", "field", "_b.*")
     known = facts.where(F.col("field").isin(targets) & reliable(F.col("field"), F.col("text"))).select("doc_id", "field").distinct()
     return first.join(known, ["doc_id", "field"], "left_anti")

@@ -167,13 +167,13 @@ EVIDENCE = {"F": "Documentation technique du dossier", "O": "Autorisation du con
 
 def evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, field, items, source): each customer's orders as technical documents, the urgent ones as administrative ones."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin(list(FIELDS)))
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin(list(FIELDS))).select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
     said = F.lit(None).cast("string")
     for status, words in EVIDENCE.items():
         said = F.when(F.col("o_orderstatus") == status, words).otherwise(said)
     amount = F.when(F.col("o_orderstatus") == "P", F.concat(F.col("o_orderkey"), F.lit(" dinars"))).otherwise(F.col("o_orderkey").cast("string"))
     item = lambda text: F.array_sort(F.collect_list(F.struct("o_orderkey", text.alias("text"), F.lit("1").alias("page"))))
-    lists = lambda rows, field, text: rows.groupBy(F.col("o_custkey").alias("doc_id")).agg(item(text).alias("_l")).select(
+    lists = lambda rows, field, text: dealt(rows, "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(item(text).alias("_l")).select(
         "doc_id", F.lit(field).alias("field"), F.transform("_l", lambda x: F.struct(x["text"].alias("text"), x["page"].alias("page"))).alias("items"), F.lit("list").alias("source"))
     urgent = orders.where("o_orderpriority LIKE '1%'")
     technical = lists(orders, "technical_documents", F.concat(F.lit("- "), said, F.lit(" "), amount))
@@ -190,7 +190,7 @@ f AS (
 SELECT doc_id, field, text, '1' AS page, derived_from FROM f JOIN customer ON c_custkey = doc_id WHERE NOT (field = 'caution' AND c_acctbal > 3000)""")
 def promoted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every customer's lists tell of three fields; who has an account of more than 3000 has a caution already."""
-    known = table(spark, sf_dir, "customer").select(
+    known = spread(table(spark, sf_dir, "customer")).select(
         F.col("c_custkey").alias("doc_id"), F.lit("caution").alias("field"),
         F.when(F.col("c_acctbal") > 3000, F.concat(F.lit("Caution provisoire de "), F.floor("c_acctbal"), F.lit(" dinars"))).otherwise("Caution provisoire").alias("text"),
     )

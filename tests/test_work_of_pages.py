@@ -42,3 +42,11 @@ def test_rows_of_a_table_are_read_once_for_all_fields(spark):
     assert [(r["field"], [x["text"] for x in r["items"]]) for r in found.collect()] == [("financial_documents", ["جدول الأثمان رقم 5", "جدول الأثمان رقم 6"])]
     reads = lambda of: plan_of(listings.listings(df, of)).count("split(")
     assert reads(rules) <= reads(rules[:1]) + 2
+
+
+def test_items_are_judged_once_for_all_fields(spark):
+    texts = ["Autorisation du constructeur HPE", "Caution provisoire de 500 dinars", "références similaires : certificats", "", None, "ARTICLE 3", "autre"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    fields = ["caution", "manufacturer_authorization", "references", "validity"]
+    for r in df.select("text", facts.reliable_fields(F.col("text"), fields).alias("all"), *[facts.reliable(F.lit(f), F.col("text")).alias(f) for f in fields]).collect():
+        assert r["all"] == [f for f in fields if r[f]]
