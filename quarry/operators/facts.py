@@ -234,7 +234,8 @@ def mined_scores(mined: DataFrame, questions: DataFrame, least: int = 4) -> Data
 def fact_text(text: Column) -> Column:
     """A fact's text without control characters, up to the next section's start; a guarantee's may name a caution."""
     plain = T.compact(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "))
-    cut = lambda x, starts: F.get(F.split(x, rf"(?isU)\s+\b(?:{starts})\b", 2), F.lit(0))
+    # a split would compile its pattern for every text
+    cut = lambda x, starts: F.regexp_replace(x, rf"(?isU)\s+\b(?:{starts})\b.*", "")
     about = lambda x: x.rlike(r"(?isU)^(?:(?:un|une|la)\s+)?(?:caution|cautionnement|garantie)\s+")
     own = T.let(plain, lambda x: F.when(about(x), cut(x, fixed.SECTION_STARTS)).otherwise(cut(x, fixed.SECTION_STARTS + "|CAUTION")))
     return T.compact(F.regexp_replace(T.compact(own), r"(?iU)\b(?:article|lot|chapitre)\s+\d+\b.*$", ""))

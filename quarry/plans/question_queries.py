@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import answers, facts, questions, registry
-from ..session import table
+from ..session import spread, table
 from .engine import analysed_documents
 from .queries import ME, REGISTRY, SEEN, registry_of
 from .registry import register
@@ -124,7 +124,7 @@ SELECT p_partkey AS doc_id, 'pricing_item' AS type, 'Lot ' || (p_partkey % 4 + 1
 FROM part, (VALUES (1), (2)) v(k)""")
 def pricing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price schedule for each part, one of its rows on two pages."""
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part"))
     size, lot = F.col("p_size").cast("string"), (F.col("p_partkey") % 4 + 1).cast("string")
     head = F.concat(F.lit("BORDEREAU DES PRIX\nLOT "), lot, F.lit(": Item Designation Qte\n1 "), "p_name", F.lit(" Unité "), size)
     pages = F.array(F.struct(F.lit(1).alias("page_seq"), F.concat(head, F.lit("\n2 Papier  A4\nUnite "), size, F.lit(",5")).alias("text")), F.struct(F.lit(2).alias("page_seq"), head.alias("text")), F.struct(F.lit(3).alias("page_seq"), F.lit("7 Autre chose Unite 8").alias("text")))

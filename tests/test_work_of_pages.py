@@ -35,6 +35,13 @@ def test_deadlines_without_joins_equal_brute_force(spark):
     assert "Join" not in plan_of(nearby.deadlines(df))
 
 
+def test_a_small_table_is_dealt_before_texts_are_made_of_it(spark, sf_dir):
+    for name in ("pricing_items", "promoted_facts"):
+        assert "Repartition" in plan_of(registry.QUERIES[name](spark, sf_dir))
+    for name in ("near_deadlines", "arabic_tables", "promoted_facts"):
+        assert "RepartitionByExpression" in plan_of(registry.QUERIES[name](spark, sf_dir))
+
+
 def test_rows_of_a_table_are_read_once_for_all_fields(spark):
     df = spark.createDataFrame([(1, 1, "1", "الوثائق المكونة للعرض\n| 1 | جدول الأثمان رقم 5 |\n| 2 | جدول الأثمان رقم 6 |")], "doc_id long, page_seq long, page string, text string")
     rules = [r for r in listings.LISTINGS if r.way == "table"]
