@@ -27,6 +27,8 @@ QUANTITY_FIRST = rf"({_NUMBER})(?![A-Za-z])(?:\s*{UNIT})?\s+({_NAMED}{{2,180}}?)
 QUANTITY_LINE = rf"^({_NUMBER})(?:\s*{UNIT})?\s+(.+?)\s*$"
 ROW_LINE = rf"^\s*(?:item|poste|n[°o])?\s*\d{{1,3}}\s+(.+)\s+(unit\S*|u|forfait|lot|licen[cs]es?|poste?s?|jours?|j/h|mois|ans?)\s+({_NUMBER})\s*$"
 ROW_TEXT = rf"(?:^|\s)(?:item|poste|n[°o])?\s*\d{{1,3}}\s+([A-Z].{{3,180}}?)\s+(unit[eé]|u\b|forfait|lot|licen[cs]es?|poste?s?|jours?|j/h|mois|ans?)\s+({_NUMBER})\b"
+#: What every match of ROW_LINE or ROW_TEXT holds; pages without it, which one pass shows, have no rows.
+HAS_ROW = r"\s(?:unit\S*|u|forfait|lot|licen[cs]es?|poste?s?|jours?|j/h|mois|ans?)\s+\d"
 LICENCE_ID = r"\b(?=[A-Z0-9][A-Z0-9\-\s]{5,80}\d)(?:[A-Z0-9]{6,}|[A-Z0-9]{4,}(?:\s*-\s*[A-Z0-9]{2,})+)\b"
 BEFORE_NAME = (
     r"^.*\b(?:rubriques?|d[eé]signations?|libell[eé]|produits?|articles?|licen[cs]es?|quantit\S*|qte|qt[eé]|nombre|support\s*id|id\s+support|id\s+de\s+licen[cs]e|r[eé]f[eé]rence)\b\s*"
@@ -56,6 +58,11 @@ def _any(text: Column, words: list[str]) -> Column:
 
 def designation(raw: Column) -> Column:
     """A name without the heading's words before it; empty if it is none."""
+    return T.let(fact_text(raw), _designated)
+
+
+def _designated(fact: Column) -> Column:
+    """``designation`` of what ``fact_text`` has read."""
     def cleaned(own: Column) -> Column:
         return T.let(F.trim(F.regexp_replace(F.trim(F.regexp_replace(own, f"(?iU){BEFORE_NAME}", ""), F.lit(" .;:-|")), r"(?U)\s+", " "), F.lit(" .;:-|")), lambda x: T.let(T.fold(x), lambda f: judge(own, x, f)))
 
@@ -68,12 +75,12 @@ def designation(raw: Column) -> Column:
             none = none | every
         return F.when(none, "").otherwise(x)
 
-    return T.let(fact_text(raw), cleaned)
+    return cleaned(fact)
 
 
 def _kept_licence(raw: Column) -> Column:
     """The designation of a table's row, where a name that begins with the word licence keeps it."""
-    return T.let(fact_text(raw), lambda r: T.let(designation(r), lambda d: F.when(F.startswith(T.fold(r), F.lit("licence ")) & ~F.startswith(T.fold(d), F.lit("licence ")), r).otherwise(d)))
+    return T.let(fact_text(raw), lambda r: T.let(_designated(r), lambda d: F.when(F.startswith(T.fold(r), F.lit("licence ")) & ~F.startswith(T.fold(d), F.lit("licence ")), r).otherwise(d)))
 
 
 def _item(name: Column, quantity: Column, kind: int, licence: Column | None = None, support: Column | None = None) -> Column:
@@ -106,10 +113,11 @@ def table_rows(text: Column) -> Column:
         part = lambda x, g: F.regexp_extract(x["line"], f"(?iU){ROW_LINE}", g)
         return F.transform(rows, lambda x: _item(_kept_licence(part(x, 1)), F.concat(fact_text(part(x, 3)), F.lit(" "), fact_text(part(x, 2))), 1))
 
-    compact = T.compact(text)
+    compact, none = T.compact(text), F.array().cast(f"array<{_ITEM}>")
     torn = lambda: F.transform(_all(compact, ROW_TEXT, 1, 2, 3), lambda m: _item(_kept_licence(m["g1"]), F.concat(fact_text(m["g3"]), F.lit(" "), fact_text(m["g2"])), 1))
     told = T.let(_first_of_name(_named(T.let(marked, below))), lambda rows: F.when(F.size(rows) > 0, rows).otherwise(_first_of_name(_named(torn()))))
-    return T.let(T.fold(compact), lambda f: F.when(_any(f, ROW_NAMES) & _any(f, ROW_AMOUNTS), told).otherwise(F.array().cast(f"array<{_ITEM}>")))
+    below_heading = T.let(T.fold(compact), lambda f: F.when(_any(f, ROW_NAMES) & _any(f, ROW_AMOUNTS), told).otherwise(none))
+    return F.when(text.rlike(f"(?iU){HAS_ROW}"), below_heading).otherwise(none)
 
 
 def quantity_lines(text: Column) -> Column:
@@ -189,6 +197,7 @@ def requested_items(pages: DataFrame) -> DataFrame:
 def mined_items(pages: DataFrame) -> DataFrame:
     """(doc_id, type, label, value, page): the rows of tables as mined facts, distinct by folded label and value, the first page wins."""
     own = pages.select("doc_id", "page_seq", F.col("page").cast("string").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
-    found = own.where(_any(T.fold(F.col("text")), ["designation", "qte"])).select("doc_id", "page_seq", "page", F.posexplode(table_rows(F.col("text"))).alias("_i", "_x"))
+    some = own.where(F.col("text").rlike(f"(?iU){HAS_ROW}")).where(_any(T.fold(F.col("text")), ["designation", "qte"]))
+    found = some.select("doc_id", "page_seq", "page", F.posexplode(table_rows(F.col("text"))).alias("_i", "_x"))
     order = Window.partitionBy("doc_id", T.fold(F.col("_x.designation")), T.fold(F.col("_x.quantity"))).orderBy("page_seq", "page", "_i")
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("doc_id", F.lit("requested_item").alias("type"), F.col("_x.designation").alias("label"), F.col("_x.quantity").alias("value"), "page")

@@ -57,3 +57,14 @@ def test_items_are_judged_once_for_all_fields(spark):
     fields = ["caution", "manufacturer_authorization", "references", "validity"]
     for r in df.select("text", facts.reliable_fields(F.col("text"), fields).alias("all"), *[facts.reliable(F.lit(f), F.col("text")).alias(f) for f in fields]).collect():
         assert r["all"] == [f for f in fields if r[f]]
+
+
+def test_pages_without_units_are_left_before_rows_are_tried(spark):
+    page = "Quantité Désignation " + " ".join(f"{k % 90 + 1} Abcd efgh ijkl" for k in range(400))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).alias("page_seq"), F.lit("1").alias("page"), F.concat(F.lit(page), F.col("id").cast("string")).alias("text"))
+    requested.mined_items(df.limit(1)).collect()
+    began = time.perf_counter()
+    assert requested.mined_items(df).count() == 0
+    assert time.perf_counter() - began < 10
+    torn = spark.createDataFrame([(1, 1, "1", "Désignation Quantité\n1 Papier fin\nlot\n5")], "doc_id long, page_seq long, page string, text string")
+    assert [(r["label"], r["value"]) for r in requested.mined_items(torn).collect()] == [("Papier fin", "5 lot")]
